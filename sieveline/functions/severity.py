@@ -61,11 +61,16 @@ def keyword_pattern(words: list[str]) -> str:
 
 
 def guess_severity(text: Column) -> Column:
-    """first keyword group found in ``text``; ``info`` when none."""
-    expr = F.lit("info")
-    for sev, words in reversed(KEYWORD_SEVERITY):
-        expr = F.when(text.rlike(keyword_pattern(words)), F.lit(sev)).otherwise(expr)
-    return expr
+    """the most severe keyword group present in ``text``; ``info``
+    when none. One regex pass collects every whole-word keyword; the best
+    group rank among them decides (same result as testing the groups in
+    order)."""
+    words = [w for _, ws in KEYWORD_SEVERITY for w in ws]
+    rank = {w: i for i, (_, ws) in enumerate(KEYWORD_SEVERITY) for w in ws}
+    hits = F.regexp_extract_all(text, F.lit(keyword_pattern(words)), 1)
+    best = F.array_min(F.transform(hits, lambda h: F.try_element_at(_map_literal(rank), F.lower(h))))
+    sev = {i: s for i, (s, _) in enumerate(KEYWORD_SEVERITY)}
+    return F.coalesce(F.try_element_at(_map_literal(sev), best), F.lit("info"))
 
 
 def _map_literal(mapping: dict) -> Column:

@@ -16,6 +16,8 @@ IPV4_PATTERN = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 # Filter keys a model reply may set.
 ALLOWED_FILTER_KEYS = ["query", "severity", "source", "hostname", "start_time", "end_time",
                        "limit", "offset", "log_type"]
+# A word: letters, digits or underscore in any script (Python's \w).
+WORD_PATTERN = r"[\p{L}\p{N}_]+"
 # Preview lengths: live feed, timeline event, chat row.
 FEED_PREVIEW, TIMELINE_PREVIEW, CHAT_PREVIEW = 120, 100, 80
 # ---------------------------------------------------------------------------
@@ -79,7 +81,7 @@ def first_ipv4(text: Column) -> Column:
 
 def question_keywords(text: Column) -> Column:
     """word tokens, lower-cased, longer than 2, minus stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), 0)
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     return F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
 

@@ -8,7 +8,7 @@ or ``10:00`` are rejected: a full calendar date is required.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}"
@@ -25,14 +25,20 @@ def _try_formats(s: Column, formats: list[str]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in formats])
 
 
-def parse_timestamp(text: Column) -> Column:
-    s = F.regexp_replace(F.trim(text.cast("string")), r"\s+", " ")
+def normalize_ts_text(text: Column) -> Column:
+    """Trimmed, single-spaced timestamp text (stage 1 of the parse)."""
+    return F.regexp_replace(F.trim(text.cast("string")), r"\s+", " ")
+
+
+def parse_normalized_ts(s: Column) -> Column:
+    """Stage 2: (ts, quality) from text already passed through
+    ``normalize_ts_text``. Only the branch whose shape matches is evaluated."""
     iso = F.regexp_replace(s, r"(\d{2}:\d{2}:\d{2}),(\d+)", "$1.$2")
+    epoch_s = F.when(s.rlike(r"^\d{10}(\.\d+)?$"), F.timestamp_seconds(s.try_cast("double")))
+    epoch_ms = F.when(s.rlike(r"^\d{13}$"), F.timestamp_millis(s.try_cast("long")))
     numeric = F.regexp_replace(s, r"[.-]", "/")
     first = F.regexp_extract(s, r"^(\d{1,2})", 1).cast("int")
     named = F.regexp_replace(F.regexp_replace(s, ",", ""), r"\.(\s)", "$1")
-    epoch_s = F.when(s.rlike(r"^\d{10}(\.\d+)?$"), F.timestamp_seconds(s.try_cast("double")))
-    epoch_ms = F.when(s.rlike(r"^\d{13}$"), F.timestamp_millis(s.try_cast("long")))
     parsed = (
         F.when(s.rlike(_ISO_DATE), iso.try_cast("timestamp"))
         .when(s.rlike(_NUMERIC_DATE),
@@ -47,6 +53,19 @@ def parse_timestamp(text: Column) -> Column:
     )
 
 
+def parse_timestamp(text: Column) -> Column:
+    """F5 as one Column expression. In DataFrame pipelines prefer
+    ``with_parsed_timestamp``, which normalises the text once."""
+    return parse_normalized_ts(normalize_ts_text(text))
+
+
+def with_parsed_timestamp(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
+    """F5 in two projections, so the normalised text is computed once."""
+    tmp = out_col + "_text"
+    return df.withColumn(tmp, normalize_ts_text(F.col(text_col))) \
+             .withColumn(out_col, parse_normalized_ts(F.col(tmp))).drop(tmp)
+
+
 def syslog3164_timestamp(text: Column, year: Column) -> Column:
     """RFC 3164 ``Mon D HH:MM:SS`` (no year) with an explicit year."""
     s = F.regexp_replace(F.trim(text), r"\s+", " ")

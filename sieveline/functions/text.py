@@ -38,15 +38,22 @@ def equals_ignore_case(word: str):
     return lambda x: F.lower(x) == F.lit(lowered)
 
 
-def first_key(m: Column, candidates: list[str]) -> Column:
+def lowered_keys(keys: Column, first_wins: bool = False) -> Column:
+    """Map lower(key) -> key. With the session's LAST_WIN policy the last of
+    keys equal ignoring case wins (Python dict semantics); ``first_wins``
+    keeps the first instead."""
+    if first_wins:
+        keys = F.reverse(keys)
+    return F.map_from_arrays(F.transform(keys, F.lower), keys)
+
+
+def first_key(m: Column, candidates: list[str], lowered: Column | None = None) -> Column:
     """first candidate present in map ``m``; per candidate an exact key
-    wins, else the last key equal to it ignoring case. NULL when none."""
-    keys = F.map_keys(m)
-    found = []
-    for c in candidates:
-        ci = F.try_element_at(F.filter(keys, equals_ignore_case(c)), F.lit(-1))
-        found.append(F.when(F.map_contains_key(m, F.lit(c)), F.lit(c)).otherwise(ci))
-    return F.coalesce(*found)
+    wins, else the last key equal to it ignoring case. NULL when none.
+    ``lowered`` is ``lowered_keys(map_keys(m))`` if already computed."""
+    lk = lowered if lowered is not None else lowered_keys(F.map_keys(m))
+    return F.coalesce(*[F.when(F.map_contains_key(m, F.lit(c)), F.lit(c))
+                        .otherwise(F.try_element_at(lk, F.lit(c.lower()))) for c in candidates])
 
 
 def kv_map(text: Column, pattern: str) -> Column:

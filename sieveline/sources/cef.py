@@ -23,12 +23,12 @@ _SEP = "\u0000"
 _HEADER_KEYS = ["cef_version", "vendor", "product", "device_version", "signature_id"]
 
 
-def prepare(df: DataFrame, on: Column, **_) -> DataFrame:
+def stages(on: Column, **_) -> list[dict[str, Column]]:
     line = F.col("line")
     joined = F.regexp_replace(line, CEF_HEADER, _SEP.join(f"${i}" for i in range(1, 9)))
     hdr = F.when(on & line.rlike(CEF_HEADER), F.split(joined, _SEP, 8))
-    df = df.withColumn("cef_h", hdr)
-    return df.withColumn("cef_ext", F.when(F.col("cef_h").isNotNull(), kv_map(F.col("cef_h")[7], CEF_EXTENSION)))
+    return [{"cef_h": hdr},
+            {"cef_ext": F.when(F.col("cef_h").isNotNull(), kv_map(F.col("cef_h")[7], CEF_EXTENSION))}]
 
 
 def fields(on: Column, **_) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.severity import level_lookup
-from sieveline.functions.text import equals_ignore_case
+from sieveline.functions.text import lowered_keys
 from sieveline.sources.common import record, run_one
 
 # --- fixed values (header candidates of the original tool, in order) ----------
@@ -40,26 +40,29 @@ def split_cells(line: Column) -> Column:
                        .otherwise(x))
 
 
-def prepare(df: DataFrame, on: Column, width: int = DEFAULT_WIDTH, column_mapping: dict | None = None,
-            **_) -> DataFrame:
+def stages(on: Column, width: int = DEFAULT_WIDTH, column_mapping: dict | None = None,
+           **_) -> list[dict[str, Column]]:
     """Needs a ``header`` column. The header line itself and rows wider
     than ``width`` give no record."""
     mapping = dict(column_mapping or {})
     line, header = F.col("line"), F.col("header")
-    df = df.withColumn("csv_c", F.when(on & (line != header), split_cells(line)))
-    df = df.withColumn("csv_c", F.when(F.size(F.col("csv_c")) <= width, F.col("csv_c")))
-    df = df.withColumn("csv_h", F.when(F.col("csv_c").isNotNull(), F.transform(split_cells(header), F.trim)))
+    cells = F.when(on & (line != header), split_cells(line))
     nh = F.size(F.col("csv_h"))
-    df = df.withColumn("csv_row", F.map_from_arrays(F.col("csv_h"), F.slice(F.col("csv_c"), 1, nh)))
 
     def col_for(field: str) -> Column:
         if field in mapping:
             return F.lit(mapping[field])
-        return F.coalesce(*[F.try_element_at(F.filter(F.col("csv_h"), equals_ignore_case(c)), F.lit(1))
-                            for c in CSV_CANDIDATES[field]])
-
-    return df.withColumn("csv_k", F.when(F.col("csv_h").isNotNull(),
-                                         F.struct(*[col_for(f).alias(f) for f in CSV_CANDIDATES])))
+        # First header equal to a candidate ignoring case, candidates in order.
+        return F.coalesce(*[F.try_element_at(F.col("csv_lh"), F.lit(c)) for c in CSV_CANDIDATES[field]])
+
+    return [
+        {"csv_c": cells},
+        {"csv_c": F.when(F.size(F.col("csv_c")) <= width, F.col("csv_c"))},
+        {"csv_h": F.when(F.col("csv_c").isNotNull(), F.transform(split_cells(header), F.trim))},
+        {"csv_row": F.map_from_arrays(F.col("csv_h"), F.slice(F.col("csv_c"), 1, nh)),
+         "csv_lh": F.when(F.col("csv_h").isNotNull(), lowered_keys(F.col("csv_h"), first_wins=True))},
+        {"csv_k": F.when(F.col("csv_h").isNotNull(), F.struct(*[col_for(f).alias(f) for f in CSV_CANDIDATES]))},
+    ]
 
 
 def fields(on: Column, strict_reference_severity: bool = False, **_) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql.utils import AnalysisException
 from sieveline.functions.text import is_blank, strip
 from sieveline.schema import LOG_COLUMNS
 from sieveline.sources import cef, csvlog, jsonlog, syslog
-from sieveline.sources.common import POSITION_COLUMNS, finish, nonblank_lines
+from sieveline.sources.common import POSITION_COLUMNS, apply_stages, finish, nonblank_lines
 from sieveline.sources.files import read_directory, read_documents, read_lines
 from sieveline.sources.sniff import classify, document_check, file_profile, needs_document
 
@@ -46,9 +46,7 @@ def parse_auto(lines: DataFrame, formats: DataFrame, docs: DataFrame | None = No
     on["syslog"] = ~F.col("log_type").isin(*kinds)
     kw = dict(year=year, column_mapping=column_mapping, strict_reference_severity=strict_reference_severity,
               ingested_at=ingested_at)
-    df = nonblank_lines(rows)
-    for kind, mod in PARSERS:
-        df = mod.prepare(df, on[kind], **kw)
+    df = apply_stages(nonblank_lines(rows), [(mod, on[kind]) for kind, mod in PARSERS], **kw)
     rec = F.coalesce(*[mod.fields(on[kind], **kw) for kind, mod in PARSERS])
     log_type = F.when(on["syslog"], F.lit("syslog")).otherwise(F.col("log_type"))
     return finish(df.withColumn("_rec", rec), log_type, ingested_at)

@@ -31,10 +31,10 @@ def regex_groups(line: Column, pattern: str, n: int) -> Column:
     return F.when(line.rlike(pattern), F.split(joined, _SEP, n))
 
 
-def prepare(df: DataFrame, on: Column, **_) -> DataFrame:
+def stages(on: Column, **_) -> list[dict[str, Column]]:
     line = F.col("line")
-    df = df.withColumn("syslog_g5", F.when(on, regex_groups(line, RFC5424, 8)))
-    return df.withColumn("syslog_g3", F.when(on & F.col("syslog_g5").isNull(), regex_groups(line, RFC3164, 6)))
+    return [{"syslog_g5": F.when(on, regex_groups(line, RFC5424, 8))},
+            {"syslog_g3": F.when(on & F.col("syslog_g5").isNull(), regex_groups(line, RFC3164, 6))}]
 
 
 def fields(on: Column, year: int | None = None, ingested_at: datetime | None = None, **_) -> Column:

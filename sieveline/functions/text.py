@@ -23,13 +23,19 @@ FEED_PREVIEW, TIMELINE_PREVIEW, CHAT_PREVIEW = 120, 100, 80
 # ---------------------------------------------------------------------------
 
 
+# Characters Python's str.strip() removes (str.isspace()).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
+                 + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c: Column) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: remove leading/trailing whitespace (the exact
+    ``str.isspace`` set, by ``btrim`` -- no regex)."""
+    return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
 def is_blank(c: Column) -> Column:
-    return c.rlike(r"(?U)^\s*$")
+    return strip(c) == ""
 
 
 def equals_ignore_case(word: str):

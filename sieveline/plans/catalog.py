@@ -798,3 +798,33 @@ def q_stream_hourly_counts(spark, d):
     counts = feed.hourly_counts_stream(_event_stream(spark, d), "10 minutes")
     out = _run_stream(spark, counts, "stream_hourly")
     return out.select(ntz("hour").alias("hour"), "severity", "count")
+
+
+# --- embedding (V1) and whole-input incident ------------------------------------------------------
+
+@register("embed_logs", None)
+def q_embed_logs(spark, d):
+    """V1/J5 with the offline hashing embedder: every distinct embed text is
+    embedded once and joined back (no SQL twin for the hashing)."""
+    emb = vectors.embed_logs(_logs(spark, d))
+    from sieveline.functions.vectors import norm
+    return emb.select("id", F.size("embedding").cast("long").alias("dim"), r6(norm(F.col("embedding"))).alias("norm"),
+                      "document")
+
+
+@register("incident_summary_all", W(LOGS_CTE) + """
+, hh AS (SELECT DISTINCT unnest([hostname, source]) AS host FROM logs),
+hosts AS (SELECT count(*) AS host_count,
+                 string_agg(host, ', ' ORDER BY host) FILTER (WHERE rn <= 20) AS affected_hosts
+          FROM (SELECT *, row_number() OVER (ORDER BY host) AS rn FROM hh WHERE host IS NOT NULL AND host <> ''))
+SELECT 'all' AS incident,
+       printf('Security incident involving %d host(s) — %d events', host_count, (SELECT count(*) FROM logs)) AS title,
+       (SELECT CASE max(CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3
+                                       WHEN 'critical' THEN 4 END)
+               WHEN 0 THEN 'info' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'critical' END
+        FROM logs) AS severity,
+       affected_hosts, CAST(host_count AS BIGINT) AS host_count, (SELECT count(*) FROM logs) AS log_count,
+       'Review the flagged log entries and investigate affected hosts.' AS recommendation
+FROM hosts""")
+def q_incident_summary_all(spark, d):
+    return incidents.incident_summary(_logs(spark, d)).drop("timeline")

@@ -102,8 +102,18 @@ def _map(mapping: dict, key: Column) -> Column:
 
 
 def _lines(df: DataFrame, value: Column, source_file: Column, key: Column | None = None) -> DataFrame:
-    return df.select(value.alias("value"), source_file.alias("source_file"), F.lit(0).cast("long").alias("block_start"),
-                     (key if key is not None else F.col("event_id")).cast("long").alias("line_no_key"))
+    out = df.select(value.alias("value"), source_file.alias("source_file"), F.lit(0).cast("long").alias("block_start"),
+                    (key if key is not None else F.col("event_id")).cast("long").alias("line_no_key"))
+    return spread(out)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rendered text comes from one small table file (one input split); spread
+    it over the cluster like a directory of log files would be. Line order is
+    kept by the explicit (block_start, line_no_key) position, not by the
+    partitioning."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(n, 1))
 
 
 def iso_micros(ts: Column) -> Column:

@@ -91,6 +91,7 @@ def normalize_csv(lines: DataFrame, headers: DataFrame, column_mapping: dict | N
                   width: int = DEFAULT_WIDTH, strict_reference_severity: bool = False,
                   ingested_at: datetime | None = None) -> DataFrame:
     """Parse CSV lines; ``headers`` has (source_file, header) per file."""
-    tagged = lines.join(headers.select("source_file", "header"), "source_file")
+    from sieveline.operators.joins import join_small
+    tagged = join_small(lines, headers.select("source_file", "header"), "source_file")
     return run_one(tagged, sys.modules[__name__], "csv", column_mapping=column_mapping, width=width,
                    strict_reference_severity=strict_reference_severity, ingested_at=ingested_at)

@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from sieveline.functions.text import is_blank, strip
 from sieveline.schema import LOG_COLUMNS
+from sieveline.operators.joins import join_small
 from sieveline.sources import cef, csvlog, jsonlog, syslog
 from sieveline.sources.common import POSITION_COLUMNS, apply_stages, finish, nonblank_lines
 from sieveline.sources.files import read_directory, read_documents, read_lines
@@ -33,7 +34,8 @@ def parse_auto(lines: DataFrame, formats: DataFrame, docs: DataFrame | None = No
     multi-line documents come whole from ``docs`` (source_file, text).
     """
     f = formats.select("source_file", "log_type", "json_mode", "header", "n_nonblank")
-    tagged = lines.join(f, "source_file")
+    # One row per file, broadcast after a size check (else a shuffle join).
+    tagged = join_small(lines, f, "source_file")
     is_doc = F.col("json_mode") == "document"
     tagged = tagged.where(~is_doc | (F.col("n_nonblank") == 1))
     rows = _explode_documents(tagged, is_doc)
@@ -93,7 +95,7 @@ def ingest_report(lines: DataFrame, formats: DataFrame, logs: DataFrame) -> Data
     of line formats that produced no row, headers excluded), log_type."""
     pos = F.struct("block_start", "line_no_key")
     f = formats.select("source_file", "log_type", "json_mode", "first_pos", "last_pos", "n_nonblank")
-    span = (lines.join(f.select("source_file", "first_pos", "last_pos"), "source_file")
+    span = (join_small(lines, f.select("source_file", "first_pos", "last_pos"), "source_file")
             .where((pos >= F.col("first_pos")) & (pos <= F.col("last_pos")))
             .groupBy("source_file").agg(F.count(F.lit(1)).alias("total_lines")))
     parsed = logs.groupBy("source_file").agg(F.count(F.lit(1)).alias("parsed"))
@@ -123,7 +125,7 @@ def summarize_report(report: DataFrame) -> DataFrame:
 def rejects(lines: DataFrame, formats: DataFrame, logs: DataFrame) -> DataFrame:
     """Non-blank lines of line-format files that gave no row (CSV headers aside)."""
     f = formats.where(F.col("json_mode") == "lines").select("source_file", "log_type", "header")
-    nb = lines.where(~is_blank(F.col("value"))).join(f, "source_file")
+    nb = join_small(lines.where(~is_blank(F.col("value"))), f, "source_file")
     nb = nb.where(~((F.col("log_type") == "csv") & (F.trim(F.col("value")) == F.col("header"))))
     return nb.join(logs.select("source_file", *POSITION_COLUMNS), ["source_file", *POSITION_COLUMNS], "left_anti") \
              .select("source_file", "block_start", "line_no_key", "log_type", "value")

@@ -828,3 +828,39 @@ SELECT 'all' AS incident,
 FROM hosts""")
 def q_incident_summary_all(spark, d):
     return incidents.incident_summary(_logs(spark, d)).drop("timeline")
+
+
+@register("knn_label_centroids", """
+WITH x AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+c AS (SELECT label, list(m ORDER BY pos) AS centroid FROM (SELECT label, pos, avg(v) AS m FROM x GROUP BY label, pos)
+      GROUP BY label),
+dd AS (SELECT CAST(c.label AS VARCHAR) AS query_id, CAST(e.vec_id AS VARCHAR) AS id, e.vec_id,
+              1.0 - list_dot_product(CAST(e.embedding AS DOUBLE[]), c.centroid)
+                    / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])))
+                       * sqrt(list_dot_product(c.centroid, c.centroid))) AS distance
+       FROM embeddings e, c),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM dd)
+SELECT query_id, id, CAST(rank AS BIGINT) AS rank, round(distance, 6) AS distance FROM rk WHERE rank <= 5""")
+def q_knn_label_centroids(spark, d):
+    """V2 for many queries: the 5 vectors nearest to each label centroid,
+    searched over all vectors (not only the label's)."""
+    e = A.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding", "label")
+    cents = vectors.group_centroids(e, "label").select(F.col("label").cast("string").alias("query_id"),
+                                                        F.col("centroid").alias("embedding"))
+    out = vectors.knn_many(e, cents, k=5)
+    return out.select("query_id", "id", F.col("rank").cast("long"), r6("distance").alias("distance"))
+
+
+@register("hunt_semantic", None)
+def q_hunt_semantic(spark, d):
+    """D7 + U2 with the offline hashing embedder for questions and logs
+    (no SQL twin for the hashing): keyword hits, then semantic hits for
+    questions with fewer than 5 keyword hits."""
+    logs = _logs(spark, d)
+    h = hunts.hunt_filters(_questions(spark, d), A.AS_OF)
+    embed = vectors.hashing_embedder()
+    log_vecs = vectors.embed_logs(logs, embed).select("id", "embedding")
+    q_vecs = embed(h.select(F.col("question").alias("text")).distinct()) \
+        .join(h.select("question_id", F.col("question").alias("text")), "text").select("question_id", "embedding")
+    out = hunts.match_hunts_with_semantic(logs, h, q_vecs, log_vecs, limit=100)
+    return out.select("question_id", "id", F.col("rank").cast("long"), "origin")

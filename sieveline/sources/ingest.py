@@ -94,13 +94,16 @@ def ingest_report(lines: DataFrame, formats: DataFrame, logs: DataFrame) -> Data
     parsed, failed = max(0, total_lines - parsed), rejected (non-blank lines
     of line formats that produced no row, headers excluded), log_type."""
     pos = F.struct("block_start", "line_no_key")
-    f = formats.select("source_file", "log_type", "json_mode", "first_pos", "last_pos", "n_nonblank")
-    span = (join_small(lines, f.select("source_file", "first_pos", "last_pos"), "source_file")
-            .where((pos >= F.col("first_pos")) & (pos <= F.col("last_pos")))
-            .groupBy("source_file").agg(F.count(F.lit(1)).alias("total_lines")))
+    f = formats.select("source_file", "log_type", "json_mode", "first_pos", "last_pos", "n_nonblank", "n_lines")
+    # Lines outside the first..last non-blank span are blank by definition;
+    # only blank lines (few) are joined back to find them.
+    blank = lines.where(is_blank(F.col("value"))).select("source_file", "block_start", "line_no_key")
+    outside = (join_small(blank, f.select("source_file", "first_pos", "last_pos"), "source_file")
+               .where((pos < F.col("first_pos")) | (pos > F.col("last_pos")))
+               .groupBy("source_file").agg(F.count(F.lit(1)).alias("outside")))
     parsed = logs.groupBy("source_file").agg(F.count(F.lit(1)).alias("parsed"))
-    rep = f.join(span, "source_file", "left").join(parsed, "source_file", "left")
-    total = F.coalesce(F.col("total_lines"), F.lit(0))
+    rep = f.join(outside, "source_file", "left").join(parsed, "source_file", "left")
+    total = F.col("n_lines") - F.coalesce(F.col("outside"), F.lit(0))
     got = F.coalesce(F.col("parsed"), F.lit(0))
     header = F.when(F.col("log_type") == "csv", 1).otherwise(0)
     rejected = F.when(F.col("json_mode") == "lines", F.greatest(F.col("n_nonblank") - header - got, F.lit(0))) \

@@ -24,16 +24,21 @@ OBJ = "map<string,string>"
 
 
 def file_profile(lines: DataFrame) -> DataFrame:
-    """Per file: first/last non-blank line position, first line, counts."""
-    pos = F.struct("block_start", "line_no_key")
-    nb = lines.where(~is_blank(F.col("value")))
-    return nb.groupBy("source_file").agg(
+    """Per file, in one aggregate over all its lines: first/last non-blank
+    line position, the first non-blank line, line counts, any CEF line.
+    Files with only blank lines are left out (nothing to parse)."""
+    nonblank = ~is_blank(F.col("value"))
+    pos = F.when(nonblank, F.struct("block_start", "line_no_key"))
+    prof = lines.groupBy("source_file").agg(
         F.min_by(F.col("value"), pos).alias("first_value"),
         F.min(pos).alias("first_pos"),
         F.max(pos).alias("last_pos"),
-        F.count(F.lit(1)).alias("n_nonblank"),
+        F.count_if(nonblank).alias("n_nonblank"),
+        F.count(F.lit(1)).alias("n_lines"),
         F.bool_or(F.col("value").startswith("CEF:")).alias("any_cef"),
-    ).withColumn("first", strip(F.col("first_value"))).drop("first_value")
+    )
+    return prof.where(F.col("n_nonblank") > 0) \
+               .withColumn("first", strip(F.col("first_value"))).drop("first_value")
 
 
 def _keys_hit(obj_text: Column) -> Column:
@@ -93,7 +98,7 @@ def classify(profile: DataFrame, doc_checks: DataFrame | None = None) -> DataFra
                 .otherwise("syslog"))
     mode = F.when(single_doc | multi_doc, "document").otherwise("lines")
     return profile.select("source_file", log_type.alias("log_type"), mode.alias("json_mode"),
-                          first.alias("header"), "first_pos", "last_pos", "n_nonblank")
+                          first.alias("header"), "first_pos", "last_pos", "n_nonblank", "n_lines")
 
 
 def sniff_formats(lines: DataFrame, docs: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from sieveline.functions.timeparse import to_timestamp_literal
 
 
 def _given(v) -> bool:
-    return v is not None and v != ""
+    return v is not None and not (isinstance(v, str) and v == "")
 
 
 def search_condition(query: str | None = None, severity: str | None = None, source: str | None = None,
@@ -44,9 +44,24 @@ def search_condition(query: str | None = None, severity: str | None = None, sour
     return reduce(lambda a, b: a & b, conds, F.lit(True))
 
 
+def date_bounds(logs: DataFrame, start_time=None, end_time=None) -> Column:
+    """Partition predicate implied by a time range: ``event_date`` is
+    ``to_date(timestamp)``, so a stored table partitioned by it is pruned to
+    the days in range (Spark does not derive this from the timestamp filter)."""
+    cond = F.lit(True)
+    if "event_date" not in logs.columns:
+        return cond
+    if _given(start_time):
+        cond = cond & (F.col("event_date") >= F.to_date(to_timestamp_literal(start_time)))
+    if _given(end_time):
+        cond = cond & (F.col("event_date") <= F.to_date(to_timestamp_literal(end_time)))
+    return cond
+
+
 def filter_logs(logs: DataFrame, **filters) -> DataFrame:
     """All matching rows, unordered (no limit)."""
-    return logs.where(search_condition(**filters))
+    return logs.where(search_condition(**filters) & date_bounds(logs, filters.get("start_time"),
+                                                                filters.get("end_time")))
 
 
 def newest_first(logs: DataFrame, limit: int | None = 100, offset: int = 0) -> DataFrame:
@@ -68,7 +83,7 @@ def search_logs(logs: DataFrame, query=None, severity=None, source=None, hostnam
                 start_time=None, end_time=None, limit: int | None = 100, offset: int = 0) -> DataFrame:
     """P7 + L1: the filtered page, newest first."""
     cond = search_condition(query, severity, source, hostname, log_type, start_time, end_time)
-    return newest_first(logs.where(cond), limit, offset)
+    return newest_first(logs.where(cond & date_bounds(logs, start_time, end_time)), limit, offset)
 
 
 def count_logs(logs: DataFrame, severity: str | None = None, source: str | None = None) -> DataFrame:
@@ -84,7 +99,8 @@ def count_logs(logs: DataFrame, severity: str | None = None, source: str | None
 def recent(logs: DataFrame, as_of, minutes: int = 60) -> DataFrame:
     """Rows in ``[as_of - minutes, as_of]``."""
     end = to_timestamp_literal(as_of)
-    return logs.where(F.col("timestamp").between(end - F.make_dt_interval(mins=F.lit(minutes)), end))
+    start = end - F.make_dt_interval(mins=F.lit(minutes))
+    return logs.where(F.col("timestamp").between(start, end) & date_bounds(logs, start, end))
 
 
 def lookup(logs: DataFrame, ids: DataFrame, id_col: str = "id", pos_col: str | None = None) -> DataFrame:

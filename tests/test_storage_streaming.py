@@ -84,3 +84,18 @@ def test_ingest_stream(spark, tmpdir_path):
     out = read_logs(spark, table)
     assert out.count() == 3
     assert sorted(r.log_type for r in out.collect()) == ["cef", "syslog", "syslog"]
+
+
+def test_time_search_prunes_partitions_and_pushes_filters(spark):
+    from sieveline.operators.search import recent, search_logs
+    path = checkpoint_root(spark) + "/logs-prune-test"
+    write_logs(log_rows(spark, 10, step=timedelta(days=1)), path)
+    stored = read_logs(spark, path)
+    q = search_logs(stored, severity="critical", start_time="2025-03-05", end_time="2025-03-07", limit=None)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "event_date" in plan.split("PartitionFilters")[1]
+    assert "PushedFilters" in plan and "timestamp" in plan.split("PushedFilters")[1]
+    got = sorted(r.id for r in q.collect())
+    # in range: id2 (03-05 08:00, critical), id3 (03-06, info); id4 is 03-07 08:00, after the midnight end
+    assert got == ["id2"]
+    assert recent(stored, datetime(2025, 3, 6, 9, 0), minutes=120).count() == 1

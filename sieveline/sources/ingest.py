@@ -13,7 +13,7 @@ from sieveline.functions.text import is_blank, strip
 from sieveline.schema import LOG_COLUMNS
 from sieveline.operators.joins import join_small
 from sieveline.sources import cef, csvlog, jsonlog, syslog
-from sieveline.sources.common import POSITION_COLUMNS, apply_stages, finish, nonblank_lines
+from sieveline.sources.common import POSITION_COLUMNS, default_ingested_at, finish, nonblank_lines
 from sieveline.sources.files import read_directory, read_documents, read_lines
 from sieveline.sources.sniff import classify, document_check, file_profile, needs_document
 
@@ -43,15 +43,40 @@ def parse_auto(lines: DataFrame, formats: DataFrame, docs: DataFrame | None = No
         dd = docs.join(f.where(is_doc & (F.col("n_nonblank") > 1)), "source_file")
         objs = jsonlog.json_documents(dd.select("source_file", "text"))
         rows = rows.unionByName(objs.join(f.select("source_file", "log_type", "header"), "source_file"))
-    kinds = [k for k, _ in PARSERS if k != "syslog"]
-    on = {k: F.col("log_type") == k for k in kinds}
-    on["syslog"] = ~F.col("log_type").isin(*kinds)
     kw = dict(year=year, column_mapping=column_mapping, strict_reference_severity=strict_reference_severity,
-              ingested_at=ingested_at)
-    df = apply_stages(nonblank_lines(rows), [(mod, on[kind]) for kind, mod in PARSERS], **kw)
-    rec = F.coalesce(*[mod.fields(on[kind], **kw) for kind, mod in PARSERS])
-    log_type = F.when(on["syslog"], F.lit("syslog")).otherwise(F.col("log_type"))
-    return finish(df.withColumn("_rec", rec), log_type, ingested_at)
+              ingested_at=ingested_at or default_ingested_at())
+    stages, rec, log_type = _dispatch_columns(rows.sparkSession, **kw)
+    df = nonblank_lines(rows)
+    for cols in stages:
+        df = df.withColumns(cols)
+    return finish(df.withColumn("_rec", rec), log_type, kw["ingested_at"])
+
+
+_DISPATCH_CACHE: dict = {}
+
+
+def _dispatch_columns(spark, **kw):
+    """The dispatch expressions depend only on the parameters, not on the
+    data: build them once per session and parameters (building them is
+    thousands of driver calls)."""
+    key = (spark.sparkContext.applicationId, kw["year"], tuple(sorted((kw["column_mapping"] or {}).items())),
+           kw["strict_reference_severity"], kw["ingested_at"])
+    if key not in _DISPATCH_CACHE:
+        kinds = [k for k, _ in PARSERS if k != "syslog"]
+        on = {k: F.col("log_type") == k for k in kinds}
+        on["syslog"] = ~F.col("log_type").isin(*kinds)
+        per = [mod.stages(on[kind], **kw) for kind, mod in PARSERS]
+        stages = []
+        for i in range(max(len(p) for p in per)):
+            cols: dict = {}
+            for p in per:
+                if i < len(p):
+                    cols.update(p[i])
+            stages.append(cols)
+        rec = F.coalesce(*[mod.fields(on[kind], **kw) for kind, mod in PARSERS])
+        log_type = F.when(on["syslog"], F.lit("syslog")).otherwise(F.col("log_type"))
+        _DISPATCH_CACHE[key] = (stages, rec, log_type)
+    return _DISPATCH_CACHE[key]
 
 
 def _explode_documents(tagged: DataFrame, is_doc) -> DataFrame:

@@ -864,3 +864,68 @@ def q_hunt_semantic(spark, d):
         .join(h.select("question_id", F.col("question").alias("text")), "text").select("question_id", "embedding")
     out = hunts.match_hunts_with_semantic(logs, h, q_vecs, log_vecs, limit=100)
     return out.select("question_id", "id", F.col("rank").cast("long"), "origin")
+
+
+# --- remaining small operators (A17, W5, P9, K2, K1+K5, T4) -----------------------------------------
+
+@register("vector_count", "SELECT count(*) AS vector_count FROM embeddings")
+def q_vector_count(spark, d):
+    return vectors.vector_count(_emb(spark, d))
+
+
+@register("feed_last_500", W(LOGS_CTE) + """
+SELECT id, "timestamp", severity FROM logs ORDER BY "timestamp" DESC, id LIMIT 500""")
+def q_feed_last_500(spark, d):
+    return feed.last_n(_logs(spark, d), 500).select("id", ntz("timestamp").alias("timestamp"), "severity")
+
+
+@register("knn_severity", W(LOGS_CTE) + """
+, x AS (SELECT CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+c AS (SELECT list(m ORDER BY pos) AS centroid FROM (SELECT pos, avg(v) AS m FROM x GROUP BY pos)),
+lv AS (SELECT CAST(e.vec_id AS VARCHAR) AS id, e.embedding, l.severity FROM embeddings e
+       JOIN logs l ON CAST(e.vec_id AS VARCHAR) = l.id),
+dd AS (SELECT id, 1.0 - list_dot_product(CAST(lv.embedding AS DOUBLE[]), c.centroid)
+                    / (sqrt(list_dot_product(CAST(lv.embedding AS DOUBLE[]), CAST(lv.embedding AS DOUBLE[])))
+                       * sqrt(list_dot_product(c.centroid, c.centroid))) AS distance FROM lv, c WHERE severity = 'high')
+SELECT id, round(distance, 6) AS distance FROM dd ORDER BY distance, id LIMIT 10""")
+def q_knn_severity(spark, d):
+    """V2 + P9: vectors of logs (embeddings keyed by log id) nearest to the
+    overall centroid, only high-severity logs."""
+    e = _emb(spark, d)
+    lv = e.join(_logs(spark, d).select("id", "severity"), "id")
+    out = vectors.knn(lv, anomalies.centroid(e), k=10, severity="high")
+    return out.select("id", r6("distance").alias("distance"))
+
+
+@register("upsert_embeddings", """
+SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN label = 0 THEN 'relabelled' ELSE 'original' END AS note
+FROM embeddings""")
+def q_upsert_embeddings(spark, d):
+    e = _emb(spark, d).withColumn("note", F.lit("original")).withColumn("timestamp", F.lit(A.INGESTED_AT).cast("timestamp"))
+    new = e.where(F.col("label") == 0).withColumn("note", F.lit("relabelled")) \
+           .withColumn("timestamp", F.lit(A.INGESTED_AT + timedelta(days=1)).cast("timestamp"))
+    return sinks.upsert_embeddings(e, new).select("id", "note")
+
+
+@register("stored_logs", W(LOGS_CTE) + f"SELECT {SEL_LOG}, CAST(CAST(\"timestamp\" AS DATE) AS VARCHAR) AS event_date FROM logs")
+def q_stored_logs(spark, d):
+    """K1 write (date-partitioned Parquet under the shared checkpoint folder)
+    then K5 read back with the fixed schema."""
+    import uuid
+    from sieveline.schema import LOG_COLUMNS
+    from sieveline.session import checkpoint_root
+    path = f"{checkpoint_root(spark)}/stored-logs-{uuid.uuid4().hex}"
+    sinks.write_logs(_logs(spark, d).select(*LOG_COLUMNS), path)
+    back = sinks.read_logs(spark, path).withColumn("event_date", F.col("event_date").cast("string"))
+    return _out(back, LOG_OUT + ["event_date"])
+
+
+@register("stream_dedupe", W(LOGS_CTE) + 'SELECT id, "timestamp", severity FROM logs')
+def q_stream_dedupe(spark, d):
+    """T4: the event stream read twice (every id arrives two times) and
+    de-duplicated on id within the watermark."""
+    s = _event_stream(spark, d)
+    twice = s.unionByName(_event_stream(spark, d))
+    out = feed.dedupe_stream(twice).select("id", "timestamp", "severity")
+    back = _run_stream(spark, out, "stream_dedupe")
+    return back.select("id", ntz("timestamp").alias("timestamp"), "severity")

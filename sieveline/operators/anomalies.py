@@ -65,27 +65,46 @@ def frequency_anomalies(logs: DataFrame, by: str = "source", minutes: int = 10,
 
 # --- D3: severity escalation ---------------------------------------------------------
 
+ID_PREFIX_CHARS = 4
+
+
 def split_halves(logs: DataFrame, by: list[str] | None = None, bucket_minutes: int = 1) -> DataFrame:
     """Order logs by (timestamp, id) per group and mark the first
     n//2 as early, the rest (the odd row too) as late.
 
-    The rank is computed in two levels so no group is sorted in one task:
-    counts per (group, minute) -> running sum on that small table -> offset;
-    plus a row_number inside each (group, minute). Adds ``late`` and ``n``.
+    The exact rank is assembled without sorting a group in one task:
+
+    * per (group, minute) counts -> running sum over minutes = rows before the minute;
+    * per (group, minute, timestamp, id prefix) counts -> running sum inside the
+      minute = rows before that cell (id prefixes order like the ids, so many rows
+      sharing one timestamp -- e.g. a file without times stamped with its ingest
+      time -- still split into up to 16^4 cells);
+    * ``row_number`` inside the cell.
+
+    The windows run on narrow count tables; the only join of the log rows is
+    with the per-cell offset table. Adds ``late`` and ``n``.
     """
     by = list(by or [])
-    mb = minute_bucket(F.col("timestamp"), bucket_minutes).alias("_mb")
-    g = logs.select("*", mb)
-    cnt = g.groupBy(*by, "_mb").agg(F.count(F.lit(1)).alias("_c"))
-    w_before = (Window.partitionBy(*by) if by else Window).orderBy("_mb") \
+    cell = [*by, "_mb", "timestamp", "_idp"]
+    g = logs.select("*", minute_bucket(F.col("timestamp"), bucket_minutes).alias("_mb"),
+                    F.substring("id", 1, ID_PREFIX_CHARS).alias("_idp"))
+    per_cell = g.groupBy(*cell).agg(F.count(F.lit(1)).alias("_c"))
+    w_minute = (Window.partitionBy(*by) if by else Window.partitionBy())
+    per_minute = per_cell.groupBy(*by, "_mb").agg(F.sum("_c").alias("_cm"))
+    minute_off = per_minute.select(
+        *by, "_mb",
+        F.coalesce(F.sum("_cm").over(w_minute.orderBy("_mb").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off_m"),
+        F.sum("_cm").over(w_minute).alias("n"))
+    w_in_minute = Window.partitionBy(*by, "_mb").orderBy("timestamp", "_idp") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*by) if by else Window.partitionBy()
-    offs = cnt.select(*by, "_mb", F.coalesce(F.sum("_c").over(w_before), F.lit(0)).alias("_off"),
-                      F.sum("_c").over(w_all).alias("n"))
-    w_in = Window.partitionBy(*by, "_mb").orderBy("timestamp", "id")
-    ranked = g.withColumn("_rn", F.row_number().over(w_in)).join(offs, [*by, "_mb"])
-    rank0 = F.col("_off") + F.col("_rn") - 1
-    return ranked.withColumn("late", rank0 >= F.floor(F.col("n") / 2)).drop("_mb", "_rn", "_off")
+    cell_off = per_cell.select(*cell, F.coalesce(F.sum("_c").over(w_in_minute), F.lit(0)).alias("_off_c")) \
+        .join(minute_off, [*by, "_mb"])
+    w_cell = Window.partitionBy(*cell).orderBy("id")
+    ranked = g.join(cell_off, cell).withColumn("_rn", F.row_number().over(w_cell))
+    rank0 = F.col("_off_m") + F.col("_off_c") + F.col("_rn") - 1
+    return ranked.withColumn("late", rank0 >= F.floor(F.col("n") / 2)) \
+                 .drop("_mb", "_idp", "_rn", "_off_m", "_off_c")
 
 
 def escalation_stats(halves: DataFrame, by: list[str] | None = None) -> DataFrame:

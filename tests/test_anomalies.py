@@ -66,3 +66,21 @@ def test_detect_dedupes_and_orders(spark):
     ids = [r["log_id"] for r in out]
     assert len(ids) == len(set(ids))
     assert [r["score"] for r in out] == sorted([r["score"] for r in out], reverse=True)
+
+
+def test_split_halves_exact_with_shared_timestamps(spark):
+    """Many rows on one timestamp (as with files lacking times) are ranked by id
+    exactly like a global sort."""
+    from sieveline.operators.anomalies import split_halves
+    rows = [(f"{i:05x}", AS_OF, "s", "", "info", "m") for i in range(3000)]
+    rows += [(f"z{i:03d}", AS_OF - timedelta(seconds=i % 7, minutes=i % 3), "s", "", "high", "m") for i in range(501)]
+    df = logs(spark, rows)
+    got = {r.id: r.late for r in split_halves(df).collect()}
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    half = len(order) // 2
+    want = {r[0]: i >= half for i, r in enumerate(order)}
+    assert got == want
+    by = {r.id: r.late for r in split_halves(df, by=["severity"]).collect()}
+    for sev in ("info", "high"):
+        grp = sorted([r for r in rows if r[4] == sev], key=lambda r: (r[1], r[0]))
+        assert all(by[r[0]] == (i >= len(grp) // 2) for i, r in enumerate(grp))

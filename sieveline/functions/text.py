@@ -38,12 +38,6 @@ def is_blank(c: Column) -> Column:
     return strip(c) == ""
 
 
-def equals_ignore_case(word: str):
-    """Lambda for ``filter``: element equals ``word`` ignoring case."""
-    lowered = word.lower()
-    return lambda x: F.lower(x) == F.lit(lowered)
-
-
 def lowered_keys(keys: Column, first_wins: bool = False) -> Column:
     """Map lower(key) -> key. With the session's LAST_WIN policy the last of
     keys equal ignoring case wins (Python dict semantics); ``first_wins``

@@ -192,6 +192,7 @@ def ingest_files(spark: SparkSession, paths: str | list[str], directory: bool =
                ("ts_quality", "string"), ("ingested_at", "timestamp"), ("event_date", "date")]]).schema)
         return Ingested(empty, _error_report(spark, p, msg), None, None)
     profile = file_profile(lines)
+    # File names only (metadata, one per multi-line JSON document file).
     pending = [r.source_file for r in profile.where(needs_document(profile)).select("source_file").collect()]
     docs = read_documents(spark, pending) if pending else None
     checks = document_check(docs) if docs is not None else None

@@ -128,7 +128,8 @@ def ingest_report(lines: DataFrame, formats: DataFrame, logs: DataFrame) -> Data
                .groupBy("source_file").agg(F.count(F.lit(1)).alias("outside")))
     parsed = logs.groupBy("source_file").agg(F.count(F.lit(1)).alias("parsed"))
     rep = f.join(outside, "source_file", "left").join(parsed, "source_file", "left")
-    total = F.col("n_lines") - F.coalesce(F.col("outside"), F.lit(0))
+    total = F.when(F.col("n_nonblank") == 0, F.lit(0)) \
+             .otherwise(F.col("n_lines") - F.coalesce(F.col("outside"), F.lit(0)))
     got = F.coalesce(F.col("parsed"), F.lit(0))
     header = F.when(F.col("log_type") == "csv", 1).otherwise(0)
     rejected = F.when(F.col("json_mode") == "lines", F.greatest(F.col("n_nonblank") - header - got, F.lit(0))) \

@@ -26,7 +26,8 @@ OBJ = "map<string,string>"
 def file_profile(lines: DataFrame) -> DataFrame:
     """Per file, in one aggregate over all its lines: first/last non-blank
     line position, the first non-blank line, line counts, any CEF line.
-    Files with only blank lines are left out (nothing to parse)."""
+    Files with only blank lines stay: their first line is NULL, they detect
+    as syslog and give no rows, like the original tool."""
     nonblank = ~is_blank(F.col("value"))
     pos = F.when(nonblank, F.struct("block_start", "line_no_key"))
     prof = lines.groupBy("source_file").agg(
@@ -37,8 +38,7 @@ def file_profile(lines: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_lines"),
         F.bool_or(F.col("value").startswith("CEF:")).alias("any_cef"),
     )
-    return prof.where(F.col("n_nonblank") > 0) \
-               .withColumn("first", strip(F.col("first_value"))).drop("first_value")
+    return prof.withColumn("first", strip(F.col("first_value"))).drop("first_value")
 
 
 def _keys_hit(obj_text: Column) -> Column:

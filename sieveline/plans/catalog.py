@@ -34,8 +34,11 @@ def r6(c) -> Column:
     return F.round(c.cast("double"), 6)
 
 
-def _logs(spark: SparkSession, d: str) -> DataFrame:
-    return A.events_as_logs(A.table(spark, d, "events"))
+def _logs(spark: SparkSession, d: str, spread: bool = False) -> DataFrame:
+    """Events as logs. ``spread``: the table is one small file (one input
+    split); heavy per-row queries spread it like a multi-file input."""
+    out = A.events_as_logs(A.table(spark, d, "events"))
+    return A.spread(out) if spread else out
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -714,7 +717,7 @@ SELECT question_id, id, rank FROM (
 WHERE rank <= 50""")
 def q_hunt_matches(spark, d):
     h = hunts.hunt_filters(_questions(spark, d), A.AS_OF)
-    m = hunts.match_hunts(_logs(spark, d), h, limit=50)
+    m = hunts.match_hunts(_logs(spark, d, spread=True), h, limit=50)
     return m.select("question_id", "id", F.col("rank").cast("long"))
 
 
@@ -733,7 +736,7 @@ SELECT hq.question_id, coalesce(total, 0) AS total_matches, coalesce(sb, '') AS
 FROM hq LEFT JOIN sev USING (question_id) LEFT JOIN src USING (question_id)""")
 def q_hunt_summary(spark, d):
     h = hunts.hunt_filters(_questions(spark, d), A.AS_OF)
-    m = hunts.match_hunts(_logs(spark, d), h, limit=None)
+    m = hunts.match_hunts(_logs(spark, d, spread=True), h, limit=None)
     return hunts.summarize_matches(h, m)
 
 
@@ -856,7 +859,7 @@ def q_hunt_semantic(spark, d):
     """D7 + U2 with the offline hashing embedder for questions and logs
     (no SQL twin for the hashing): keyword hits, then semantic hits for
     questions with fewer than 5 keyword hits."""
-    logs = _logs(spark, d)
+    logs = _logs(spark, d, spread=True)
     h = hunts.hunt_filters(_questions(spark, d), A.AS_OF)
     embed = vectors.hashing_embedder()
     log_vecs = vectors.embed_logs(logs, embed).select("id", "embedding")

@@ -180,3 +180,36 @@ def test_ingest_text_two_lines(spark):
                                    "Jan 15 10:01:00 myhost myapp[1234]: Something else")
     out = parse_auto(lines, sniff_formats(lines), year=2025, ingested_at=ING)
     assert out.count() == 2
+
+
+def test_reply_filters_parse_fenced_json(spark):
+    from sieveline.operators.hunts import filters_from_replies
+    replies = spark.createDataFrame([
+        ("a", '```json\n{"query": "%failed%ssh%", "severity": "HIGH", "start_time": "2025-01-15T10:00:00", '
+              '"limit": 50, "drop_me": 1}\n```'),
+        ("b", '{"source": "10.0.0.5"}'),
+        ("c", "not json"),
+    ], "question_id string, reply string")
+    got = {r.question_id: r for r in filters_from_replies(replies).collect()}
+    assert got["a"].query == "%failed%ssh%" and got["a"].severity == "high"
+    assert got["a"].start_time == datetime(2025, 1, 15, 10, 0)
+    assert got["b"].source == "10.0.0.5" and got["b"].query is None
+    assert got["c"].query is None and got["c"].source is None
+
+
+def test_forced_log_type(spark, sample_dir):
+    r = ingest_files(spark, os.path.join(sample_dir, "firewall.csv"), log_type="syslog", year=2025, ingested_at=ING)
+    rows = r.logs.collect()
+    assert len(rows) == 5 and {x.log_type for x in rows} == {"syslog"}
+    assert {x.source for x in rows} == {"syslog"}  # whole-line fallback
+
+
+def test_strict_reference_severity(spark):
+    text = '{"message": "m1", "level": "high"}\n{"message": "m2", "level": "warning"}'
+    lines = lines_from_text(spark, text)
+    fm = sniff_formats(lines)
+    loose = {r.message: r.severity for r in parse_auto(lines, fm, ingested_at=ING).collect()}
+    strict = {r.message: r.severity for r in parse_auto(lines, fm, strict_reference_severity=True,
+                                                        ingested_at=ING).collect()}
+    assert loose == {"m1": "high", "m2": "medium"}
+    assert strict == {"m1": "info", "m2": "medium"}  # the original tool maps "high" to info

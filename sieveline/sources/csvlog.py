@@ -3,7 +3,8 @@
 Each line carries its file's header (the first non-blank line, from the
 per-file sniff aggregate); both are split into cells by one regular
 expression (quotes and ``""`` escapes honoured) and zipped into a map keyed
-by header name. Quoted newlines are not supported (one record per line).
+by header name. Files whose quoted cells hold newlines are first rebuilt into
+records by ``assemble_records``.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import sys
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.severity import level_lookup
@@ -95,3 +96,46 @@ def normalize_csv(lines: DataFrame, headers: DataFrame, column_mapping: dict | N
     tagged = join_small(lines, headers.select("source_file", "header"), "source_file")
     return run_one(tagged, sys.modules[__name__], "csv", column_mapping=column_mapping, width=width,
                    strict_reference_severity=strict_reference_severity, ingested_at=ingested_at)
+
+
+def odd_quotes(line: Column) -> Column:
+    """The line has an odd number of ``"``: it opens or closes a quoted cell
+    that continues on another line."""
+    return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+
+
+def assemble_records(lines: DataFrame) -> DataFrame:
+    """CSV records whose quoted cells hold newlines, rebuilt from lines.
+
+    A line starts a record when the quote parity of all earlier lines of its
+    file is even. Parity before a line = parity of earlier file splits (a
+    small per-split table) + running parity inside its split (a window per
+    split, bounded by the split size). A continuation line belongs to the
+    last record start before it; for lines at the head of a split that start
+    lies in an earlier split, found through a small per-split table of last
+    starts. Lines are then grouped per record (one group = one record) and
+    joined with newlines. Output has the lines schema (position = the
+    record's first line)."""
+    pos_w = Window.partitionBy("source_file", "block_start").orderBy("line_no_key")
+    df = lines.withColumn("_odd", odd_quotes(F.col("value")).cast("int"))
+    per_split = df.groupBy("source_file", "block_start").agg(F.sum("_odd").alias("_s"))
+    before = Window.partitionBy("source_file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    split_par = per_split.select("source_file", "block_start",
+                                 F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_split_before"))
+    df = df.join(split_par, ["source_file", "block_start"])
+    inside = F.coalesce(F.sum("_odd").over(pos_w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = df.withColumn("_start", ((F.col("_split_before") + inside) % 2) == 0)
+    start_pos = F.when(F.col("_start"), F.struct("block_start", "line_no_key"))
+    df = df.withColumn("_own", F.last(start_pos, ignorenulls=True).over(pos_w.rowsBetween(Window.unboundedPreceding, 0)))
+    last_start = df.groupBy("source_file", "block_start").agg(F.max(start_pos).alias("_last"))
+    carry = last_start.select("source_file", "block_start",
+                              F.last("_last", ignorenulls=True).over(
+                                  Window.partitionBy("source_file").orderBy("block_start")
+                                  .rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    df = df.join(carry, ["source_file", "block_start"])
+    df = df.withColumn("_rec", F.coalesce(F.col("_own"), F.col("_carry")))
+    recs = df.groupBy("source_file", "_rec").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_start", "line_no_key", "value"))),
+                                 lambda s: s["value"]), "\n").alias("value"))
+    return recs.select("value", "source_file", F.col("_rec.block_start").alias("block_start"),
+                       F.col("_rec.line_no_key").alias("line_no_key"))

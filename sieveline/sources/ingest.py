@@ -33,9 +33,20 @@ def parse_auto(lines: DataFrame, formats: DataFrame, docs: DataFrame | None = No
     use the syslog parser. One-line JSON documents are exploded in place;
     multi-line documents come whole from ``docs`` (source_file, text).
     """
-    f = formats.select("source_file", "log_type", "json_mode", "header", "n_nonblank")
+    f = formats.select("source_file", "log_type", "json_mode", "header", "n_nonblank",
+                       *(["csv_multiline"] if "csv_multiline" in formats.columns else []))
     # One row per file, broadcast after a size check (else a shuffle join).
     tagged = join_small(lines, f, "source_file")
+    if "csv_multiline" in f.columns and f.where("csv_multiline").limit(1).count():
+        # CSV files with quoted newlines: rebuild their records first (only
+        # these files take the extra window/group steps).
+        multi = F.coalesce(F.col("csv_multiline"), F.lit(False))
+        recs = csvlog.assemble_records(tagged.where(multi).select("value", "source_file", "block_start",
+                                                                  "line_no_key"))
+        recs = recs.join(F.broadcast(f.where("csv_multiline").drop("csv_multiline")), "source_file")
+        tagged = tagged.where(~multi).drop("csv_multiline").unionByName(recs)
+    elif "csv_multiline" in f.columns:
+        tagged = tagged.drop("csv_multiline")
     is_doc = F.col("json_mode") == "document"
     tagged = tagged.where(~is_doc | (F.col("n_nonblank") == 1))
     rows = _explode_documents(tagged, is_doc)
@@ -152,8 +163,13 @@ def summarize_report(report: DataFrame) -> DataFrame:
 
 
 def rejects(lines: DataFrame, formats: DataFrame, logs: DataFrame) -> DataFrame:
-    """Non-blank lines of line-format files that gave no row (CSV headers aside)."""
-    f = formats.where(F.col("json_mode") == "lines").select("source_file", "log_type", "header")
+    """Non-blank lines of line-format files that gave no row (CSV headers
+    aside). CSV files with quoted newlines are left out: their continuation
+    lines belong to records started on earlier lines."""
+    f = formats.where(F.col("json_mode") == "lines")
+    if "csv_multiline" in f.columns:
+        f = f.where(~F.coalesce(F.col("csv_multiline"), F.lit(False)))
+    f = f.select("source_file", "log_type", "header")
     nb = join_small(lines.where(~is_blank(F.col("value"))), f, "source_file")
     nb = nb.where(~((F.col("log_type") == "csv") & (F.trim(F.col("value")) == F.col("header"))))
     return nb.join(logs.select("source_file", *POSITION_COLUMNS), ["source_file", *POSITION_COLUMNS], "left_anti") \

@@ -213,3 +213,29 @@ def test_strict_reference_severity(spark):
                                                         ingested_at=ING).collect()}
     assert loose == {"m1": "high", "m2": "medium"}
     assert strict == {"m1": "info", "m2": "medium"}  # the original tool maps "high" to info
+
+
+def test_csv_quoted_newlines_across_splits(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "multi.csv")
+    n = 400
+    with open(path, "w") as f:
+        f.write("time,src,message,level\n")
+        for i in range(n):
+            msg = f'"event {i} starts\nand ""continues""\nends {i}"' if i % 3 else f"single {i}"
+            f.write(f"2025-01-01T00:{i // 60 % 60:02d}:{i % 60:02d}Z,h{i},{msg},info\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        parts = spark.read.text(path).rdd.getNumPartitions()
+        r = ingest_files(spark, path, year=2025, ingested_at=ING)
+        rows = {x.source: x.message for x in r.logs.collect()}
+        rep = r.report.first()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert parts > 4
+    assert len(rows) == n
+    for i in range(n):
+        want = f'event {i} starts\nand "continues"\nends {i}' if i % 3 else f"single {i}"
+        assert rows[f"h{i}"] == want, i
+    assert rep["parsed"] == n and rep["log_type"] == "csv"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.severity import rank_to_severity, severity_rank
-from sieveline.functions.text import TIMELINE_PREVIEW, iso_timestamp, preview, render_line
+from sieveline.functions.text import TIMELINE_PREVIEW, iso_timestamp, render_line
 
 # --- fixed values (texts of the original tool's offline summary) ---------------
 RECOMMENDATION = "Review the flagged log entries and investigate affected hosts."

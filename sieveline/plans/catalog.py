@@ -932,3 +932,18 @@ def q_stream_dedupe(spark, d):
     out = feed.dedupe_stream(twice).select("id", "timestamp", "severity")
     back = _run_stream(spark, out, "stream_dedupe")
     return back.select("id", ntz("timestamp").alias("timestamp"), "severity")
+
+
+@register("stream_bucket_zscores", W(LOGS_CTE) + """
+, b AS (SELECT source AS key, time_bucket(INTERVAL 10 MINUTE, "timestamp") AS bucket, count(*) AS count FROM logs
+        GROUP BY ALL),
+closed AS (SELECT * FROM b WHERE bucket + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE),
+z AS (SELECT *, count(*) OVER (PARTITION BY key) AS n_buckets, avg(count) OVER (PARTITION BY key) AS mean,
+             stddev_pop(count) OVER (PARTITION BY key) AS std FROM closed)
+SELECT key, bucket, count, n_buckets, round(CASE WHEN std <> 0 THEN (count - mean) / std END, 6) AS zscore FROM z""")
+def q_stream_bucket_zscores(spark, d):
+    """T5: 10-minute counts per source kept by a watermarked stream (closed
+    buckets only), then z-scores over the emitted counts."""
+    counts = _run_stream(spark, feed.bucket_counts_stream(_event_stream(spark, d)), "stream_buckets")
+    z = feed.zscores_from_counts(counts)
+    return z.select("key", ntz("bucket").alias("bucket"), "count", "n_buckets", r6("zscore").alias("zscore"))

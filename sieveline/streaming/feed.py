@@ -89,3 +89,24 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     q = (stream.writeStream.format("parquet").outputMode(mode).option("path", path)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def bucket_counts_stream(logs: DataFrame, minutes: int = 10, by: str = "source",
+                         watermark: str = "10 minutes") -> DataFrame:
+    """T5: streaming counts per (key, ``minutes`` bucket) with a watermark;
+    closed buckets feed the z-score step (``zscores_from_counts``)."""
+    return logs.withWatermark("timestamp", watermark) \
+               .groupBy(F.col(by).alias("key"), F.window("timestamp", f"{minutes} minutes").alias("w")) \
+               .agg(F.count(F.lit(1)).alias("count")) \
+               .select("key", F.col("w.start").alias("bucket"), "count")
+
+
+def zscores_from_counts(counts: DataFrame) -> DataFrame:
+    """A9/W1 over emitted bucket counts (batch, or per micro-batch in
+    ``foreachBatch`` over the counts table): each bucket against its key's
+    non-empty buckets, population std."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("key")
+    z = counts.select("*", F.count(F.lit(1)).over(w).alias("n_buckets"), F.avg("count").over(w).alias("mean"),
+                      F.stddev_pop("count").over(w).alias("std"))
+    return z.withColumn("zscore", F.when(F.col("std") != 0, (F.col("count") - F.col("mean")) / F.col("std")))

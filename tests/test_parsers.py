@@ -239,3 +239,19 @@ def test_csv_quoted_newlines_across_splits(spark, tmpdir_path):
         want = f'event {i} starts\nand "continues"\nends {i}' if i % 3 else f"single {i}"
         assert rows[f"h{i}"] == want, i
     assert rep["parsed"] == n and rep["log_type"] == "csv"
+
+
+def test_hunts_source_only_question(spark):
+    from sieveline.operators.hunts import hunt_filters, match_all
+    rows = [("l1", datetime(2025, 1, 1), "10.0.0.5", "", "high", "alpha"),
+            ("l2", datetime(2025, 1, 1), "gw", "10.0.0.5-edge", "info", "beta"),
+            ("l3", datetime(2025, 1, 1), "10.0.0.6", "", "info", "gamma"),
+            ("l4", datetime(2025, 1, 1), "x", "y", "low", "delta")]
+    logs = spark.createDataFrame(rows, "id string, timestamp timestamp, source string, hostname string, "
+                                       "severity string, message string")
+    qs = spark.createDataFrame([("a", "on 10.0.0.5"), ("b", "high on 10.0.0.5"), ("c", "all")],
+                               "question_id string, text string")
+    h = hunt_filters(qs, datetime(2025, 1, 2))
+    got = sorted((r.question_id, r.id) for r in match_all(logs, h).collect())
+    # "b": the severity word stays a keyword (%high%), so no message matches.
+    assert got == [("a", "l1"), ("a", "l2"), ("c", "l1"), ("c", "l2"), ("c", "l3"), ("c", "l4")]

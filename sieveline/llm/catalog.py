@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import quality
+from sieveline.llm import bpe, quality, token_counts
 from sieveline.llm.common import read, written
 
 QUERIES: dict = {}
@@ -17,6 +17,27 @@ def query(fn):
     return fn
 
 
+#: n_tokens above this is over the limit.
+TOKEN_LIMIT = 512
+
+
+@query
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round trip of every text: digests of the ids and of the decoded text."""
+    encoded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return bpe.decode(encoded).select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded_text", 256).alias("decoded_sha256"))
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs).select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens", "n_whole",
+        (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics and verdicts of all documents; the narrow metrics are written once and used twice."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, quality, token_counts
+from sieveline.llm import bpe, mixing, quality, token_counts
 from sieveline.llm.common import read, written
 
 QUERIES: dict = {}
@@ -30,6 +30,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded_text", 256).alias("decoded_sha256"))
 
 
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes are counted once and written without the texts."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sizes = written(mixing.sized(docs).drop("text"), "mix-sizes")
+    return mixing.mix(docs, sizes=sizes).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,4 +99,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged"""
 
 
+def _mixing_sql() -> str:
+    turns = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(mixing.WEIGHTS))
+    share = f"{mixing.SHARE_PERCENT} * total"
+    return f"""
+WITH docs AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
+                                         lambda x: x <> '')) AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS h
+  FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+ranked AS (SELECT *, {mixing.CAP} * source_size AS cap, sum(source_size) OVER () AS total,
+                  CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % {len(mixing.WEIGHTS)} {turns} END AS w
+           FROM sources),
+running AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                   sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM ranked),
+capped AS (SELECT *, ({share} - 100 * before) * w >= 100 * cap * open_w AS is_full FROM running),
+goal AS (SELECT source, source_size,
+                CASE WHEN is_full THEN cap::DOUBLE
+                     ELSE (w * ({share} - 100 * sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ()))::DOUBLE
+                          / (100 * sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ())::DOUBLE END AS target FROM capped),
+placed AS (SELECT doc_id, size, source_size, target, floor(target)::BIGINT AS words,
+                  sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS UNBOUNDED PRECEDING) - size AS p
+           FROM docs d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (greatest(0, least(p + size, words) - p)
+        + greatest(0, least(p + source_size + size, words) - p - source_size))::BIGINT AS taken
+FROM placed"""
+
+
+SQL["op2_mixing"] = _mixing_sql()
 SQL["op10_quality_rules"] = _quality_sql()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, mixing, quality, token_counts
+from sieveline.llm import bpe, licences, mixing, quality, token_counts
 from sieveline.llm.common import read, written
 
 QUERIES: dict = {}
@@ -38,6 +38,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, sizes=sizes).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan_licences(docs).drop("text")
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

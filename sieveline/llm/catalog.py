@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, licences, mixing, quality, token_counts
+from sieveline.llm import bpe, licences, mixing, near_dups, quality, token_counts
 from sieveline.llm.common import read, written
 
 QUERIES: dict = {}
@@ -44,6 +44,12 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(docs).drop("text")
 
 
+@query
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dups.near_duplicates(docs).drop("__hash")
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

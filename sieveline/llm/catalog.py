@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, licences, mixing, near_dups, quality, token_counts
+from sieveline.llm import bpe, licences, line_dedup, mixing, near_dups, quality, token_counts
 from sieveline.llm.common import read, written
 
 QUERIES: dict = {}
@@ -50,6 +50,15 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(docs).drop("__hash")
 
 
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was deleted from each document, and digests of what is left."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    runs = F.expr("array_join(transform(removed_runs, r -> concat(r.from, '-', r.to)), ',')")
+    return line_dedup.dedup_lines(docs).select(
+        "doc_id", "n_lines", "n_removed", runs.alias("removed_runs"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, licences, line_dedup, mixing, near_dups, quality, token_counts
+from sieveline.llm import bpe, fingerprints, licences, line_dedup, mixing, near_dups, quality, token_counts
 from sieveline.llm.common import read, written
 
 QUERIES: dict = {}
@@ -59,6 +59,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", runs.alias("removed_runs"), F.sha2("text", 256).alias("text_sha256"))
 
 
+@query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.edited_texts(docs).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("vector")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_vector")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
+        fingerprints.likeness(F.col("vector"), F.col("next_vector")).alias("near_next"))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

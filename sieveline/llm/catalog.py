@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, fingerprints, licences, line_dedup, mixing, near_dups, quality, token_counts
+from sieveline.llm import bpe, fingerprints, licences, line_dedup, mixing, near_dups, quality, token_counts, url_rules
 from sieveline.llm.common import read, written
 
 QUERIES: dict = {}
@@ -70,6 +70,14 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(F.col("vector"), F.col("next_vector")).alias("near_next"))
 
 
+@query
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in a page's path is the id of the document it shows, which labels refer to."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.filter_urls(pages, read(spark, sf_dir, "labels")).select(
+        "page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, fingerprints, licences, line_dedup, mixing, near_dups, quality, token_counts, url_rules
+from sieveline.llm import bpe, fingerprints, licences, line_dedup, mixing, near_dups, quality, token_counts, url_rules, warc
 from sieveline.llm.common import read, written
 
 QUERIES: dict = {}
@@ -59,6 +59,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", runs.alias("removed_runs"), F.sha2("text", 256).alias("text_sha256"))
 
 
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages say when they are read back."""
+    records, _ = warc.archive(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.where("gap IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

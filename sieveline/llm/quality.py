@@ -45,38 +45,49 @@ SPREAD = 6
 BIN_BITS = 4
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+def measure(docs: DataFrame, text: str = "text", repeats: bool = True) -> DataFrame:
     """Add ``METRICS`` (long) to every document; one pass over the text, no shuffle.
 
     Repeated words: 3-word windows are hashed to 64 bits. A hash-set pass finds
     the texts that repeat none; for the others (hash, position) pairs are sorted,
     equal neighbours flagged, and covered words counted from the gaps between
-    flagged positions.
+    flagged positions. ``repeats=False`` leaves n_repeat_words null.
     """
     base = replace_columns(docs, METRICS)
     staged = (
         base.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
         .withColumn("__words", F.expr(f"array_remove(split(__text, r'[{SPACE_CLASS}]+'), '')"))
         .withColumn("__lines", F.expr(f"filter(split(__text, '\\n'), x -> x rlike r'{WORD_PATTERN}')"))
-        .withColumn("n_words", F.size("__words").cast("long"))
-        .withColumn("__grams", F.expr(
-            "CASE WHEN n_words < 3 THEN array() ELSE transform(sequence(0, cast(n_words - 3 AS int)), "
-            "i -> xxhash64(get(__words, i), get(__words, i + 1), get(__words, i + 2))) END"))
-        .withColumn("__pairs", F.expr(
-            "CASE WHEN size(array_distinct(__grams)) < size(__grams) "
-            "THEN array_sort(transform(__grams, (h, i) -> struct(h, i))) END"))
-        .withColumn("__places", F.expr(
-            "array_sort(transform(filter(__pairs, (p, i) -> p.h = get(__pairs, i - 1).h OR p.h = get(__pairs, i + 1).h),"
-            " p -> p.i))"))
-        .withColumn("n_repeat_words", F.expr(
-            "coalesce(aggregate(__places, struct(0L AS n, -3 AS last), "
-            "(a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last), a -> a.n), 0L)"))
-        .withColumn("word_chars", F.length(F.translate("__text", SPACE_CHARS, "")).cast("long"))
-        .withColumn("n_symbols", (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long"))
-        .withColumn("n_shouts", F.regexp_count("__text", F.lit("!")).cast("long"))
-        .withColumn("n_lines", F.size("__lines").cast("long"))
-        .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")))
-    return staged.select(*[F.col(f"`{c}`") for c in base.columns], *METRICS)
+        .withColumn("__n", F.size("__words").cast("long")))
+    if repeats:
+        staged = (
+            staged
+            .withColumn("__grams", F.expr(
+                "CASE WHEN __n < 3 THEN array() ELSE transform(sequence(0, cast(__n - 3 AS int)), "
+                "i -> xxhash64(get(__words, i), get(__words, i + 1), get(__words, i + 2))) END"))
+            .withColumn("__pairs", F.expr(
+                "CASE WHEN size(array_distinct(__grams)) < size(__grams) "
+                "THEN array_sort(transform(__grams, (h, i) -> struct(h, i))) END"))
+            .withColumn("__places", F.expr(
+                "array_sort(transform(filter(__pairs, (p, i) -> p.h = get(__pairs, i - 1).h "
+                "OR p.h = get(__pairs, i + 1).h), p -> p.i))"))
+            .withColumn("__repeats", F.expr(
+                "coalesce(aggregate(__places, struct(0L AS n, -3 AS last), "
+                "(a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last), a -> a.n), 0L)")))
+    else:
+        staged = staged.withColumn("__repeats", F.lit(None).cast("long"))
+    metrics = {
+        "n_words": F.col("__n"),
+        "word_chars": F.length(F.translate("__text", SPACE_CHARS, "")),
+        "n_symbols": F.length("__text") - F.length(F.translate("__text", SYMBOLS, "")),
+        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
+        "n_repeat_words": F.col("__repeats"),
+        "n_lines": F.size("__lines"),
+        "n_shouts": F.regexp_count("__text", F.lit("!")),
+    }
+    # The generator keeps later projections and filters from copying these expressions into themselves.
+    return staged.select(*[F.col(f"`{c}`") for c in base.columns], F.inline(F.array(F.struct(
+        *[metrics[m].cast("long").alias(m) for m in METRICS]))))
 
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -135,5 +146,5 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     The text is measured twice, once for the sketches and once for the verdict,
     rather than shuffled or stored between the two.
     """
-    measured = measure(docs, text)
-    return judge(measured, fences(measured, lang, source), lang, source)
+    limits = fences(measure(docs, text, repeats=False), lang, source)
+    return judge(measure(docs, text), limits, lang, source)

@@ -35,25 +35,25 @@ BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apa
 
 #: (label, template, mandatory key phrases): wording of the public license notices (fixed values).
 TEMPLATES = [
-    ("agpl-3", "licensed under the GNU Affero General Public License version 3",
+    ("agpl-3", "GNU Affero General Public License version 3",
      ["gnu affero general public license", "version 3"]),
-    ("apache-2", "Licensed under the Apache License, Version 2.0", ["apache license version 2"]),
+    ("apache-2", "Apache License, Version 2.0", ["apache license version 2"]),
     ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the "
      "License at http://www.apache.org/licenses/LICENSE-2.0", ["www apache org licenses license 2 0"]),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
      "that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("cc-by", "Licensed under CC BY 4.0", ["cc by 4"]),
+    ("cc-by", "CC BY 4.0", ["cc by 4"]),
     ("cc-by", "Creative Commons Attribution 4.0 International License", ["creative commons attribution 4"]),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0", ["cc by nc"]),
+    ("cc-by-nc", "CC BY-NC 4.0", ["cc by nc"]),
     ("cc-by-nc", "Creative Commons Attribution-NonCommercial 4.0 International License",
      ["creative commons attribution noncommercial"]),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0", ["cc by sa"]),
+    ("cc-by-sa", "CC BY-SA 4.0", ["cc by sa"]),
     ("cc0", "CC0 1.0 Universal Public Domain Dedication", ["cc0 1 0"]),
-    ("gpl-2", "licensed under the GNU General Public License, version 2", ["gnu general public license", "version 2"]),
-    ("gpl-3", "licensed under the GNU General Public License, version 3", ["gnu general public license", "version 3"]),
+    ("gpl-2", "GNU General Public License, version 2", ["gnu general public license", "version 2"]),
+    ("gpl-3", "GNU General Public License, version 3", ["gnu general public license", "version 3"]),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
      "hereby granted", ["with or without fee is hereby granted"]),
-    ("lgpl-3", "licensed under the GNU Lesser General Public License version 3",
+    ("lgpl-3", "GNU Lesser General Public License version 3",
      ["gnu lesser general public license", "version 3"]),
     ("mit", "under the MIT License", ["the mit license"]),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "

@@ -33,7 +33,7 @@ def parse_auto(lines: DataFrame, formats: DataFrame, docs: DataFrame | None = No
     use the syslog parser. One-line JSON documents are exploded in place;
     multi-line documents come whole from ``docs`` (source_file, text).
     """
-    f = formats.select("source_file", "log_type", "json_mode", "header", "n_nonblank",
+    f = formats.select("source_file", "log_type", "json_mode", "header", "n_nonblank", "first_pos",
                        *(["csv_multiline"] if "csv_multiline" in formats.columns else []))
     # One row per file, broadcast after a size check (else a shuffle join).
     tagged = join_small(lines, f, "source_file")
@@ -53,7 +53,8 @@ def parse_auto(lines: DataFrame, formats: DataFrame, docs: DataFrame | None = No
     if docs is not None:
         dd = docs.join(f.where(is_doc & (F.col("n_nonblank") > 1)), "source_file")
         objs = jsonlog.json_documents(dd.select("source_file", "text"))
-        rows = rows.unionByName(objs.join(f.select("source_file", "log_type", "header"), "source_file"))
+        rows = rows.unionByName(objs.join(f.select("source_file", "log_type", "header"), "source_file")
+                                .withColumn("is_header", F.lit(False)))
     kw = dict(year=year, column_mapping=column_mapping, strict_reference_severity=strict_reference_severity,
               ingested_at=ingested_at or default_ingested_at())
     stages, rec, log_type = _dispatch_columns(rows.sparkSession, **kw)
@@ -95,11 +96,13 @@ def _explode_documents(tagged: DataFrame, is_doc) -> DataFrame:
     becomes one row per top-level element."""
     elems = F.when(is_doc, F.coalesce(jsonlog.json_elements(strip(F.col("value"))), F.array().cast("array<string>"))) \
              .otherwise(F.array(F.col("value")))
+    # A CSV header is known by its position, so that a line with the same text stays a row.
+    at_first = F.struct("block_start", "line_no_key") == F.col("first_pos")
     out = tagged.select("source_file", "block_start", "log_type", "header", "line_no_key", is_doc.alias("_doc"),
-                        F.posexplode(elems).alias("_pos", "_v"))
+                        at_first.alias("is_header"), F.posexplode(elems).alias("_pos", "_v"))
     return out.select(F.col("_v").alias("value"), "source_file", "block_start",
                       F.when(F.col("_doc"), F.col("_pos").cast("long")).otherwise(F.col("line_no_key")).alias("line_no_key"),
-                      "log_type", "header")
+                      "log_type", "header", "is_header")
 
 
 def assign_ids(logs: DataFrame) -> DataFrame:
@@ -169,9 +172,10 @@ def rejects(lines: DataFrame, formats: DataFrame, logs: DataFrame) -> DataFrame:
     f = formats.where(F.col("json_mode") == "lines")
     if "csv_multiline" in f.columns:
         f = f.where(~F.coalesce(F.col("csv_multiline"), F.lit(False)))
-    f = f.select("source_file", "log_type", "header")
+    f = f.select("source_file", "log_type", "first_pos")
     nb = join_small(lines.where(~is_blank(F.col("value"))), f, "source_file")
-    nb = nb.where(~((F.col("log_type") == "csv") & (F.trim(F.col("value")) == F.col("header"))))
+    at_first = F.struct("block_start", "line_no_key") == F.col("first_pos")
+    nb = nb.where(~((F.col("log_type") == "csv") & at_first))
     return nb.join(logs.select("source_file", *POSITION_COLUMNS), ["source_file", *POSITION_COLUMNS], "left_anti") \
              .select("source_file", "block_start", "line_no_key", "log_type", "value")
 

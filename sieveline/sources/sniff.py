@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import is_blank, strip
-from sieveline.sources.csvlog import odd_quotes
+from sieveline.sources.csvlog import opens_quote
 from sieveline.sources.jsonlog import WINDOWS_KEYS
 
 # --- fixed values (detection shapes of the original tool) ----------------------
@@ -38,7 +38,7 @@ def file_profile(lines: DataFrame) -> DataFrame:
         F.count_if(nonblank).alias("n_nonblank"),
         F.count(F.lit(1)).alias("n_lines"),
         F.bool_or(F.col("value").startswith("CEF:")).alias("any_cef"),
-        F.bool_or(odd_quotes(F.col("value"))).alias("odd_quotes"),
+        F.bool_or(opens_quote(F.col("value"))).alias("open_quotes"),
     )
     return prof.withColumn("first", strip(F.col("first_value"))).drop("first_value")
 
@@ -101,7 +101,7 @@ def classify(profile: DataFrame, doc_checks: DataFrame | None = None) -> DataFra
     mode = F.when(single_doc | multi_doc, "document").otherwise("lines")
     return profile.select("source_file", log_type.alias("log_type"), mode.alias("json_mode"),
                           first.alias("header"), "first_pos", "last_pos", "n_nonblank", "n_lines",
-                          (F.col("odd_quotes") & is_csv).alias("csv_multiline"))
+                          (F.col("open_quotes") & is_csv).alias("csv_multiline"))
 
 
 def sniff_formats(lines: DataFrame, docs: DataFrame | None = None) -> DataFrame:

@@ -255,3 +255,51 @@ def test_hunts_source_only_question(spark):
     got = sorted((r.question_id, r.id) for r in match_all(logs, h).collect())
     # "b": the severity word stays a keyword (%high%), so no message matches.
     assert got == [("a", "l1"), ("a", "l2"), ("c", "l1"), ("c", "l2"), ("c", "l3"), ("c", "l4")]
+
+
+def _csv_ingest(spark, folder, name, text):
+    path = os.path.join(folder, name)
+    with open(path, "w") as f:
+        f.write(text)
+    return ingest_files(spark, path, ingested_at=ING)
+
+
+def test_csv_ragged_rows(spark, tmpdir_path):
+    wide = ",".join(f"w{i}" for i in range(300))
+    text = "\n".join([
+        "time,src,message,extra col",
+        "2025-01-15 10:00:00,10.0.0.1,ok,x",
+        "2025-01-15 10:00:01,10.0.0.2",               # short
+        ",10.0.0.3,empty first,y",                      # empty first cell
+        '2025-01-15 10:00:03,10.0.0.4,disk 5" full,z',  # stray quote
+        '2025-01-15 10:00:04,10.0.0.5,"a, ""b""",q',    # quoted
+        '2025-01-15 10:00:05,10.0.0.6,"tail"s,q',       # text after the closing quote
+        "time,src,message,extra col",                   # the header's text again
+        "2025-01-15 10:00:07,10.0.0.7,more,e,1,2",      # extra cells
+        f"2025-01-15 10:00:08,10.0.0.8,{wide}",         # very wide
+        ""])
+    res = _csv_ingest(spark, tmpdir_path, "ragged.csv", text)
+    rows = {r.source: r for r in res.logs.collect()}
+    assert [(s, rows[s].message) for s in sorted(rows)[:7]] == [
+        ("10.0.0.1", "ok"), ("10.0.0.2", ""), ("10.0.0.3", "empty first"), ("10.0.0.4", 'disk 5" full'),
+        ("10.0.0.5", 'a, "b"'), ("10.0.0.6", "tails"), ("10.0.0.7", "more")]
+    assert rows["src"].message == "message" and rows["10.0.0.2"].metadata["extra col"] == ""
+    assert rows["10.0.0.7"].metadata["_extra"] == '["1","2"]' and rows["10.0.0.8"].message == "w0"
+    rep = res.report.first()
+    assert (rep.parsed, rep.failed, rep.rejected) == (9, 1, 0) and res.rejects.count() == 0
+
+
+def test_csv_quote_state_across_lines(spark, tmpdir_path):
+    """Stray and structural quotes mixed with cells that go over lines, against Python's csv module."""
+    import csv
+    import io
+    import random
+    rng = random.Random(4)
+    cells = ["x", "", 'disk 5" b', '"q, ""r"""', '"two\nlines"', '"three\n\n, ""deep""\nlines"', '"a"tail', 'y"', '"",']
+    lines = ["time,src,message"]
+    for i in range(120):
+        lines.append(f"2025-01-15 10:00:00,s{i},{rng.choice(cells)}")
+    text = "\n".join(lines) + "\n"
+    want = {r["src"]: r["message"] for r in csv.DictReader(io.StringIO(text))}
+    got = {r.source: r.message for r in _csv_ingest(spark, tmpdir_path, "state.csv", text).logs.collect()}
+    assert got == want

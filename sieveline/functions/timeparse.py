@@ -11,18 +11,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}"
-_NUMERIC_DATE = r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}"
-_NAMED_MONTH = r"^(?i)[a-z]{3,9}\.?\s+\d{1,2},?\s+\d{4}"
-_DAY_NAMED_MONTH = r"^\d{1,2}\s+(?i)[a-z]{3,9}\.?\s+\d{4}"
-
-# Formats tried for non-ISO text, in order.
-_NAMED_FORMATS = ["MMM d yyyy HH:mm:ss", "MMM d yyyy H:mm:ss", "MMM d yyyy", "MMMM d yyyy HH:mm:ss",
-                  "MMMM d yyyy", "d MMM yyyy HH:mm:ss", "d MMM yyyy"]
-
-
-def _try_formats(s: Column, formats: list[str]) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in formats])
+_ISO_DATE = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}"
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})?"
+# Time of day, AM/PM and zone after a date: hour, minute, second, fraction, am/pm, zone.
+_TIME = (r"(?:[ T:,]+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?)?"
+         r" ?([AaPp][Mm])? ?([Zz]|[Uu][Tt][Cc]|[Gg][Mm][Tt]|[+-]\d{2}:?\d{2})?$")
+_NUMERIC = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})" + _TIME
+# Optional weekday, then day month year or month day year; month names by their first three letters.
+_WEEKDAY = r"^(?:[A-Za-z]{3,9},? )?"
+_DAY_FIRST = _WEEKDAY + r"(\d{1,2})[ /-]([A-Za-z]{3,9})\.?[ /,-]+(\d{4})" + _TIME
+_MONTH_FIRST = _WEEKDAY + r"([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})" + _TIME
+
+# --- fixed values ---------------------------------------------------------------
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+# ---------------------------------------------------------------------------------
+
+
+def _zone(z: Column) -> Column:
+    """Zone text as the cast reads it: Z, or an offset with a colon; none stays none (the session's zone)."""
+    return F.when(z == "", F.lit("")).when(z.rlike("^[+-]"), F.regexp_replace(z, r"^([+-]\d{2}):?(\d{2})$", "$1:$2")) \
+            .otherwise(F.lit("Z"))
+
+
+def _assembled(s: Column, pattern: str, year: int, month: Column, day: Column) -> Column:
+    """Timestamp from the groups of ``pattern``: groups 1 to 3 are the date, 4 to 9 those of ``_TIME``."""
+    g = lambda i: F.regexp_extract(s, pattern, i)
+    hour, half = g(4).try_cast("int"), F.lower(g(8))
+    # 12 AM is 0 o'clock, 12 PM is 12; without AM or PM the hour stands.
+    hour = F.when(half == "", F.coalesce(hour, F.lit(0))).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12)
+                                                                .otherwise(0))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    zero = lambda c: F.when(c == "", F.lit("0")).otherwise(c)
+    text = F.concat(g(year), F.lit("-"), two(month), F.lit("-"), two(day), F.lit("T"), two(hour), F.lit(":"),
+                    two(zero(g(5))), F.lit(":"), two(zero(g(6))), F.lit("."), zero(F.substring(g(7), 1, 6)), _zone(g(9)))
+    return text.try_cast("timestamp")
+
+
+def _month_number(name: Column) -> Column:
+    at = F.call_function("locate", F.lower(F.substring(name, 1, 3)), F.lit(_MONTHS))
+    return F.when((at > 0) & (at % 3 == 1), ((at + 2) / 3).cast("int"))
 
 
 def normalize_ts_text(text: Column) -> Column:
@@ -33,18 +60,24 @@ def normalize_ts_text(text: Column) -> Column:
 def parse_normalized_ts(s: Column) -> Column:
     """Stage 2: (ts, quality) from text already passed through
     ``normalize_ts_text``. Only the branch whose shape matches is evaluated."""
-    iso = F.regexp_replace(s, r"(\d{2}:\d{2}:\d{2}),(\d+)", "$1.$2")
+    iso = F.regexp_replace(s, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
+    iso = F.regexp_replace(iso, r"(\d{2}:\d{2}:\d{2}),(\d+)", "$1.$2")
+    iso = F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    iso = F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{2}$"), s).otherwise(iso)
+    compact = F.regexp_replace(F.regexp_replace(s, _COMPACT, "$1-$2-$3T$4:$5:$6"), r"([+-]\d{2})(\d{2})$", "$1:$2")
     epoch_s = F.when(s.rlike(r"^\d{10}(\.\d+)?$"), F.timestamp_seconds(s.try_cast("double")))
     epoch_ms = F.when(s.rlike(r"^\d{13}$"), F.timestamp_millis(s.try_cast("long")))
-    numeric = F.regexp_replace(s, r"[.-]", "/")
-    first = F.regexp_extract(s, r"^(\d{1,2})", 1).cast("int")
-    named = F.regexp_replace(F.regexp_replace(s, ",", ""), r"\.(\s)", "$1")
+    one, two = (F.regexp_extract(s, _NUMERIC, i).try_cast("int") for i in (1, 2))
+    # Month first unless the first number cannot be a month.
+    month, day = F.when(one > 12, two).otherwise(one), F.when(one > 12, one).otherwise(two)
     parsed = (
         F.when(s.rlike(_ISO_DATE), iso.try_cast("timestamp"))
-        .when(s.rlike(_NUMERIC_DATE),
-              F.when(first > 12, _try_formats(numeric, ["d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy"]))
-              .otherwise(_try_formats(numeric, ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy"])))
-        .when(s.rlike(_NAMED_MONTH) | s.rlike(_DAY_NAMED_MONTH), _try_formats(named, _NAMED_FORMATS))
+        .when(s.rlike(_COMPACT), compact.try_cast("timestamp"))
+        .when(s.rlike(_NUMERIC), _assembled(s, _NUMERIC, 3, month, day))
+        .when(s.rlike(_DAY_FIRST), _assembled(s, _DAY_FIRST, 3, _month_number(F.regexp_extract(s, _DAY_FIRST, 2)),
+                                              F.regexp_extract(s, _DAY_FIRST, 1)))
+        .when(s.rlike(_MONTH_FIRST), _assembled(s, _MONTH_FIRST, 3, _month_number(F.regexp_extract(s, _MONTH_FIRST, 1)),
+                                                F.regexp_extract(s, _MONTH_FIRST, 2)))
     )
     epoch = F.coalesce(epoch_s, epoch_ms)
     return F.struct(

@@ -26,9 +26,9 @@ def _keyed(logs: DataFrame, by: list[str] | None) -> tuple[DataFrame, list[str]]
     return logs.withColumn("incident", F.lit("all")), ["incident"]
 
 
-def incident_hosts(logs: DataFrame, by: list[str] | None = None, top: int = MAX_HOSTS) -> DataFrame:
+def incident_hosts(logs: DataFrame, by: list[str] | None = None, top: int | None = MAX_HOSTS) -> DataFrame:
     """U3 + L7: per incident the number of distinct non-empty hosts
-    (hostnames and sources) and the first ``top`` of them sorted. Hosts are
+    (hostnames and sources) and the first ``top`` of them sorted (None: all). Hosts are
     made distinct by an aggregate and cut by a per-group top-k, so a group
     with many hosts is never collected whole."""
     df, keys = _keyed(logs, by)
@@ -36,29 +36,32 @@ def incident_hosts(logs: DataFrame, by: list[str] | None = None, top: int = MAX_
               .where(F.col("host").isNotNull() & (F.col("host") != "")).distinct()
     counts = hosts.groupBy(*keys).agg(F.count(F.lit(1)).alias("host_count"))
     w = Window.partitionBy(*keys).orderBy("host")
-    first = hosts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top) \
-                 .groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("host")), ", ").alias("affected_hosts"))
+    if top is not None:
+        hosts = hosts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
+    first = hosts.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("host")), ", ").alias("affected_hosts"))
     return counts.join(first, keys)
 
 
-def incident_timeline(logs: DataFrame, by: list[str] | None = None, n: int = TIMELINE_EVENTS) -> DataFrame:
-    """The earliest ``n`` events per incident as (rank, time, event)."""
+def incident_timeline(logs: DataFrame, by: list[str] | None = None, n: int | None = TIMELINE_EVENTS) -> DataFrame:
+    """The earliest ``n`` events (None: all) per incident as (rank, time, event)."""
     df, keys = _keyed(logs, by)
     w = Window.partitionBy(*keys).orderBy("timestamp", "id")
-    top = df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    top = df.withColumn("rank", F.row_number().over(w))
+    top = top if n is None else top.where(F.col("rank") <= n)
     return top.select(*keys, "rank", iso_timestamp(F.col("timestamp")).alias("time"),
                       F.concat(F.lit("["), F.upper("severity"), F.lit("] "),
                                F.substring("message", 1, TIMELINE_PREVIEW)).alias("event"))
 
 
-def incident_summary(logs: DataFrame, by: list[str] | None = None) -> DataFrame:
+def incident_summary(logs: DataFrame, by: list[str] | None = None, max_hosts: int | None = MAX_HOSTS,
+                     max_events: int | None = TIMELINE_EVENTS) -> DataFrame:
     """Per incident title, max severity, affected hosts (first 20),
     host count, log count, recommendation; timeline events joined as text."""
     df, keys = _keyed(logs, by)
     base = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("log_count"),
                                  F.max(severity_rank(F.col("severity"))).alias("_rank"))
-    hosts = incident_hosts(logs, by)
-    tl = incident_timeline(logs, by).groupBy(*keys).agg(
+    hosts = incident_hosts(logs, by, max_hosts)
+    tl = incident_timeline(logs, by, max_events).groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "time", "event"))),
                                  lambda s: F.concat(s["time"], F.lit(" "), s["event"])), "\n").alias("timeline"))
     out = base.join(hosts, keys, "left").join(tl, keys, "left")

@@ -124,9 +124,9 @@ def q_dashboard_stats(spark, d):
 
 @register("timeline_hourly", W(LOGS_CTE) + """
 SELECT date_trunc('hour', "timestamp") AS hour, severity, count(*) AS count FROM logs
-GROUP BY ALL ORDER BY hour DESC, severity LIMIT 500""")
+GROUP BY ALL""")
 def q_timeline_hourly(spark, d):
-    t = stats.timeline(_logs(spark, d), limit=500)
+    t = stats.timeline(_logs(spark, d), limit=None)
     return t.select(ntz("hour").alias("hour"), "severity", "count")
 
 
@@ -362,6 +362,71 @@ def q_csv_roundtrip(spark, d):
     return _rt_cols(_parsed(spark, d, "csv"), [m["dst_ip"].alias("dst_ip"), m["bytes"].alias("bytes")])
 
 
+_RAGGED = "event_id % 7"
+_RAGGED_HEADER = "timestamp,src_ip,message,note"
+
+
+@register("csv_ragged", W(LOGS_CTE) + f"""
+SELECT id, CASE WHEN {_RAGGED} IN (2, 5) THEN TIMESTAMP '2024-02-01 00:00:00' ELSE "timestamp" END AS "timestamp",
+  CASE WHEN {_RAGGED} = 5 THEN 'src_ip' ELSE hostname END AS source,
+  CASE {_RAGGED} WHEN 1 THEN '' WHEN 3 THEN 'a, "' || event_type || '"' WHEN 4 THEN 'disk 5" ' || event_type
+                 WHEN 5 THEN 'message' ELSE event_type END AS message,
+  CASE {_RAGGED} WHEN 1 THEN '' WHEN 5 THEN 'note' ELSE k END AS note,
+  CASE WHEN {_RAGGED} = 6 THEN '["x1","x2"]' END AS extra,
+  CASE WHEN {_RAGGED} IN (2, 5) THEN 'missing' ELSE 'parsed' END AS ts_quality, 'csv' AS log_type FROM logs""")
+def q_csv_ragged(spark, d):
+    """Rows that are short, wide, quoted, with an empty first cell, a stray quote, or the header's text again."""
+    logs = _logs(spark, d)
+    iso, et, k, host = A.iso_micros(F.col("timestamp")), F.col("event_type"), F.col("k"), F.col("hostname")
+    comma = lambda *cells: F.concat_ws(",", *cells)
+    kind = F.col("event_id") % 7
+    text = (F.when(kind == 1, comma(iso, host)).when(kind == 2, comma(F.lit(""), host, et, k))
+            .when(kind == 3, comma(iso, host, F.concat(F.lit('"a, ""'), et, F.lit('"""')), k))
+            .when(kind == 4, comma(iso, host, F.concat(F.lit('disk 5" '), et), k))
+            .when(kind == 5, F.lit(_RAGGED_HEADER)).when(kind == 6, comma(iso, host, et, k, F.lit("x1"), F.lit("x2")))
+            .otherwise(comma(iso, host, et, k)))
+    fname = F.concat(F.lit("u"), A.s("user_id"), F.lit(".csv"))
+    lines = A._lines(logs, text, fname)
+    header = logs.select(fname.alias("source_file")).distinct().select(
+        F.lit(_RAGGED_HEADER).alias("value"), "source_file", F.lit(0).cast("long").alias("block_start"),
+        F.lit(-1).cast("long").alias("line_no_key"))
+    lines = header.unionByName(lines)
+    parsed = ingest.parse_auto(lines, sniff_formats(lines), ingested_at=A.INGESTED_AT)
+    m = F.col("metadata")
+    return parsed.select(F.col("line_no_key").cast("string").alias("id"), ntz("timestamp").alias("timestamp"), "source",
+                         "message", m["note"].alias("note"), m["_extra"].alias("extra"), "ts_quality", "log_type")
+
+
+#: Form, Spark pattern of the rendered text, and the DuckDB expression of the time it stands for.
+_TS_FORMS = [
+    ("year_first_slashes", "yyyy/MM/dd HH:mm:ss", "date_trunc('second', ts)"),
+    ("am_pm", "M/d/yyyy h:mm:ss a", "date_trunc('second', ts)"),
+    ("rfc_2822", "EEE, d MMM yyyy HH:mm:ss '+0000'", "date_trunc('second', ts)"),
+    ("apache", "dd/MMM/yyyy:HH:mm:ss '+0200'", "date_trunc('second', ts) - INTERVAL 2 HOUR"),
+    ("cef_zone", "MMM dd yyyy HH:mm:ss.SSS 'UTC'", "date_trunc('millisecond', ts)"),
+    ("compact", "yyyyMMdd'T'HHmmss'Z'", "date_trunc('second', ts)"),
+    ("iso_offset", "yyyy-MM-dd'T'HH:mm:ss'-0530'", "date_trunc('second', ts) + INTERVAL 330 MINUTE"),
+    ("day_first", "d.M.yyyy HH:mm", "date_trunc('minute', ts)"),
+    ("named_month", "MMMM d, yyyy HH:mm", "date_trunc('minute', ts)"),
+    ("date_only", "d MMM yyyy", "date_trunc('day', ts)"),
+]
+
+
+@register("timestamp_forms", " UNION ALL ".join(
+    f"SELECT event_id, '{name}' AS form, CAST({sql} AS TIMESTAMP) AS parsed, 'parsed' AS quality FROM events"
+    + (" WHERE day(ts) > 12" if name == "day_first" else "") for name, _, sql in _TS_FORMS))
+def q_timestamp_forms(spark, d):
+    """event times written in each form and parsed back (day-first numbers only where they cannot be month-first)."""
+    events = A.table(spark, d, "events")
+    ts = F.col("ts").cast("timestamp")
+    forms = F.array(*[F.struct(F.lit(name).alias("form"), F.date_format(ts, pattern).alias("text"))
+                      for name, pattern, _ in _TS_FORMS])
+    rows = events.select("event_id", ts.alias("ts"), F.inline(forms)).where("form <> 'day_first' OR day(ts) > 12")
+    from sieveline.functions.timeparse import with_parsed_timestamp
+    out = with_parsed_timestamp(rows, "text", "p")
+    return out.select("event_id", "form", ntz("p.ts").alias("parsed"), F.col("p.quality").alias("quality"))
+
+
 @register("json_roundtrip", W(LOGS_CTE) + """
 SELECT id, "timestamp", hostname AS source, '' AS hostname, severity, message, 'json' AS log_type,
        'parsed' AS ts_quality, CAST(user_id AS VARCHAR) AS "user" FROM logs""")
@@ -721,6 +786,37 @@ def q_hunt_matches(spark, d):
     return m.select("question_id", "id", F.col("rank").cast("long"))
 
 
+_REPLY_HOURS = "range(0, 24 * 30, 37)"
+
+
+@register("hunt_replies", W(LOGS_CTE, f"""
+replies AS (SELECT 'r' || CAST(h AS VARCHAR) AS question_id, h,
+  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (h) HOUR AS t0, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (h + 48) HOUR AS t1,
+  'host-' || CAST(h % 10 AS VARCHAR) AS host, CASE WHEN h % 3 = 0 THEN 'json' WHEN h % 3 = 1 THEN 'cef' END AS kind,
+  CASE WHEN h % 2 = 0 THEN 'user%u' END AS pattern, h % 5 AS skip, 3 + h % 4 AS n
+  FROM (SELECT CAST(unnest({_REPLY_HOURS}) AS BIGINT) AS h)),
+ranked AS (SELECT question_id, id, skip, n,
+  row_number() OVER (PARTITION BY question_id ORDER BY "timestamp" DESC, id) AS rank
+  FROM replies JOIN logs ON "timestamp" BETWEEN t0 AND t1 AND hostname ILIKE '%' || host || '%'
+    AND (pattern IS NULL OR message ILIKE '%' || pattern || '%') AND (kind IS NULL OR kind = 'json'))""") + """
+SELECT question_id, id, rank FROM ranked WHERE rank > skip AND rank <= skip + n""")
+def q_hunt_replies(spark, d):
+    """every key of a model reply is honoured (the logs' own log type is json, so cef replies match nothing)."""
+    h = spark.range(0, 24 * 30, 37).withColumnRenamed("id", "h")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    at = lambda plus: F.date_format(F.timestamp_seconds(F.unix_timestamp(start) + (F.col("h") + plus) * 3600),
+                                    "yyyy-MM-dd HH:mm:ss")
+    reply = F.to_json(F.struct(
+        at(0).alias("start_time"), at(48).alias("end_time"), F.concat(F.lit("host-"), A.s(F.col("h") % 10)).alias("hostname"),
+        F.when(F.col("h") % 3 == 0, "json").when(F.col("h") % 3 == 1, "CEF").alias("log_type"),
+        F.when(F.col("h") % 2 == 0, "user%u").alias("query"), A.s(F.col("h") % 5).alias("offset"),
+        A.s(F.col("h") % 4 + 3).alias("limit")))
+    replies = h.select(F.concat(F.lit("r"), A.s("h")).alias("question_id"),
+                       F.concat(F.lit("```json\n"), reply, F.lit("\n```")).alias("reply"))
+    m = hunts.match_hunts(_logs(spark, d), hunts.filters_from_replies(replies))
+    return m.select("question_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
 @register("hunt_summary", W(LOGS_CTE, _questions_sql()) + """
 , sev AS (SELECT question_id, CAST(sum(n) AS BIGINT) AS total,
                  string_agg(printf('%d %s', n, severity), ', ' ORDER BY severity) AS sb
@@ -923,6 +1019,44 @@ def q_stored_logs(spark, d):
     return _out(back, LOG_OUT + ["event_date"])
 
 
+def _stored(spark, d) -> tuple[DataFrame, str]:
+    """Events written as a stored table under the shared folder."""
+    import uuid
+    from sieveline.schema import LOG_COLUMNS
+    from sieveline.session import checkpoint_root
+    path = f"{checkpoint_root(spark)}/stored-logs-{uuid.uuid4().hex}"
+    logs = _logs(spark, d).select(*LOG_COLUMNS)
+    sinks.write_logs(logs, path)
+    return logs, path
+
+
+@register("stored_upsert", W(LOGS_CTE) + """
+SELECT id, CASE WHEN event_type = 'error' THEN "timestamp" + INTERVAL 3 DAY ELSE "timestamp" END AS "timestamp",
+  CASE WHEN event_type = 'error' THEN 'REVIEWED ' || message ELSE message END AS message FROM logs""")
+def q_stored_upsert(spark, d):
+    """K1 on a stored table: error events are replaced by versions that lie three days later; the batch comes twice."""
+    logs, path = _stored(spark, d)
+    new = (logs.where(F.col("severity").isin("critical", "high"))
+           .withColumn("message", F.concat(F.lit("REVIEWED "), F.col("message")))
+           .withColumn("timestamp", F.expr("timestamp + INTERVAL 3 DAY")).withColumn("event_date", F.to_date("timestamp"))
+           .withColumn("ingested_at", F.lit(A.INGESTED_AT + timedelta(days=1)).cast("timestamp")))
+    sinks.upsert_stored(spark, new, path)
+    sinks.upsert_stored(spark, new, path)
+    return _out(sinks.read_logs(spark, path), ["id", "timestamp", "message"])
+
+
+@register("stored_delete", W(LOGS_CTE) + f"""
+SELECT {SEL_LOG}, CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS event_date FROM logs
+WHERE event_type <> 'click' AND CAST("timestamp" AS DATE) <> DATE '2024-01-10'""")
+def q_stored_delete(spark, d):
+    """K3 on a stored table: one event type and one whole day go, and the emptied day with them."""
+    logs, path = _stored(spark, d)
+    events = A.table(spark, d, "events")
+    sinks.delete_stored(spark, events.where("event_type = 'click' OR to_date(ts) = DATE'2024-01-10'"), path, "event_id")
+    back = sinks.read_logs(spark, path).withColumn("event_date", F.col("event_date").cast("string"))
+    return _out(back, LOG_OUT + ["event_date"])
+
+
 @register("stream_dedupe", W(LOGS_CTE) + 'SELECT id, "timestamp", severity FROM logs')
 def q_stream_dedupe(spark, d):
     """T4: the event stream read twice (every id arrives two times) and

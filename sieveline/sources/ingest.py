@@ -65,6 +65,8 @@ def parse_auto(lines: DataFrame, formats: DataFrame, docs: DataFrame | None = No
 
 
 _DISPATCH_CACHE: dict = {}
+#: Parameter sets kept; a job uses one.
+MAX_CACHED = 8
 
 
 def _dispatch_columns(spark, **kw):
@@ -74,6 +76,8 @@ def _dispatch_columns(spark, **kw):
     key = (spark.sparkContext.applicationId, kw["year"], tuple(sorted((kw["column_mapping"] or {}).items())),
            kw["strict_reference_severity"], kw["ingested_at"])
     if key not in _DISPATCH_CACHE:
+        if len(_DISPATCH_CACHE) >= MAX_CACHED:
+            _DISPATCH_CACHE.clear()
         kinds = [k for k, _ in PARSERS if k != "syslog"]
         on = {k: F.col("log_type") == k for k in kinds}
         on["syslog"] = ~F.col("log_type").isin(*kinds)

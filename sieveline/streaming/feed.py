@@ -61,24 +61,38 @@ def last_n(batch: DataFrame, n: int = 500) -> DataFrame:
 
 
 def ingest_stream(spark: SparkSession, directory: str, table_path: str, checkpoint: str,
-                  year: int | None = None, ingested_at: datetime | None = None, trigger: dict | None = None):
-    """Continuous ingest of a directory of log files. Each micro-batch is
-    sniffed, parsed and numbered like a batch ingest, then upserted into the
-    Parquet table (idempotent ids make a replayed batch harmless)."""
-    from sieveline.sources.files import LOG_SUFFIXES, _ci_glob
-    from sieveline.sources.ingest import assign_ids, parse_auto
-    from sieveline.sources.sinks import write_logs
-    from sieveline.sources.sniff import sniff_formats
-
-    stream = (spark.readStream.option("pathGlobFilter", _ci_glob(LOG_SUFFIXES)).text(directory)
+                  year: int | None = None, ingested_at: datetime | None = None, trigger: dict | None = None,
+                  report_path: str | None = None, max_files: int = 1000):
+    """Continuous ingest of a directory of log files. Each micro-batch (at
+    most ``max_files`` files) is sniffed, parsed and numbered like a batch
+    ingest, whole JSON documents included, and upserted by id into the stored
+    table, so a replayed batch changes nothing. With ``report_path`` each
+    batch's report (S6) is written to its own folder there."""
+    from sieveline.sources.files import LOG_SUFFIXES, _ci_glob, read_documents
+    from sieveline.sources.ingest import assign_ids, ingest_report, parse_auto
+    from sieveline.sources.sinks import upsert_stored
+    from sieveline.sources.sniff import classify, document_check, file_profile, needs_document
+
+    stream = (spark.readStream.option("pathGlobFilter", _ci_glob(LOG_SUFFIXES))
+              .option("maxFilesPerTrigger", max_files).text(directory)
               .select("value", F.col("_metadata.file_path").alias("source_file"),
                       F.col("_metadata.file_block_start").alias("block_start")))
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        lines = batch.withColumn("line_no_key", F.monotonically_increasing_id())
-        formats = sniff_formats(lines)
-        logs = assign_ids(parse_auto(lines, formats, year=year, ingested_at=ingested_at))
-        write_logs(logs, table_path, mode="append")
+        session = batch.sparkSession
+        # Kept for the batch: profile and parse must see the same line numbers.
+        lines = batch.withColumn("line_no_key", F.monotonically_increasing_id()).persist()
+        try:
+            profile = file_profile(lines)
+            pending = [r.source_file for r in profile.where(needs_document(profile)).select("source_file").collect()]
+            docs = read_documents(session, pending) if pending else None
+            formats = classify(profile, document_check(docs) if docs is not None else None)
+            logs = assign_ids(parse_auto(lines, formats, docs, year=year, ingested_at=ingested_at))
+            upsert_stored(session, logs, table_path)
+            if report_path:
+                ingest_report(lines, formats, logs).write.mode("overwrite").parquet(f"{report_path}/batch={epoch}")
+        finally:
+            lines.unpersist()
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()

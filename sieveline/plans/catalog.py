@@ -883,6 +883,14 @@ def _run_stream(spark, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out")
 
 
+def _run_updates(spark, df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    import uuid
+    from sieveline.session import checkpoint_root
+    root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    feed.run_updates(df, f"{root}/out", f"{root}/ckpt")
+    return feed.latest_updates(spark, f"{root}/out", keys)
+
+
 @register("stream_feed", _FAN_SQL)
 def q_stream_feed(spark, d):
     logs = _event_stream(spark, d)
@@ -891,11 +899,10 @@ def q_stream_feed(spark, d):
 
 
 @register("stream_hourly_counts", W(LOGS_CTE) + """
-SELECT * FROM (SELECT date_trunc('hour', "timestamp") AS hour, severity, count(*) AS count FROM logs GROUP BY 1, 2)
-WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+SELECT date_trunc('hour', "timestamp") AS hour, severity, count(*) AS count FROM logs GROUP BY 1, 2""")
 def q_stream_hourly_counts(spark, d):
     counts = feed.hourly_counts_stream(_event_stream(spark, d), "10 minutes")
-    out = _run_stream(spark, counts, "stream_hourly")
+    out = _run_updates(spark, counts, "stream_hourly", ["hour", "severity"])
     return out.select(ntz("hour").alias("hour"), "severity", "count")
 
 
@@ -1071,13 +1078,12 @@ def q_stream_dedupe(spark, d):
 @register("stream_bucket_zscores", W(LOGS_CTE) + """
 , b AS (SELECT source AS key, time_bucket(INTERVAL 10 MINUTE, "timestamp") AS bucket, count(*) AS count FROM logs
         GROUP BY ALL),
-closed AS (SELECT * FROM b WHERE bucket + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE),
 z AS (SELECT *, count(*) OVER (PARTITION BY key) AS n_buckets, avg(count) OVER (PARTITION BY key) AS mean,
-             stddev_pop(count) OVER (PARTITION BY key) AS std FROM closed)
+             stddev_pop(count) OVER (PARTITION BY key) AS std FROM b)
 SELECT key, bucket, count, n_buckets, round(CASE WHEN std <> 0 THEN (count - mean) / std END, 6) AS zscore FROM z""")
 def q_stream_bucket_zscores(spark, d):
-    """T5: 10-minute counts per source kept by a watermarked stream (closed
-    buckets only), then z-scores over the emitted counts."""
-    counts = _run_stream(spark, feed.bucket_counts_stream(_event_stream(spark, d)), "stream_buckets")
+    """T5: 10-minute counts per source kept by a watermarked stream, then
+    z-scores over the newest count of each bucket, open ones included."""
+    counts = _run_updates(spark, feed.bucket_counts_stream(_event_stream(spark, d)), "stream_buckets", ["key", "bucket"])
     z = feed.zscores_from_counts(counts)
     return z.select("key", ntz("bucket").alias("bucket"), "count", "n_buckets", r6("zscore").alias("zscore"))

@@ -105,6 +105,24 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     q.awaitTermination()
 
 
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Run an aggregating stream to completion in update mode: every batch
+    writes the rows it changed to its own folder (a replayed batch overwrites
+    it), so open windows are there too. Read it with ``latest_updates``."""
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+    q = (stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest version of each key written by ``run_updates``."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_v")).select(*keys, "_v.*")
+
+
 def bucket_counts_stream(logs: DataFrame, minutes: int = 10, by: str = "source",
                          watermark: str = "10 minutes") -> DataFrame:
     """T5: streaming counts per (key, ``minutes`` bucket) with a watermark;

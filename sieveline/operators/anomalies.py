@@ -29,12 +29,21 @@ def _result(df: DataFrame, log_id: Column, score: Column, explanation: Column, m
 # --- D2: frequency spikes ---------------------------------------------------------
 
 def bucket_counts(logs: DataFrame, by: str = "source", minutes: int = 10) -> DataFrame:
-    """A8 + J3/W4: (key, bucket, count, newest log id) in one aggregate;
-    map-side partial aggregation absorbs hot keys."""
+    """(key, bucket, count, newest) in one hash aggregate over numbers
+    (``newest`` is the last time in microseconds); map-side partial
+    aggregation absorbs hot keys."""
     return logs.groupBy(F.col(by).alias("key"), minute_bucket(F.col("timestamp"), minutes).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.max_by(F.col("id"), F.struct("timestamp", "id")).alias("log_id"),
-    )
+        F.count(F.lit(1)).alias("count"), F.max(F.unix_micros("timestamp")).alias("newest"))
+
+
+def with_newest_id(logs: DataFrame, buckets: DataFrame, by: str = "source", minutes: int = 10) -> DataFrame:
+    """Add ``log_id``, the newest log of each given bucket (the largest id of equal times). Logs are looked up
+    for these buckets only, so pass the buckets that matter."""
+    at = buckets.select("key", "bucket", "newest")
+    found = (logs.select(F.col(by).alias("key"), minute_bucket(F.col("timestamp"), minutes).alias("bucket"),
+                         F.unix_micros("timestamp").alias("newest"), F.col("id").alias("log_id"))
+             .join(at, ["key", "bucket", "newest"]).groupBy("key", "bucket").agg(F.max("log_id").alias("log_id")))
+    return buckets.join(found, ["key", "bucket"])
 
 
 def bucket_zscores(logs: DataFrame, by: str = "source", minutes: int = 10) -> DataFrame:
@@ -58,6 +67,7 @@ def frequency_anomalies(logs: DataFrame, by: str = "source", minutes: int = 10,
     z = bucket_zscores(logs, by, minutes)
     hits = z.where(enough & (F.col("n_buckets") >= min_buckets) & F.col("zscore").isNotNull()
                    & (F.col("zscore") > z_threshold))
+    hits = with_newest_id(logs, hits, by, minutes)
     expl = F.format_string("Unusual frequency spike from source '%s': %d events in bucket (mean=%.1f, z-score=%.2f)",
                            F.col("key"), F.col("count"), F.col("mean"), F.col("zscore"))
     return _result(hits, F.col("log_id"), F.least(F.col("zscore") / 5.0, F.lit(1.0)), expl, "frequency_zscore")

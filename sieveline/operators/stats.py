@@ -75,8 +75,10 @@ def severity_distribution(logs: DataFrame) -> DataFrame:
                .agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > 0)
 
 
-def stat_cards(logs: DataFrame) -> DataFrame:
-    """Total, critical, number of distinct sources."""
-    return logs.agg(F.count(F.lit(1)).alias("total_logs"),
+def stat_cards(logs: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
+    """Total, critical, number of distinct sources, logs with an anomaly."""
+    cards = logs.agg(F.count(F.lit(1)).alias("total_logs"),
                     F.count_if(F.col("severity") == "critical").alias("critical_count"),
                     F.count_distinct(F.nullif(F.col("source"), F.lit(""))).alias("source_count"))
+    found = anomalies.agg(F.count_distinct("log_id")).scalar() if anomalies is not None else F.lit(0)
+    return cards.withColumn("anomalies_detected", found.cast("long"))

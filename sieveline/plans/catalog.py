@@ -102,12 +102,22 @@ def guess_sql(x: str) -> str:
     return "CASE " + " ".join(parts) + " ELSE 'info' END"
 
 
+_BUCKETS_CTE = """b AS (SELECT source AS key, time_bucket(INTERVAL 10 MINUTE, "timestamp") AS bucket, count(*) AS count,
+                  arg_max(id, "timestamp") AS log_id FROM logs GROUP BY ALL),
+z AS (SELECT *, count(*) OVER (PARTITION BY key) AS n_buckets, avg(count) OVER (PARTITION BY key) AS mean,
+             stddev_pop(count) OVER (PARTITION BY key) AS std FROM b),
+zz AS (SELECT *, CASE WHEN std <> 0 THEN (count - mean) / std END AS zscore FROM z)"""
+_FREQ_WHERE = "(SELECT count(*) FROM logs) >= 5 AND n_buckets >= 3 AND zscore > 2.0"
+_FREQ_SQL = f"""
+SELECT log_id, key, round(least(zscore / 5.0, 1.0), 6) AS score, 'frequency_zscore' AS method FROM zz
+WHERE {_FREQ_WHERE}"""
+
 SEL_LOG = 'id, "timestamp", source, hostname, severity, message'
 
 # --- dashboard, timelines, search (A1-A7, A16, P1-P7, L1) --------------------------------------
 
 
-@register("dashboard_stats", W(LOGS_CTE) + """
+@register("dashboard_stats", W(LOGS_CTE, _BUCKETS_CTE) + f"""
 SELECT count(*) AS total_logs,
   count(*) FILTER (WHERE severity = 'critical') AS critical_count, count(*) FILTER (WHERE severity = 'high') AS high_count,
   count(*) FILTER (WHERE severity = 'medium') AS medium_count, count(*) FILTER (WHERE severity = 'low') AS low_count,
@@ -116,10 +126,12 @@ SELECT count(*) AS total_logs,
   (SELECT count(DISTINCT source) FROM logs WHERE source <> '') AS source_count,
   (SELECT string_agg(source, ',' ORDER BY source) FROM
      (SELECT DISTINCT source FROM logs WHERE source <> '' ORDER BY source LIMIT 50)) AS sources,
-  CAST(0 AS BIGINT) AS anomalies_detected
+  (SELECT count(DISTINCT log_id) FROM zz WHERE {_FREQ_WHERE}) AS anomalies_detected
 FROM logs""")
 def q_dashboard_stats(spark, d):
-    return stats.dashboard_stats(_logs(spark, d))
+    """The anomaly count is that of frequency spikes."""
+    logs = _logs(spark, d)
+    return stats.dashboard_stats(logs, anomalies.frequency_anomalies(logs))
 
 
 @register("timeline_hourly", W(LOGS_CTE) + """
@@ -194,11 +206,13 @@ def q_severity_distribution(spark, d):
     return stats.severity_distribution(_logs(spark, d))
 
 
-@register("stat_cards", W(LOGS_CTE) + """
+@register("stat_cards", W(LOGS_CTE, _BUCKETS_CTE) + f"""
 SELECT count(*) AS total_logs, count(*) FILTER (WHERE severity = 'critical') AS critical_count,
-       count(DISTINCT NULLIF(source, '')) AS source_count FROM logs""")
+       count(DISTINCT NULLIF(source, '')) AS source_count,
+       (SELECT count(DISTINCT log_id) FROM zz WHERE {_FREQ_WHERE}) AS anomalies_detected FROM logs""")
 def q_stat_cards(spark, d):
-    return stats.stat_cards(_logs(spark, d))
+    logs = _logs(spark, d)
+    return stats.stat_cards(logs, anomalies.frequency_anomalies(logs))
 
 
 # --- joins, storage (J1, J6, K1-K4) -------------------------------------------------------------
@@ -517,27 +531,16 @@ def q_parsed_ids(spark, d):
 
 # --- anomalies (A8-A11, W1-W3, D1-D4) -----------------------------------------------------------
 
-_BUCKETS_CTE = """b AS (SELECT source AS key, time_bucket(INTERVAL 10 MINUTE, "timestamp") AS bucket, count(*) AS count,
-                  arg_max(id, "timestamp") AS log_id FROM logs GROUP BY ALL),
-z AS (SELECT *, count(*) OVER (PARTITION BY key) AS n_buckets, avg(count) OVER (PARTITION BY key) AS mean,
-             stddev_pop(count) OVER (PARTITION BY key) AS std FROM b),
-zz AS (SELECT *, CASE WHEN std <> 0 THEN (count - mean) / std END AS zscore FROM z)"""
-
-
 @register("bucket_zscores", W(LOGS_CTE, _BUCKETS_CTE) + """
 SELECT key, bucket, count, log_id, n_buckets, round(mean, 6) AS mean, round(std, 6) AS std,
        round(zscore, 6) AS zscore FROM zz""")
 def q_bucket_zscores(spark, d):
-    z = anomalies.bucket_zscores(_logs(spark, d))
+    logs = _logs(spark, d)
+    z = anomalies.with_newest_id(logs, anomalies.bucket_zscores(logs))
     return z.select("key", ntz("bucket").alias("bucket"), "count", "log_id", "n_buckets", r6("mean").alias("mean"),
                     r6("std").alias("std"), r6("zscore").alias("zscore"))
 
 
-_FREQ_SQL = """
-SELECT log_id, key, round(least(zscore / 5.0, 1.0), 6) AS score, 'frequency_zscore' AS method FROM zz
-WHERE (SELECT count(*) FROM logs) >= 5 AND n_buckets >= 3 AND zscore > 2.0"""
-
-
 @register("frequency_anomalies", W(LOGS_CTE, _BUCKETS_CTE) + _FREQ_SQL)
 def q_frequency_anomalies(spark, d):
     fa = anomalies.frequency_anomalies(_logs(spark, d))

@@ -30,7 +30,7 @@ def test_stages_keep_the_columns_of_documents(stages):
 
 
 def test_quality_and_dedup_stages(stages):
-    from test_near_dups import brute
+    from .test_near_dups import brute
     docs, good, lines, unique = ([(r.doc_id, r.text) for r in df.collect()] for _, df in stages[:4])
     assert set(good) < set(docs)
     text = dict(good)

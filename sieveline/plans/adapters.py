@@ -1,7 +1,7 @@
 """Driver tables as logs, and logs rendered back to raw text per format.
 
 ``events_as_logs`` maps the ``events`` table onto the log schema with plain
-expressions that have an exact SQL twin (see ``plans/oracle.py``). The
+expressions that have an exact SQL twin (see ``plans/catalog.py``). The
 ``render_*`` functions write events as syslog / CEF / CSV / JSON / Windows
 text lines so the parsers can be checked against the original columns.
 """

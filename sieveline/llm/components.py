@@ -3,7 +3,7 @@
 Large-star and small-star steps alternate: each node hands the neighbours
 above it (large) or up to it (small) to the smallest of them, until every
 component is a star around its smallest node. Edges stay in tables of the
-shared folder; only row counts and checksums reach the driver. Minima are
+shared folder; only whether they are stars yet reaches the driver. Minima are
 pre-aggregated before the shuffle and the joins on a hot node are split by
 adaptive execution, so no group is gathered in one task.
 """
@@ -33,20 +33,29 @@ def _small_star(edges: DataFrame) -> DataFrame:
             .union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that has an edge to another; root is the smallest node of the component.
+def _is_stars(edges: DataFrame) -> bool:
+    """Every upper node has one edge, and no lower node is an upper one."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+    counts = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return counts.where("ups > 1 OR ups = 1 AND least = 0").isEmpty()
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """(a, b): each node but the smallest of its component with that smallest node; a written table.
 
-    ``edges`` has two long columns. The result is a written table.
+    ``edges`` has two long columns; edges from a node to itself say nothing.
     """
-    now = written(edges.toDF("a", "b").where("a <> b").distinct(), "edges")
-    seen = None
-    while True:
-        step = _small_star(_large_star(now)).where("a <> b").distinct()
-        after = written(step, "edges")
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    flat = edges.toDF("a", "b").where("a <> b")
+    now = written(flat.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while not _is_stars(now):
+        after = written(_small_star(_large_star(now)).where("a <> b").distinct(), "edges")
         remove_written(now)
         now = after
-        if mark == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-                now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen = mark
+    return now
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node that has an edge to another; root is the smallest node of the component."""
+    star = stars(edges)
+    return star.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
+        star.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -6,14 +6,15 @@ node gets a SuperMinHash signature; nodes that agree in a band are candidates.
 
 Within a band's bucket not all pairs are made. In each round the smallest
 node of the bucket (later: of each of a growing number of slices of it) is
-compared with the members that are not yet in its component; pairs are
-confirmed on the full sets and joined by union-find. A compared node leaves
-the bucket, and a bucket is done once all its members are in one component or
-have left. So every pair that shares a bucket is compared or already
-connected: there is no cap on buckets, and a bucket of copies takes one round.
+compared with the members that are not yet in its component: first by two
+bits of each signature value inside the join, then on the full sets. Confirmed
+pairs are joined by union-find. A compared node leaves the bucket, and a
+bucket is done once all its members are in one component or have left. So
+every pair that shares a bucket is compared or already connected: there is no
+cap on buckets, and a bucket of copies takes one round.
 
 With 32 bands of 4 rows a pair at similarity 0.75 is a candidate with
-probability above 0.99999.
+probability above 0.99999; the two-bit test loses it with less than 1e-7.
 
 Defined results: null or empty text, or text without words, has an empty set
 and is linked with nothing; fewer than 5 words are one shingle; documents
@@ -29,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import bound_batches, remove_written, replace_columns, written
-from sieveline.llm.components import components
+from sieveline.llm.components import stars
 
 BANDS, ROWS = 32, 4
 PERCENT = 75
 #: Slices of a bucket per round: 1, then GROWTH times as many each round.
-GROWTH = 4
+GROWTH = 16
 
 
 def with_hash(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -54,7 +55,8 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS,
            rows: int = ROWS) -> DataFrame:
-    """(__id, __hash, __node, __n, __bands) of each document: its set's hash, size and band keys."""
+    """(__id, __hash, __node, __n, __bands, __sketch) of each document: its set's hash, size, band keys and two-bit
+    sketch. ``bands * rows`` is a multiple of 32."""
     bound_batches(docs.sparkSession)
     narrow = with_hash(docs, text).select(F.col(doc_id).cast("long").alias("__id"), "__hash",
                                           F.col(text).alias("__text"))
@@ -66,16 +68,19 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: i
         hashes = smh.WordHashes()
         for batch in batches:
             sets = [smh.shingle_set(t, hashes) for t in _texts(batch.column("__text"))]
-            keys = smh.band_keys(smh.signatures(sets, bands * rows), bands, rows)
+            sigs = smh.signatures(sets, bands * rows)
+            keys, sketch = smh.band_keys(sigs, bands, rows), smh.two_bit_sketch(sigs)
             full = np.array([len(s) > 0 for s in sets], dtype=bool)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("__id"), batch.column("__hash"),
                  pa.array([smh.set_hash(s) for s in sets], type=pa.int64()),
                  pa.array([len(s) for s in sets], type=pa.int64()),
-                 _lists(keys[full].reshape(-1), full * bands, pa.int64())],
-                names=["__id", "__hash", "__node", "__n", "__bands"])
+                 _lists(keys[full].reshape(-1), full * bands, pa.int64()),
+                 _lists(sketch.reshape(-1), [sketch.shape[1]] * len(sets), pa.int64())],
+                names=["__id", "__hash", "__node", "__n", "__bands", "__sketch"])
 
-    return narrow.mapInArrow(sign, "__id long, __hash long, __node long, __n long, __bands array<long>")
+    return narrow.mapInArrow(sign, "__id long, __hash long, __node long, __n long, __bands array<long>, "
+                                   "__sketch array<long>")
 
 
 def shingled(docs: DataFrame) -> DataFrame:
@@ -101,9 +106,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(F.expr(f"100 * both >= {percent} * (size(__x) + size(__y) - both)")).select("a", "b"))
 
 
+def _differences(words: int) -> str:
+    """SQL for the number of two-bit values in which the sketches of a member and a pivot differ."""
+    apart = "(get(sketch, {i}) ^ get(pivot_sketch, {i}))"
+    return " + ".join(f"bit_count(({a} | shiftrightunsigned({a}, 1)) & 6148914691236517205L)"
+                      for a in (apart.format(i=i) for i in range(words)))
+
+
 def links(docs: DataFrame, classes: DataFrame, members: DataFrame, doc_id: str, text: str,
-          percent: int = PERCENT) -> DataFrame | None:
-    """(node, root) of all linked nodes; ``members`` is a written (key, node, n) table of bucket members."""
+          percent: int = PERCENT, values: int = BANDS * ROWS) -> DataFrame | None:
+    """(node, root) of linked nodes above their root; ``members`` is a written (key, node, n, sketch) table of
+    bucket members, ``values`` the length of a signature."""
+    from sieveline.llm.superminhash import most_differences
     if members.isEmpty():
         return None
     # The text of one document per candidate node; documents are found by id, then checked by hash.
@@ -113,7 +127,8 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, doc_id: str,
     chosen = texts.join(wanted, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")))
     sets = written(shingled(chosen).dropDuplicates(["__node"]), "near-sets")
 
-    labels = edges = None
+    alike = f"{_differences(values // 32)} <= {most_differences(values, percent / 100)}"
+    labels = before = None
     slices, bucket = 1, members
     while True:
         if labels is None:
@@ -121,46 +136,49 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, doc_id: str,
         else:
             known = labels.toDF("__l", "__root")
             here = (bucket.join(known, F.col("node") == F.col("__l"), "left")
-                    .select("key", "node", "n", F.coalesce("__root", "node").alias("label")))
+                    .select("key", "node", "n", "sketch", F.coalesce("__root", "node").alias("label")))
         mixed = (here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                  .where("lo <> hi").select("key"))
         here = written(here.join(mixed, "key", "left_semi"), "near-open")
+        if before is not None:
+            remove_written(before)
         if here.isEmpty():
-            remove_written(here)
-            break
+            return labels
         sliced = here.withColumn("slice", F.expr(f"pmod(xxhash64(node, {slices}), {slices})"))
         first = sliced.groupBy("key", "slice").agg(
-            F.min(F.struct("node", "label", "n")).alias("p")).select("key", "p.*")
-        pivots = first.toDF("key", "pivot", "pivot_label", "pivot_n")
+            F.min(F.struct("node", "label", "n", "sketch")).alias("p")).select("key", "p.*")
+        pivots = first.toDF("key", "pivot", "pivot_label", "pivot_n", "pivot_sketch")
         pairs = (here.join(pivots, "key")
                  .where("node <> pivot AND label <> pivot_label "
-                        f"AND 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)")
+                        f"AND 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n) AND {alike}")
                  .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-        found = _verified(pairs, sets, percent)
-        edges = written(found if edges is None else edges.union(found).distinct(), "near-edges")
-        labels = components(edges)
-        rest = here.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
-        bucket = written(rest.select("key", "node", "n"), "near-rest")
-        remove_written(here)
+        found = written(_verified(pairs, sets, percent), "near-links")
+        if not found.isEmpty():
+            labels = stars(found if labels is None else found.union(labels))
+        bucket = (here.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
+                  .select("key", "node", "n", "sketch"))
+        before = here
         slices *= GROWTH
-    return labels
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, __hash, n_shingles, component_id, kept), one row per document."""
     signs = written(signed(docs, doc_id, text, bands, rows), "near-signatures")
-    classes = written(
-        signs.where("__n > 0").groupBy("__node").agg(
-            F.min(F.struct(F.coalesce("__id", F.lit((1 << 63) - 1)).alias("o"), "__id", "__hash")).alias("r"),
-            F.max("__n").alias("__n"))
-        .select("__node", F.col("r.__id").alias("__rep"), F.col("r.__hash").alias("__rep_hash"), "__n"), "near-classes")
-    keys = signs.where("__n > 0").select(F.col("__node").alias("node"), F.col("__n").alias("n"),
-                                         F.explode("__bands").alias("key"))
+    node = signs.where("__n > 0").groupBy("__node").agg(
+        F.min(F.struct(F.coalesce("__id", F.lit((1 << 63) - 1)).alias("o"), "__id", "__hash")).alias("r"),
+        # Equal for all documents of a node.
+        F.max("__n").alias("__n"), F.first("__bands").alias("__bands"), F.first("__sketch").alias("__sketch"))
+    classes = written(node.select("__node", F.col("r.__id").alias("__rep"), F.col("r.__hash").alias("__rep_hash"),
+                                  "__n", "__bands", "__sketch"), "near-classes")
+    keys = classes.select(F.col("__node").alias("node"), F.explode("__bands").alias("key"))
     shared = (keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
               .where("lo <> hi").select("key"))
-    members = written(keys.join(shared, "key", "left_semi").distinct(), "near-members")
-    labels = links(docs, classes, members, doc_id, text, percent)
+    members = written(
+        keys.join(shared, "key", "left_semi")
+        .join(classes.select(F.col("__node").alias("node"), F.col("__n").alias("n"), F.col("__sketch").alias("sketch")),
+              "node"), "near-members")
+    labels = links(docs, classes, members, doc_id, text, percent, bands * rows)
     if labels is None:
         ids = classes.select("__node", F.col("__rep").alias("component_id"))
     else:
@@ -170,7 +188,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         smallest = rooted.groupBy("__root").agg(F.min("__rep").alias("component_id"))
         ids = rooted.join(smallest, "__root").select("__node", "component_id")
     ids = ids.withColumnRenamed("__node", "__c")
-    return (signs.drop("__bands").join(ids, F.col("__node") == F.col("__c"), "left")
+    return (signs.drop("__bands", "__sketch").join(ids, F.col("__node") == F.col("__c"), "left")
             .withColumn("component_id", F.when(F.col("__n") == 0, F.col("__id")).otherwise(F.col("component_id")))
             .select(F.col("__id").alias("doc_id"), "__hash", F.col("__n").alias("n_shingles"), "component_id",
                     F.col("__id").eqNullSafe(F.col("component_id")).alias("kept")))

@@ -122,3 +122,15 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     v = sig[:, :bands * rows].reshape(len(sig), bands, rows)
     acc = (v * _ODD[:rows]).sum(axis=2, dtype=_U) + np.array([_step(b) for b in range(bands)], dtype=_U)
     return mix(acc).view(np.int64)
+
+
+def two_bit_sketch(sig: np.ndarray) -> np.ndarray:
+    """Two bits of every signature value, packed into signed 64-bit integers (len(sig) x m / 32)."""
+    bits = (sig & _U(3)).reshape(len(sig), -1, 32) << np.arange(0, 64, 2, dtype=_U)
+    return np.bitwise_or.reduce(bits, axis=2).view(np.int64)
+
+
+def most_differences(m: int, similarity: float, deviations: float = 5.5) -> int:
+    """Differing two-bit values that a pair of this similarity exceeds with a probability below 1e-7."""
+    p = (1 - similarity) * 0.75
+    return int(m * p + deviations * (m * p * (1 - p)) ** 0.5)

@@ -6,15 +6,18 @@ node gets a SuperMinHash signature; nodes that agree in a band are candidates.
 
 Within a band's bucket not all pairs are made. In each round the smallest
 node of the bucket (later: of each of a growing number of slices of it) is
-compared with the members that are not yet in its component: first by two
-bits of each signature value inside the join, then on the full sets. Confirmed
-pairs are joined by union-find. A compared node leaves the bucket, and a
+compared with the members that are not yet in its component: inside the join
+by an exact bound and by two bits of each signature value, then on the full
+sets. The bound: shingles that only one of all candidates has cannot be
+common, so a pair shares at most the smaller number of other shingles. It
+rejects texts that differ in new words without looking at their sets.
+Confirmed pairs are joined by union-find. A compared node leaves the bucket, and a
 bucket is done once all its members are in one component or have left. So
 every pair that shares a bucket is compared or already connected: there is no
 cap on buckets, and a bucket of copies takes one round.
 
 With 32 bands of 4 rows a pair at similarity 0.75 is a candidate with
-probability above 0.99999; the two-bit test loses it with less than 1e-7.
+probability above 0.99999; the two-bit test loses it with less than 1e-5.
 
 Defined results: null or empty text, or text without words, has an empty set
 and is linked with nothing; fewer than 5 words are one shingle; documents
@@ -34,6 +37,8 @@ from sieveline.llm.components import stars
 
 BANDS, ROWS = 32, 4
 PERCENT = 75
+#: Signature values of the two-bit sketch; bands use the first of them.
+VALUES = 512
 #: Slices of a bucket per round: 1, then GROWTH times as many each round.
 GROWTH = 16
 
@@ -54,9 +59,9 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS,
-           rows: int = ROWS) -> DataFrame:
+           rows: int = ROWS, values: int = VALUES) -> DataFrame:
     """(__id, __hash, __node, __n, __bands, __sketch) of each document: its set's hash, size, band keys and two-bit
-    sketch. ``bands * rows`` is a multiple of 32."""
+    sketch. ``values`` is a multiple of 32 and at least ``bands * rows``."""
     bound_batches(docs.sparkSession)
     narrow = with_hash(docs, text).select(F.col(doc_id).cast("long").alias("__id"), "__hash",
                                           F.col(text).alias("__text"))
@@ -68,7 +73,7 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: i
         hashes = smh.WordHashes()
         for batch in batches:
             sets = [smh.shingle_set(t, hashes) for t in _texts(batch.column("__text"))]
-            sigs = smh.signatures(sets, bands * rows)
+            sigs = smh.signatures(sets, values)
             keys, sketch = smh.band_keys(sigs, bands, rows), smh.two_bit_sketch(sigs)
             full = np.array([len(s) > 0 for s in sets], dtype=bool)
             yield pa.RecordBatch.from_arrays(
@@ -106,6 +111,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(F.expr(f"100 * both >= {percent} * (size(__x) + size(__y) - both)")).select("a", "b"))
 
 
+def with_common(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members with common, how many of a node's shingles another candidate has too; nodes that are too few of them
+    to be similar to anything are left out. Shingles are counted before any node meets another."""
+    alone = (sets.select("__node", F.explode("__set").alias("x"))
+             .groupBy("x").agg(F.count("*").alias("c"), F.min("__node").alias("__node")).where("c = 1")
+             .groupBy(F.col("__node").alias("node")).agg(F.count("*").alias("alone")))
+    return (members.join(alone, "node", "left").withColumn("common", F.expr("n - coalesce(alone, 0L)"))
+            .where(f"100 * common >= {percent} * n").select("key", "node", "n", "common", "sketch"))
+
+
 def _differences(words: int) -> str:
     """SQL for the number of two-bit values in which the sketches of a member and a pivot differ."""
     apart = "(get(sketch, {i}) ^ get(pivot_sketch, {i}))"
@@ -114,7 +129,7 @@ def _differences(words: int) -> str:
 
 
 def links(docs: DataFrame, classes: DataFrame, members: DataFrame, doc_id: str, text: str,
-          percent: int = PERCENT, values: int = BANDS * ROWS) -> DataFrame | None:
+          percent: int = PERCENT, values: int = VALUES) -> DataFrame | None:
     """(node, root) of linked nodes above their root; ``members`` is a written (key, node, n, sketch) table of
     bucket members, ``values`` the length of a signature."""
     from sieveline.llm.superminhash import most_differences
@@ -128,15 +143,16 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, doc_id: str,
     sets = written(shingled(chosen).dropDuplicates(["__node"]), "near-sets")
 
     alike = f"{_differences(values // 32)} <= {most_differences(values, percent / 100)}"
-    labels = before = None
-    slices, bucket = 1, members
+    bound = f"100 * least(common, pivot_common) >= {percent} * (n + pivot_n - least(common, pivot_common))"
+    labels = before = tested = None
+    slices, bucket = 1, written(with_common(members, sets, percent), "near-common")
     while True:
         if labels is None:
             here = bucket.withColumn("label", F.col("node"))
         else:
             known = labels.toDF("__l", "__root")
             here = (bucket.join(known, F.col("node") == F.col("__l"), "left")
-                    .select("key", "node", "n", "sketch", F.coalesce("__root", "node").alias("label")))
+                    .select("key", "node", "n", "common", "sketch", F.coalesce("__root", "node").alias("label")))
         mixed = (here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                  .where("lo <> hi").select("key"))
         here = written(here.join(mixed, "key", "left_semi"), "near-open")
@@ -146,17 +162,20 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, doc_id: str,
             return labels
         sliced = here.withColumn("slice", F.expr(f"pmod(xxhash64(node, {slices}), {slices})"))
         first = sliced.groupBy("key", "slice").agg(
-            F.min(F.struct("node", "label", "n", "sketch")).alias("p")).select("key", "p.*")
-        pivots = first.toDF("key", "pivot", "pivot_label", "pivot_n", "pivot_sketch")
+            F.min(F.struct("node", "label", "n", "common", "sketch")).alias("p")).select("key", "p.*")
+        pivots = first.toDF("key", "pivot", "pivot_label", "pivot_n", "pivot_common", "pivot_sketch")
         pairs = (here.join(pivots, "key")
-                 .where("node <> pivot AND label <> pivot_label "
-                        f"AND 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n) AND {alike}")
+                 .where(f"node <> pivot AND label <> pivot_label AND {bound} AND {alike}")
                  .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "near-pairs")
+        tested = pairs if tested is None else tested.union(pairs)
         found = written(_verified(pairs, sets, percent), "near-links")
         if not found.isEmpty():
             labels = stars(found if labels is None else found.union(labels))
         bucket = (here.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
-                  .select("key", "node", "n", "sketch"))
+                  .select("key", "node", "n", "common", "sketch"))
         before = here
         slices *= GROWTH
 
@@ -178,7 +197,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         keys.join(shared, "key", "left_semi")
         .join(classes.select(F.col("__node").alias("node"), F.col("__n").alias("n"), F.col("__sketch").alias("sketch")),
               "node"), "near-members")
-    labels = links(docs, classes, members, doc_id, text, percent, bands * rows)
+    labels = links(docs, classes, members, doc_id, text, percent)
     if labels is None:
         ids = classes.select("__node", F.col("__rep").alias("component_id"))
     else:

@@ -130,7 +130,7 @@ def two_bit_sketch(sig: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=2).view(np.int64)
 
 
-def most_differences(m: int, similarity: float, deviations: float = 5.5) -> int:
-    """Differing two-bit values that a pair of this similarity exceeds with a probability below 1e-7."""
+def most_differences(m: int, similarity: float, deviations: float = 4.5) -> int:
+    """Differing two-bit values that a pair of this similarity exceeds with a probability below 1e-5."""
     p = (1 - similarity) * 0.75
     return int(m * p + deviations * (m * p * (1 - p)) ** 0.5)

@@ -40,6 +40,8 @@ GZIP_MAGIC = b"\x1f\x8b\x08"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Archives are closed once they have so many bytes.
 ROLL_BYTES = 16 << 20
+#: Bytes given to the decompressor at once.
+PIECE = 1 << 14
 #: One date for all records, so that equal input gives equal archives.
 DATE = "2020-01-01T00:00:00Z"
 
@@ -118,14 +120,18 @@ def _member(data: bytes, at: int) -> tuple[bytes, int]:
     """Content of the gzip member at ``at`` and the offset after it."""
     if data[at:at + 3] != GZIP_MAGIC:
         raise ValueError("member magic")
-    d = zlib.decompressobj(31)
-    try:
-        out = d.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise ValueError("gzip check") from e
-    if not d.eof:
-        raise ValueError("truncated member")
-    return out, len(data) - len(d.unused_data)
+    d, out, p = zlib.decompressobj(31), [], at
+    # Piece by piece: what is left over is copied, and should not be the rest of the file.
+    while not d.eof:
+        piece = data[p:p + PIECE]
+        if not piece:
+            raise ValueError("truncated member")
+        p += len(piece)
+        try:
+            out.append(d.decompress(piece))
+        except zlib.error as e:
+            raise ValueError("gzip check") from e
+    return b"".join(out), p - len(d.unused_data)
 
 
 def _records_of_member(data: bytes, at: int) -> tuple[list[dict], int]:

@@ -17,7 +17,7 @@ replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,6 +41,10 @@ SIGNALS = {
 SLACK = {"symbols": 250, "shouts": 500, "dup_lines": 600, "word_length": 4000}
 #: Fence: upper quartile + SPREAD * (upper quartile - lower quartile), or the slack if that is more.
 SPREAD = 6
+#: Pooled fence: median + LOWER_SPREAD * (median - lower quartile), or the slack if that is more. (About as wide as the other.)
+LOWER_SPREAD = 13
+#: A group of fewer documents has no pooled fence of its own.
+MIN_GROUP = 20
 #: A sketch bin is 1/16 of its value wide at most.
 BIN_BITS = 4
 
@@ -103,22 +107,54 @@ def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") ->
         .groupBy("lang", "source", "signal", "low", "high").agg(F.count("*").alias("n")))
 
 
-def fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Upper fence of each signal per (lang, source), read from the sketches; a written table."""
-    group = ["lang", "source", "signal"]
+def _by_quantiles(sketch: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(*group, fence, docs) of each group's sketch; ``value`` makes the fence of q1, q2, q3 and the slack."""
     upto = W.partitionBy(*group).orderBy("low").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (sketches(measured, lang, source)
-              .withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(W.partitionBy(*group))))
+    ranked = (sketch.withColumn("upto", F.sum("n").over(upto))
+              .withColumn("all", F.sum("n").over(W.partitionBy(*group))))
     quartiles = ranked.groupBy(*group).agg(
-        F.min(F.when(F.expr("4 * upto >= all"), F.col("high"))).alias("q1"),
-        F.min(F.when(F.expr("4 * upto >= 3 * all"), F.col("high"))).alias("q3"))
+        *[F.min(F.when(F.expr(f"4 * upto >= {k} * all"), F.col("high"))).alias(f"q{k}") for k in (1, 2, 3)],
+        F.max("all").alias("docs"))
     slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])
-    fence = F.col("q3") + F.greatest(SPREAD * (F.col("q3") - F.col("q1")), slack[F.col("signal")])
-    table = quartiles.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("signal") == k, fence)).alias(f"max_{k}") for k in SIGNALS])
+    return (quartiles.withColumn("slack", slack[F.col("signal")])
+            .select(*group, F.expr(value).alias("fence"), "docs"))
+
+
+def _as_table(found: DataFrame) -> DataFrame:
+    table = found.groupBy("lang", "source").agg(
+        *[F.max(F.when(F.col("signal") == k, F.col("fence"))).alias(f"max_{k}") for k in SIGNALS])
     return written(table, "quality-fences")
 
 
+def fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """Upper fence of each signal per (lang, source), read from the sketches; a written table."""
+    return _as_table(_by_quantiles(sketches(measured, lang, source), ["lang", "source", "signal"],
+                                   f"q3 + greatest({SPREAD} * (q3 - q1), slack)"))
+
+
+def pooled_fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """As ``fences``, but such that bad rows do not move them: a written table.
+
+    The fence is the median + greatest(LOWER_SPREAD * (median - lower quartile), slack), so all that is above the
+    median may be bad. A group of fewer than MIN_GROUP documents has the fence of its language, a language of fewer
+    that of the whole corpus; their sketches are the groups' added up.
+    """
+    bins = written(sketches(measured, lang, source), "quality-sketches")
+    value = f"q2 + greatest({LOWER_SPREAD} * (q2 - q1), slack)"
+
+    def level(keys: list[str]) -> DataFrame:
+        merged = bins.groupBy(*keys, "signal", "low", "high").agg(F.sum("n").alias("n"))
+        return _by_quantiles(merged, [*keys, "signal"], value)
+
+    def sure(name: str) -> Column:
+        return F.when(F.col(f"{name}.docs") >= MIN_GROUP, F.col(f"{name}.fence"))
+    g, of_lang, of_all = level(["lang", "source"]).alias("g"), level(["lang"]).alias("l"), level([]).alias("c")
+    found = (g.join(of_lang, F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("g.signal") == F.col("l.signal")))
+             .join(of_all, F.col("g.signal") == F.col("c.signal"))
+             .select("g.lang", "g.source", "g.signal", F.coalesce(sure("g"), sure("l"), F.col("c.fence")).alias("fence")))
+    return _as_table(found)
+
+
 def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Join documents with their group's fences; adds base_failed, failed_rules (names) and kept.
 
@@ -144,7 +180,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     """All documents with their metrics, failed rules and verdict.
 
     The text is measured twice, once for the sketches and once for the verdict,
-    rather than shuffled or stored between the two.
+    rather than shuffled or stored between the two. Fences are the pooled ones.
     """
-    limits = fences(measure(docs, text, repeats=False), lang, source)
+    limits = pooled_fences(measure(docs, text, repeats=False), lang, source)
     return judge(measure(docs, text), limits, lang, source)

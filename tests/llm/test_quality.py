@@ -88,3 +88,14 @@ def test_empty_table_and_repeated_rows(spark):
     assert Q.quality_rules(df.limit(0)).count() == 0
     got = Q.quality_rules(df).collect()
     assert len(got) == 4 and all(r.base_failed and not r.kept for r in got)
+
+
+def test_junk_in_small_and_hot_groups_is_rejected(spark):
+    """A tail of sources with up to three documents, all junk, and a hot source that is two fifths junk."""
+    rng = random.Random(6)
+    clean = lambda: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(80))
+    junk = lambda: clean().replace(" ", "### ")
+    rows = [(i, junk() if i % 5 < 2 else clean(), "en", "hot") for i in range(200)]
+    rows += [(1000 + i, junk(), "en", f"tail{i // 3}") for i in range(30)] + [(2000, junk(), "xx", "one"), (2001, clean(), "xx", "two")]
+    got = {r.doc_id: r.kept for r in Q.quality_rules(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == {d: "#" not in t for d, t, _, _ in rows}

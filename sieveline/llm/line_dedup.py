@@ -1,6 +1,10 @@
 """Line dedup by winnowing over line hashes (native DataFrame operators only).
 
-Lines without words are skipped when neighbours are compared. A window starts
+Lines are cut further after sentence ends and at the bars of table cells, so
+that a passage inside a longer line is found too. Below, a line is one of
+these pieces; without such places it is a line of the text.
+
+Lines without words are skipped when neighbours are compared, and so are bars. A window starts
 at each line and goes on until it has ``min_words`` words; the line with the
 smallest hash in a whole window is selected as a fingerprint. Equal runs of
 lines have equal windows, so two places that share a run of at least
@@ -16,7 +20,8 @@ places, each place is compared with the first place of each extension, so a
 passage that a third of the documents share costs one row per place and line.
 
 Matched lines that follow one another are a run; runs of at least
-``min_words`` words are deleted, and the first place of each stays.
+``min_words`` words are deleted, and the first place of each stays. What is left keeps its
+own separators; a line of the text of which no piece is left goes with its end.
 
 Defined results: null text stays null; text without words is unchanged;
 documents equal in id and text are one (each row gets the same result);
@@ -30,26 +35,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import WORD_PATTERN, replace_columns, written
+from sieveline.llm.common import SPACE_CLASS, WORD_PATTERN, replace_columns, written
 
 #: A repeated run is deleted from this many words on.
 MIN_WORDS = 25
+#: Where lines are cut (nothing is lost: separators stay with a piece).
+CUT = rf"(?<=[.!?|][{SPACE_CLASS}])|(?<=[。！？])|(?=[{SPACE_CLASS}]\|)"
 
 OUT = ["n_lines", "n_removed", "removed_runs"]
 DOC = ["__id", "__hash"]
 
 
+def _pieces(inside: bool) -> str:
+    """The pieces x of __text, each with the number l of its line; whole lines unless ``inside``."""
+    of_line = f"split(y, r'{CUT}')" if inside else "array(y)"
+    return f"flatten(transform(split(__text, '\\n'), (y, l) -> transform({of_line}, x -> struct(x, l))))"
+
+
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))) \
                .withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
 
 
 def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-               min_words: int = MIN_WORDS) -> DataFrame:
+               min_words: int = MIN_WORDS, inside: bool = True) -> DataFrame:
     """Lines that have words: __id, __hash, idx (line), ord, h, n (words), s (words before), total, low (window minimum)."""
+    bar = "btrim(p.x) = '|'" if inside else "false"
     found = F.expr(
-        "filter(transform(split(__text, '\\n'), (x, i) -> struct(i AS idx, xxhash64(btrim(x)) AS h, "
-        f"cast(regexp_count(x, r'{WORD_PATTERN}') AS long) AS n)), x -> x.n > 0)")
+        f"filter(transform({_pieces(inside)}, (p, i) -> struct(i AS idx, xxhash64(btrim(p.x)) AS h, "
+        f"cast(CASE WHEN {bar} THEN 0 ELSE regexp_count(p.x, r'{WORD_PATTERN}') END AS long) AS n)), x -> x.n > 0)")
     arrays = (_keyed(docs, doc_id, text).withColumn("__text", F.col(text)).withColumn("__lines", found)
               .select(*DOC, "__lines").dropDuplicates(DOC))
     lines = arrays.select(*DOC, F.posexplode("__lines").alias("ord", "__line")).select(*DOC, "ord", "__line.*")
@@ -99,17 +113,24 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             .groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("__runs")))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with later repeats deleted from their text; adds n_lines, n_removed and removed_runs."""
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
+                inside: bool = True) -> DataFrame:
+    """The documents with later repeats deleted from their text; adds n_lines, n_removed and removed_runs.
+
+    n_lines counts lines of the text, n_removed and removed_runs (first and last, from 0) the pieces that lines are
+    cut into. ``inside=False`` compares and deletes whole lines only.
+    """
     base = replace_columns(docs, OUT)
-    lines = written(line_table(base, doc_id, text, min_words), "lines")
+    lines = written(line_table(base, doc_id, text, min_words, inside), "lines")
     runs = repeated_runs(lines, min_words).select(
         F.col("__id").alias("__i"), F.col("__hash").alias("__h"), "__runs")
     keyed = _keyed(base, doc_id, text).withColumn("__text", F.col(text))
     joined = keyed.join(runs, (F.col("__id") == F.col("__i")) & (F.col("__hash") == F.col("__h")), "left")
-    kept = F.expr("CASE WHEN __runs IS NULL THEN __text ELSE array_join(filter(split(__text, '\\n'), "
-                  "(x, i) -> NOT exists(__runs, r -> i BETWEEN r.from AND r.to)), '\\n') END")
-    return (joined
+    left = F.expr(f"CASE WHEN __runs IS NOT NULL THEN filter({_pieces(inside)}, "
+                  "(x, i) -> NOT exists(__runs, r -> i BETWEEN r.from AND r.to)) END")
+    kept = F.expr("CASE WHEN __runs IS NULL THEN __text ELSE array_join(transform(__left, (p, i) -> concat("
+                  "CASE WHEN i > 0 AND get(__left, i - 1).l <> p.l THEN '\\n' ELSE '' END, p.x)), '') END")
+    return (joined.withColumn("__left", left)
             .withColumn("n_lines", F.expr("coalesce(size(split(__text, '\\n')), 0)").cast("long"))
             .withColumn("n_removed", F.expr(
                 "coalesce(aggregate(__runs, 0L, (a, r) -> a + r.to - r.from + 1), 0L)"))

@@ -114,3 +114,13 @@ def test_hot_line_and_long_document(spark):
     got = run(spark, docs)
     assert got[0].n_removed == 0 and all(got[d].text == f"unique {d}" for d in range(1, 300))
     assert got[1000].n_removed == 0
+
+
+def test_passages_inside_longer_lines(spark):
+    """Glued to half a sentence, or between table cells; what is left keeps its separators."""
+    passage = "One two three four. Five six seven! Eight nine ten."
+    docs = {1: f"intro\n{passage}", 2: f"and a half {passage} Then  more.\tEnd", 3: f"a | b | {passage} | c\nlast. line", 4: "x. y | z!  w\n"}
+    got = run(spark, docs)
+    assert got[1].text == docs[1] and got[4].text == docs[4]
+    assert got[2].text == "and a half One two three four. Then  more.\tEnd"
+    assert got[3].text == "a | b |  | c\nlast. line"

@@ -7,13 +7,15 @@ the sum of the vectors, each lane modulo a power of two:
 * lane 0 counts pieces (modulo 2^32),
 * 8 dense lanes of 32 bits get something from every piece: they tell texts
   with different pieces apart,
-* 128 sparse lanes of 16 bits: a piece adds to one of them, chosen by its hash.
+* 6 levels of 128 sparse lanes of 16 bits: level k takes the pieces whose hash ends (above the bits used otherwise) in
+  3 * k zeros, one of 8^k; a piece adds to one lane of each level that takes it, chosen by its hash.
 
 Sums do not depend on order, and pieces can be added or taken away without
 the rest of the text (``combine``). Two fingerprints differ in the sparse lanes
 hit by pieces that only one of the texts has; the number of such pieces is
-estimated from the share of equal lanes (linear counting), and likeness is the
-share of common pieces that follows: 1 for equal fingerprints, 0 for no
+estimated from the share of equal lanes (linear counting) of the first level
+that is not saturated, times 8^k, and likeness is the share of common pieces
+that follows: 1 for equal fingerprints, 0 for no
 common piece.
 
 Defined results: null text is empty; texts without pieces have the zero
@@ -34,7 +36,12 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import SPACE_CLASS, replace_columns
 
 DENSE, HIGH, LOW = 8, 16, 8
-SPARSE = HIGH * LOW
+LANES = HIGH * LOW
+#: Level k has one of 2^(LEVEL_BITS * k) pieces; ZERO_FROM is the first bit of the hash that decides.
+LEVELS, LEVEL_BITS, ZERO_FROM = 6, 3, 23
+SPARSE = LEVELS * LANES
+#: A level with fewer equal lanes is saturated (some 390 pieces that only one text has).
+MIN_EQUAL = 6
 #: Neighbours are found in ranges of ids with about so many rows; the ranges' bounds are collected (at most MAX_RANGES).
 RANGE_ROWS, MAX_RANGES = 1000, 65_536
 
@@ -46,16 +53,23 @@ def with_vector(df: DataFrame, text: str, out: str) -> DataFrame:
         f"aggregate(__h{j // 2}, 0L, (s, x) -> s + "
         + ("(x & 4294967295L)" if j % 2 else "shiftrightunsigned(x, 32)") + ") & 4294967295L" for j in range(DENSE))
     # Two steps of 16 and 8 lanes rather than one look at every piece for each of 128.
-    sparse = (
-        f"flatten(transform(transform(sequence(0, {HIGH - 1}), a -> filter(__h, x -> (x & {HIGH - 1}) = a)), "
+    level = (
+        f"flatten(transform(transform(sequence(0, {HIGH - 1}), a -> filter(__l, x -> (x & {HIGH - 1}) = a)), "
         f"g -> transform(sequence(0, {LOW - 1}), b -> aggregate(g, 0L, (s, x) -> s + "
         f"CASE WHEN (shiftright(x, 4) & {LOW - 1}) = b THEN (shiftright(x, 7) & 65535) ELSE 0L END) & 65535L)))")
+    # Each level is picked from the one before; most texts have no piece in the higher ones.
+    sparse = ", ".join(f"CASE WHEN size(__l{k}) = 0 THEN array_repeat(0L, {LANES}) ELSE {level.replace('__l', f'__l{k}')} END"
+                       for k in range(LEVELS))
     staged = (df.withColumn("__pieces", F.expr(pieces))
               .withColumn("__h", F.expr("transform(__pieces, x -> xxhash64(x))")))
     for j in range(DENSE // 2):
         staged = staged.withColumn(f"__h{j}", F.expr(f"transform(__pieces, x -> xxhash64(x, {j + 1}))"))
+    staged = staged.withColumn("__l0", F.col("__h"))
+    for k in range(1, LEVELS):
+        mask = ((1 << LEVEL_BITS * k) - 1) << ZERO_FROM
+        staged = staged.withColumn(f"__l{k}", F.expr(f"filter(__l{k - 1}, x -> (x & {mask}L) = 0)"))
     return (staged.withColumn(out, F.expr(f"concat(array(cast(size(__pieces) AS long), {dense}), {sparse})"))
-            .drop("__pieces", "__h", *[f"__h{j}" for j in range(DENSE // 2)]))
+            .drop("__pieces", "__h", *[f"__h{j}" for j in range(DENSE // 2)], *[f"__l{k}" for k in range(LEVELS)]))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -74,9 +88,14 @@ def as_text(vector: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Share of common pieces of two vectors, from 0 to 1 (double)."""
     lanes = F.zip_with(F.slice(a, DENSE + 2, SPARSE), F.slice(b, DENSE + 2, SPARSE), lambda x, y: x == y)
-    equal = F.size(F.filter(lanes, lambda x: x))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(
+        k.alias("k"), F.size(F.filter(F.slice(lanes, k * LANES + 1, F.lit(LANES)), lambda x: x)).alias("n")))
+    # The last level decides where all are saturated.
+    level = F.coalesce(F.get(F.filter(counts, lambda c: c["n"] >= MIN_EQUAL), F.lit(0)), F.get(counts, F.lit(LEVELS - 1)))
+    equal = level["n"]
     total = (F.get(a, F.lit(0)) + F.get(b, F.lit(0))).cast("double")
-    only = F.least(total, F.log(equal / F.lit(float(SPARSE))) / F.lit(math.log1p(-1 / SPARSE)))
+    only = F.least(total, F.log(equal / F.lit(float(LANES))) / F.lit(math.log1p(-1 / LANES))
+                   * F.pow(F.lit(float(1 << LEVEL_BITS)), level["k"]))
     return (F.when(a == b, F.lit(1.0)).when((equal == 0) | (total == 0), F.lit(0.0))
             # Dense lanes that differ while all sparse ones agree: one piece at least is not common.
             .otherwise((total - F.greatest(only, F.lit(1.0))) / (total + F.greatest(only, F.lit(1.0)))))

@@ -76,3 +76,15 @@ def test_single_row_equal_ids_and_empty_table(spark):
     two = spark.createDataFrame([(1, "abcd"), (1, "efgh"), (1, "efgh")], COLUMNS)
     assert P.edited_texts(two).count() == 3
     assert P.edited_texts(one.limit(0)).count() == 0
+
+
+def test_likeness_of_thousands_of_pieces(spark):
+    rng = random.Random(4)
+    pool = [f"piece {rng.random()}" for _ in range(60_000)]
+    cases = [(3000, 2400, 600), (1600, 800, 50), (5000, 2500, 50), (30_000, 15_000, 15_000), (3000, 0, 3000), (700, 350, 350)]
+    texts = [x for n, common, new in cases for x in ("\n".join(pool[:n]), "\n".join(pool[:common] + pool[30_000:30_000 + new]))]
+    v = vectors(spark, texts)
+    df = spark.createDataFrame([(v[2 * i][0], v[2 * i + 1][0], common / (n + new)) for i, (n, common, new) in enumerate(cases)],
+                               "a array<long>, b array<long>, want double")
+    for r in df.withColumn("got", P.likeness(F.col("a"), F.col("b"))).collect():
+        assert abs(r.got - r.want) < 0.13, (r.got, r.want)

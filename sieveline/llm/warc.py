@@ -9,10 +9,12 @@ length, and the id of the page it refers to. Archives are files of at most
 is run again leaves no half file; a manifest lists the files that count.
 
 Reading. Files are read whole as rows of bytes (their size is bounded), member
-by member. A record must pass all checks: gzip's own, the version line, the
-content length, the digests. After a failed check the reader searches for the
-next valid member (in a plain file: the next version line with a valid record
-behind it) and goes on from there; the bytes between are logged as a gap.
+by member. A record must pass its checks: the version line, the content
+length, the digests. The block of an application/http record is headers and
+payload; that of any other is the payload. After a failed check the reader
+searches for the next valid member or version line with a valid record behind
+it, in a member's content as in the file, and goes on from there; the bytes
+between are logged as a gap.
 
 Defined results: null html is an empty payload; a null url leaves out the
 target; a null page id is written as such and sorts last; pages equal in id
@@ -37,6 +39,7 @@ from sieveline.llm.common import bound_batches, scratch_path, written
 
 VERSION = b"WARC/1.1\r\n"
 GZIP_MAGIC = b"\x1f\x8b\x08"
+PLAIN_MARK = b"WARC/1."
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Archives are closed once they have so many bytes.
 ROLL_BYTES = 16 << 20
@@ -101,12 +104,15 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
         raise ValueError("record end")
     if head.get("warc-block-digest", "").removeprefix("sha1:") not in ("", digest(block)):
         raise ValueError("block digest")
-    http_end = block.find(b"\r\n\r\n")
-    if http_end < 0:
-        raise ValueError("http header")
-    payload = block[http_end + 4:]
-    length = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", block[:http_end])
     revisit = head.get("warc-type") == "revisit"
+    length, payload = None, block
+    if head.get("content-type", "").lower().startswith("application/http"):
+        http_end = block.find(b"\r\n\r\n")
+        if http_end < 0 and not revisit:
+            raise ValueError("http header")
+        # A revisit may leave out the headers, or the blank line after them.
+        headers, payload = (block, b"") if http_end < 0 else (block[:http_end], block[http_end + 4:])
+        length = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", headers)
     claimed = head.get("warc-payload-digest", "").removeprefix("sha1:")
     if not revisit and (claimed not in ("", digest(payload)) or length and int(length[1]) != len(payload)):
         raise ValueError("payload digest")
@@ -116,61 +122,91 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
             "payload": None if revisit else payload}, start + n + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content of the gzip member at ``at`` and the offset after it."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """Content of the gzip member at ``at`` as far as it can be read, the offset after it, the check that failed."""
     if data[at:at + 3] != GZIP_MAGIC:
-        raise ValueError("member magic")
-    d, out, p = zlib.decompressobj(31), [], at
+        return b"", at, "member magic"
+    d, out, p, stop = zlib.decompressobj(31), [], at, None
     # Piece by piece: what is left over is copied, and should not be the rest of the file.
     while not d.eof:
-        piece = data[p:p + PIECE]
+        piece = data[p:p + (PIECE if stop is None or p < stop else 1)]
         if not piece:
-            raise ValueError("truncated member")
+            return b"".join(out), p, "truncated member"
         p += len(piece)
         try:
             out.append(d.decompress(piece))
-        except zlib.error as e:
-            raise ValueError("gzip check") from e
-    return b"".join(out), p - len(d.unused_data)
-
-
-def _records_of_member(data: bytes, at: int) -> tuple[list[dict], int]:
-    content, end = _member(data, at)
-    found, p = [], 0
+        except zlib.error:
+            if stop is not None or p - at <= 1:
+                return b"".join(out), p, "gzip check"
+            # Once more, bytewise in the piece that failed, for all that comes before the fault.
+            d, out, p, stop = zlib.decompressobj(31), [], at, p - len(piece)
+    return b"".join(out), p - len(d.unused_data), None
+
+
+def _records(content: bytes, last: bool = True) -> list[tuple[dict | None, str | None]]:
+    """(record, None) and (None, reason) of a member's content, in order; without ``last``, no record at its very end."""
+    found: list[tuple[dict | None, str | None]] = []
+    p, lost = 0, None
     while p < len(content):
-        rec, p = parse(content, p)
-        found.append(rec)
-    return found, end
+        try:
+            rec, end = parse(content, p)
+        except ValueError as e:
+            lost = lost or str(e)
+            p = content.find(PLAIN_MARK, p + 1)
+            if p < 0:
+                break
+            continue
+        if end == len(content) and not last:
+            lost = lost or "gzip check"
+            break
+        found += [(None, lost)] if lost else []
+        found.append((rec, None))
+        p, lost = end, None
+    return found + ([(None, lost)] if lost else [])
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
     """(offset, length, record, None) of each valid record and (offset, length, None, reason) of each gap.
 
-    Several records of one member have the member's offset and length.
+    Records and gaps inside one member have the member's offset and length. Of a member that fails gzip's check or is
+    cut off, the records that pass their own checks count, but not the one that ends where gzip's check fails.
     """
-    gz = data[:3] == GZIP_MAGIC or data.find(GZIP_MAGIC) >= 0 and data[:5] != b"WARC/"
-    mark = GZIP_MAGIC if gz else b"WARC/1."
+    ahead = dict.fromkeys((GZIP_MAGIC, PLAIN_MARK), 0)
     at = 0
     gap: tuple[int, str] | None = None
     while at < len(data):
-        try:
-            if gz:
-                found, end = _records_of_member(data, at)
-            else:
+        failed: str | None = None
+        inner: list[tuple[dict | None, str | None]] = []
+        if data[at:at + 3] == GZIP_MAGIC:
+            content, end, failed = _member(data, at)
+            inner = _records(content, failed != "gzip check")
+            if failed and inner and inner[-1][0] is None:
+                inner.pop()  # what is left at the fault belongs to its gap
+            whole = not failed
+            if not any(rec for rec, _ in inner):
+                failed, inner = failed or (inner[0][1] if inner else None), []
+        else:
+            whole = False
+            try:
                 rec, end = parse(data, at)
-                found = [rec]
-        except ValueError as e:
-            gap = gap or (at, str(e))
-            at = data.find(mark, at + 1)
-            if at < 0:
-                break
-            continue
-        if gap:
+                inner = [(rec, None)]
+            except ValueError as e:
+                failed = str(e)
+        if gap and (inner or not failed):
             yield gap[0], at - gap[0], None, gap[1]
             gap = None
-        for rec in found:
-            yield at, end - at, rec, None
-        at = end
+        for rec, reason in inner:
+            yield at, end - at, rec, reason
+        if failed:
+            gap = gap or (at, failed)
+        if not failed or whole:
+            at = end
+            continue
+        # Both marks: a file may be damaged where its kind shows.
+        for mark, place in ahead.items():
+            if 0 <= place <= at:
+                ahead[mark] = data.find(mark, at + 1)
+        at = min((place for place in ahead.values() if place > at), default=len(data))
     if gap:
         yield gap[0], len(data) - gap[0], None, gap[1]
 

@@ -106,3 +106,43 @@ def test_registered_query_matches_brute_force(spark):
              "response" if first[p.html] == p.page_id else "revisit",
              None if first[p.html] == p.page_id else first[p.html]) for p in pages}
     assert {tuple(r) for r in QUERIES["op6_warc"](spark, sf).collect()} == want
+
+
+def other(kind, block, ctype="text/plain", extra=()):
+    head = [("WARC-Type", kind), ("WARC-Record-ID", "<urn:page:7>"), *([("Content-Type", ctype)] if ctype else []),
+            ("WARC-Block-Digest", f"sha1:{warc.digest(block)}"), *extra, ("Content-Length", str(len(block)))]
+    return warc.VERSION + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("gz", [True, False])
+def test_records_without_http(gz):
+    blocks = [b"no blank line", b"a\r\n\r\nb\r\nContent-Length: 3\r\n", b"", b"software: x\r\n"]
+    kinds = ["conversion", "resource", "metadata", "warcinfo"]
+    recs = [other(k, b, t, [("WARC-Payload-Digest", f"sha1:{warc.digest(b)}")])
+            for k, b, t in zip(kinds, blocks, ["text/plain", "text/html", None, "application/warc-fields"], strict=True)]
+    recs.append(other("revisit", b"", "application/http; msgtype=response"))
+    got = list(warc.salvage(b"".join(map(member, recs) if gz else recs)))
+    assert [g for *_, g in got] == [None] * 5
+    assert [(r["record_type"], r["payload"], r["payload_bytes"]) for _, _, r, _ in got] == [
+        *[(k, b, len(b)) for k, b in zip(kinds, blocks, strict=True)], ("revisit", None, 0)]
+
+
+def test_one_member_for_the_whole_file():
+    payloads, recs = records(200, 5)
+    ids = lambda got: [r["page_id"] for _, _, r, gap in got if gap is None]
+    bad = [*recs[:50], recs[50][:-9] + b"x" + recs[50][-8:], *recs[51:]]  # a payload that fails its digest
+    got = list(warc.salvage(member(b"".join(bad))))
+    assert ids(got) == [i for i in range(200) if i != 50] and len(got) == 200
+    data = member(b"".join(recs))
+    cut = list(warc.salvage(data[:len(data) // 2]))
+    assert len(ids(cut)) > 50 and ids(cut) == list(range(len(ids(cut)))) and cut[-1][3] == "truncated member"
+    hurt = list(warc.salvage(data[:len(data) // 2] + b"\xff" * 40 + data[len(data) // 2 + 40:] + member(recs[0])))
+    assert len(ids(hurt)) > 50 and ids(hurt)[-1] == 0 and sum(gap is not None for *_, gap in hurt) >= 1
+    assert all(r["payload"] == payloads[r["page_id"]] for _, _, r, gap in hurt if gap is None)
+
+
+def test_damaged_start_of_a_plain_file_with_gzip_inside():
+    inner = member(b"not a record")
+    recs = [warc.record(i, None, p, len(p), warc.digest(p)) for i, p in enumerate([b"a", inner, b"c"])]
+    got = list(warc.salvage(b"XXXXX" + b"".join(recs)[5:]))
+    assert [r["page_id"] for _, _, r, gap in got if gap is None] == [1, 2] and got[0][:2] == (0, len(recs[0]))

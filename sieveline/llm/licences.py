@@ -6,8 +6,9 @@ Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-case
    templates occurs (the table has one row per template word).
 2. Each template is indexed by its words of highest IDF with their positions.
 3. A second pass looks up the index words of each document. Every occurrence
-   is joined with the postings of its word; occurrences of one template that
-   agree in (position in document - position in template) are one alignment.
+   is joined with the postings of its word; occurrences of one template whose
+   (position in document - position in template) differ by at most ``BAND``
+   are one alignment, so that a word more or less does not break it.
 4. An alignment counts if it holds ``MIN_SCORE`` of the template's indexed IDF
    weight, and the document has all mandatory key phrases of the template.
 
@@ -61,6 +62,21 @@ TEMPLATES = [
      ["permission is hereby granted free of charge"]),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
      ["mozilla public license"]),
+    *[(label, f"{name} as published by the Free Software Foundation, either version {v} of the License",
+       [name.lower(), f"version {v} of the license"])
+      for label, name, v in (("agpl-3", "GNU Affero General Public License", 3), ("gpl-2", "GNU General Public License", 2),
+                             ("gpl-3", "GNU General Public License", 3), ("lgpl-3", "GNU Lesser General Public License", 3))],
+    *[(label, f"{name} v{v}.0", [f"{name} v{v}".lower()])
+      for label, name, v in (("agpl-3", "GNU Affero General Public License", 3), ("gpl-2", "GNU General Public License", 2),
+                             ("gpl-3", "GNU General Public License", 3), ("lgpl-3", "GNU Lesser General Public License", 3))],
+    ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby "
+     "granted", ["with or without fee is hereby granted"]),
+    *[(label, f"{name} {v}", [f"{name} {v}".lower().replace("-", " ").replace(".", " ")])
+      for v in ("1.0", "2.0", "2.5", "3.0")
+      for label, name in (("cc-by", "CC BY"), ("cc-by", "Creative Commons Attribution"), ("cc-by-nc", "CC BY-NC"),
+                          ("cc-by-nc", "Creative Commons Attribution-NonCommercial"), ("cc-by-sa", "CC BY-SA"),
+                          ("cc-by-sa", "Creative Commons Attribution-ShareAlike"))],
+    ("cc-by-sa", "Creative Commons Attribution-ShareAlike 4.0", ["creative commons attribution sharealike 4 0"]),
     ("unlicense", "This is free and unencumbered software released into the public domain",
      ["free and unencumbered software"]),
 ]
@@ -68,6 +84,8 @@ TEMPLATES = [
 RARE_WORDS, RARE_SHARE = 8, 0.5
 #: The share of the template's indexed IDF weight that an alignment must hold.
 MIN_SCORE = 0.8
+#: Offsets that differ by so many words at most support each other.
+BAND = 4
 
 FOUND = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
@@ -145,7 +163,9 @@ def scan_licences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
         .select("__id", "__hash", "__keys", F.posexplode("__words").alias("i", "w")))
     aligned = (
         candidates.join(index, "w")
-        .groupBy("__id", "__hash", "__keys", "t", F.expr("i - pos").alias("offset"))
+        # Bands of twice the width, each offset in two of them.
+        .withColumn("band", F.explode(F.expr(f"array(floor((i - pos) / {BAND}), floor((i - pos) / {BAND}) + 1)")))
+        .groupBy("__id", "__hash", "__keys", "t", "band")
         # Documents equal in id and text meet here; each place counts once.
         .agg(F.collect_set(F.struct("pos", "share")).alias("held"))
         .withColumn("score", F.expr("least(1D, round(aggregate(held, 0D, (s, h) -> s + h.share), 9))")))

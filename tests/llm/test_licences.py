@@ -68,3 +68,20 @@ def test_postings_prefer_rare_words():
     for t, _, _, s in L.postings(idf):
         shares[t] = shares.get(t, 0) + s
     assert all(abs(s - 1) < 1e-9 for s in shares.values())
+
+
+def test_wordings_of_standard_notices(spark):
+    notice = ("This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by "
+              "the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+    texts = [notice.format("GNU General Public License", 3), notice.format("GNU General Public License", 2),
+             notice.format("GNU Affero General Public License", 3), "GNU General Public License v3.0", "see GNU General Public License v2.0",
+             "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted",
+             "CC BY 3.0", "Creative Commons Attribution-ShareAlike 3.0 Unported License",
+             # A word between does not break the alignment.
+             "Permission to use, copy, modify, sublicense and/or distribute this software for any purpose with or without fee is hereby granted",
+             "the general public as published by the free software foundation"]
+    # Whatever words are rare: fillers that hold some of the notice's words.
+    for extra in ([], ["free software foundation published either"] * 30, ["gnu general public version permission distribute"] * 30):
+        got = scan(spark, [*texts, *extra])
+        assert [got[i].labels for i in range(len(texts))] == [
+            "gpl-3", "gpl-2", "agpl-3", "gpl-3", "gpl-2", "isc", "cc-by", "cc-by-sa", "isc", ""]

@@ -39,11 +39,13 @@ def bucket_counts(logs: DataFrame, by: str = "source", minutes: int = 10) -> Dat
 def with_newest_id(logs: DataFrame, buckets: DataFrame, by: str = "source", minutes: int = 10) -> DataFrame:
     """Add ``log_id``, the newest log of each given bucket (the largest id of equal times). Logs are looked up
     for these buckets only, so pass the buckets that matter."""
-    at = buckets.select("key", "bucket", "newest")
+    at = buckets.select(F.col("key").alias("_k"), F.col("bucket").alias("_b"), F.col("newest").alias("_n"))
     found = (logs.select(F.col(by).alias("key"), minute_bucket(F.col("timestamp"), minutes).alias("bucket"),
                          F.unix_micros("timestamp").alias("newest"), F.col("id").alias("log_id"))
-             .join(at, ["key", "bucket", "newest"]).groupBy("key", "bucket").agg(F.max("log_id").alias("log_id")))
-    return buckets.join(found, ["key", "bucket"])
+             .join(at, F.col("key").eqNullSafe(F.col("_k")) & F.col("bucket").eqNullSafe(F.col("_b"))
+                   & F.col("newest").eqNullSafe(F.col("_n")))
+             .groupBy("_k", "_b").agg(F.max("log_id").alias("log_id")))
+    return buckets.join(found, F.col("key").eqNullSafe(F.col("_k")) & F.col("bucket").eqNullSafe(F.col("_b"))).drop("_k", "_b")
 
 
 def bucket_zscores(logs: DataFrame, by: str = "source", minutes: int = 10) -> DataFrame:

@@ -84,3 +84,10 @@ def test_split_halves_exact_with_shared_timestamps(spark):
     for sev in ("info", "high"):
         grp = sorted([r for r in rows if r[4] == sev], key=lambda r: (r[1], r[0]))
         assert all(by[r[0]] == (i >= len(grp) // 2) for i, r in enumerate(grp))
+
+
+def test_frequency_spike_of_logs_without_a_source(spark):
+    base = AS_OF.replace(minute=0) - timedelta(hours=1)
+    rows = [(f"a{i}", base + timedelta(minutes=10 * i + 1), None, "", "info", "normal") for i in range(6)]
+    rows += [(f"b{i:02d}", base + timedelta(minutes=52, seconds=i), None, "", "info", "burst") for i in range(20)]
+    assert [r["log_id"] for r in frequency_anomalies(logs(spark, rows)).collect()] == ["b19"]

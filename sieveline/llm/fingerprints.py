@@ -85,20 +85,28 @@ def as_text(vector: Column) -> Column:
         F.hex(x), F.when(i <= DENSE, F.lit(8)).otherwise(F.lit(4)), F.lit("0"))), ""))
 
 
+def _once(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of common pieces of two vectors, from 0 to 1 (double)."""
-    lanes = F.zip_with(F.slice(a, DENSE + 2, SPARSE), F.slice(b, DENSE + 2, SPARSE), lambda x, y: x == y)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(
-        k.alias("k"), F.size(F.filter(F.slice(lanes, k * LANES + 1, F.lit(LANES)), lambda x: x)).alias("n")))
+    equal = F.zip_with(F.slice(a, DENSE + 2, SPARSE), F.slice(b, DENSE + 2, SPARSE), lambda x, y: x == y)
+    counts = _once(equal, lambda lanes: F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(
+        k.alias("k"), F.size(F.filter(F.slice(lanes, k * LANES + 1, F.lit(LANES)), lambda x: x)).alias("n"))))
     # The last level decides where all are saturated.
-    level = F.coalesce(F.get(F.filter(counts, lambda c: c["n"] >= MIN_EQUAL), F.lit(0)), F.get(counts, F.lit(LEVELS - 1)))
-    equal = level["n"]
+    level = _once(counts, lambda c: F.coalesce(F.get(F.filter(c, lambda x: x["n"] >= MIN_EQUAL), F.lit(0)),
+                                               F.get(c, F.lit(LEVELS - 1))))
     total = (F.get(a, F.lit(0)) + F.get(b, F.lit(0))).cast("double")
-    only = F.least(total, F.log(equal / F.lit(float(LANES))) / F.lit(math.log1p(-1 / LANES))
-                   * F.pow(F.lit(float(1 << LEVEL_BITS)), level["k"]))
-    return (F.when(a == b, F.lit(1.0)).when((equal == 0) | (total == 0), F.lit(0.0))
-            # Dense lanes that differ while all sparse ones agree: one piece at least is not common.
-            .otherwise((total - F.greatest(only, F.lit(1.0))) / (total + F.greatest(only, F.lit(1.0)))))
+
+    def share(found: Column) -> Column:
+        only = F.least(total, F.log(found["n"] / F.lit(float(LANES))) / F.lit(math.log1p(-1 / LANES))
+                       * F.pow(F.lit(float(1 << LEVEL_BITS)), found["k"]))
+        return (F.when((found["n"] == 0) | (total == 0), F.lit(0.0))
+                # Dense lanes that differ while all sparse ones agree: one piece at least is not common.
+                .otherwise((total - F.greatest(only, F.lit(1.0))) / (total + F.greatest(only, F.lit(1.0)))))
+    return F.when(a == b, F.lit(1.0)).otherwise(_once(level, share))
 
 
 def _ranges(docs: DataFrame, doc_id: str) -> list[float]:

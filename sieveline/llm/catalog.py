@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, fingerprints, licences, line_dedup, mixing, near_dups, quality, token_counts, url_rules, warc
-from sieveline.llm.common import read, written
+from sieveline.llm import (bpe, decontamination, fingerprints, importance, licences, line_dedup, mixing, near_dups,
+                           periodic_runs, quality, token_counts, url_rules, warc)
+from sieveline.llm.common import SPACE_CLASS, read, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -104,6 +108,80 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document (by CRC-32 of its id) repeats a stretch of its own words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+
+    @F.pandas_udf("string")
+    def repeated(texts: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or k is None else _repeat(x, int(k)) for x, k in zip(texts, g, strict=True)], dtype=object)
+
+    chosen = F.when(h % 10 == 0, F.col("text"))
+    return docs.withColumn("text", F.coalesce(repeated(chosen, F.floor(h / 10)), "text"))
+
+
+def _repeat(text: str, g: int) -> str:
+    words = [w for w in re.split(f"[{SPACE_CLASS}]+", text) if w]
+    n = len(words)
+    if not n:
+        return text
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return " ".join(words[:a] + [words[a + (i - a) % p] for i in range(a, n)])
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.expr("array_max(transform(runs, r -> struct(r.length AS l, -r.start AS s, -r.period AS p)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return periodic_runs.mark_runs(docs).withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.expr("-best.s").alias("start"),
+        F.expr("best.l").alias("length"), F.expr("-best.p").alias("period"),
+        F.expr("1000 * best.l div -best.p").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn to resemble the benchmark texts; the scores are written once, without texts."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    corpus = importance.count_buckets(docs)
+    gain = importance.gains(corpus, importance.count_buckets(read(spark, sf_dir, "benchmark")))
+    digest = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    weighed = importance.weigh(docs, gain).select("doc_id", "n_words", "n_features", "weight", digest.alias("digest"))
+    return importance.draw(weighed, digest="digest").select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.find_items(docs, read(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated")
+
+
+def _decontamination_sql() -> str:
+    words = ("list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+             "'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')")
+    windows = "SELECT {k}, k, i, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM {t})"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, {words} AS w FROM documents),
+items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {words} AS w, least(len(w), {decontamination.WINDOW}) AS k
+          FROM benchmark WHERE len(w) > 0),
+wanted AS ({windows.format(k="item", t="items")}),
+sized AS (SELECT id, w, k FROM docs, (SELECT DISTINCT k FROM items) s),
+places AS ({windows.format(k="id", t="sized")}),
+hits AS (SELECT p.id, p.k, p.i, m.item FROM places p JOIN wanted m ON p.k = m.k AND p.win = m.win),
+covered AS (SELECT id, count(DISTINCT i + d) AS n
+            FROM (SELECT id, i, unnest(range(k)) AS d FROM (SELECT DISTINCT id, i, k FROM hits)) GROUP BY id),
+named AS (SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT id, item FROM hits) GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c ON c.id = d.id LEFT JOIN named m ON m.id = d.id"""
+
+
 def _quality_sql() -> str:
     signals = " UNION ALL ".join(
         f"SELECT id, lang, source, '{k}' AS signal, {v.replace(' div ', ' // ')} AS v FROM metrics WHERE n_words > 0"
@@ -177,3 +255,4 @@ FROM placed"""
 
 SQL["op2_mixing"] = _mixing_sql()
 SQL["op10_quality_rules"] = _quality_sql()
+SQL["op13_decontamination"] = _decontamination_sql()

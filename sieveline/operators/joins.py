@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.sources.scratch import written
+
 # Broadcast a side only below both bounds; otherwise shuffle (AQE splits
 # skewed partitions of the large side).
 MAX_BROADCAST_ROWS = 1_000_000
@@ -22,12 +23,13 @@ def measure(small: DataFrame, text_cols: list[str] | None = None) -> tuple[int,
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS,
-               max_bytes: int = MAX_BROADCAST_BYTES, persist: bool = True) -> DataFrame:
+               max_bytes: int = MAX_BROADCAST_BYTES, keep: bool = True) -> DataFrame:
     """Join ``big`` with ``small``; ``small`` is measured first (one small
-    job), kept (it is read twice: measured and joined) and broadcast only
-    when it is under both bounds -- else a plain shuffle join."""
-    if persist:
-        small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    job) and broadcast only when it is under both bounds -- else a plain
+    shuffle join. It is read twice, so it is written to the shared folder
+    once unless ``keep`` is off (cheap to make again)."""
+    if keep:
+        small = written(small, "small-side")
     rows, size = measure(small)
     if rows <= max_rows and size <= max_bytes:
         return big.join(F.broadcast(small), on, how)

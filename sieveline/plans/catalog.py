@@ -820,25 +820,61 @@ def q_hunt_replies(spark, d):
     return m.select("question_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@register("hunt_summary", W(LOGS_CTE, _questions_sql()) + """
+def _summary_sql(matches: str) -> str:
+    return f"""
 , sev AS (SELECT question_id, CAST(sum(n) AS BIGINT) AS total,
                  string_agg(printf('%d %s', n, severity), ', ' ORDER BY severity) AS sb
-          FROM (SELECT question_id, severity, count(*) AS n FROM m GROUP BY ALL) GROUP BY question_id),
+          FROM (SELECT question_id, severity, count(*) AS n FROM {matches} GROUP BY ALL) GROUP BY question_id),
 src AS (SELECT question_id, string_agg(source, ', ' ORDER BY source) FILTER (WHERE rn <= 5) AS sources
         FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY source) AS rn
-              FROM (SELECT DISTINCT question_id, source FROM m WHERE source <> '')) GROUP BY question_id)
+              FROM (SELECT DISTINCT question_id, source FROM {matches} WHERE source <> '')) GROUP BY question_id)
 SELECT hq.question_id, coalesce(total, 0) AS total_matches, coalesce(sb, '') AS severity_breakdown,
        coalesce(sources, '') AS sources,
        CASE WHEN coalesce(total, 0) = 0 THEN 'No logs found matching: ' || hq.question
             ELSE concat_ws(' ', printf('Found %d matching log(s).', total), 'Severity breakdown: ' || sb || '.',
                            CASE WHEN sources IS NOT NULL THEN 'Sources: ' || sources || '.' END) END AS summary
-FROM hq LEFT JOIN sev USING (question_id) LEFT JOIN src USING (question_id)""")
+FROM hq LEFT JOIN sev USING (question_id) LEFT JOIN src USING (question_id)"""
+
+
+@register("hunt_summary", W(LOGS_CTE, _questions_sql()) + _summary_sql("m"))
 def q_hunt_summary(spark, d):
     h = hunts.hunt_filters(_questions(spark, d), A.AS_OF)
     m = hunts.match_hunts(_logs(spark, d, spread=True), h, limit=None)
     return hunts.summarize_matches(h, m)
 
 
+def _cosine_sql(a: str, b: str) -> str:
+    """Cosine distance as kNN ranks by it: rounded to 12 digits, so that equal vectors tie."""
+    a, b = f"CAST({a} AS DOUBLE[])", f"CAST({b} AS DOUBLE[])"
+    return (f"round(1.0 - list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) "
+            f"* sqrt(list_dot_product({b}, {b}))), 12) + 0.0")
+
+
+@register("hunt_answers", W(LOGS_CTE, _questions_sql(), f"""
+asked AS (SELECT question_id, [1 + length(question) % 7, 1 + length(question) % 5, 1 + length(question) % 3, 1] AS v
+          FROM hq WHERE (SELECT count(*) FROM m WHERE m.question_id = hq.question_id) < 5),
+known AS (SELECT id, [1 + user_id % 7, 1 + user_id % 5, 1 + event_id % 3, 1] AS v FROM logs),
+near AS (SELECT question_id, id FROM (
+           SELECT question_id, id, row_number() OVER (PARTITION BY question_id
+                                                      ORDER BY {_cosine_sql("asked.v", "known.v")}, id) AS rank
+           FROM asked, known) WHERE rank <= 20),
+found AS (SELECT question_id, severity, source FROM m UNION ALL
+          SELECT question_id, severity, source FROM near JOIN logs USING (id)
+          WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.question_id = near.question_id AND m.id = near.id))""")
+          + _summary_sql("found"))
+def q_hunt_answers(spark, d):
+    """D7 + U2 + A14: keyword matches and, where they are few, the 20 nearest logs; vectors by a fixed rule."""
+    logs = _logs(spark, d, spread=True)
+    h = hunts.hunt_filters(_questions(spark, d), A.AS_OF)
+
+    def vector(*parts):
+        return F.array(*[(F.lit(1) + p).cast("double") for p in parts], F.lit(1.0)).alias("embedding")
+    n = F.length("question")
+    asked = h.select("question_id", vector(n % 7, n % 5, n % 3))
+    known = logs.select("id", vector(F.col("user_id") % 7, F.col("user_id") % 5, F.col("event_id") % 3))
+    return hunts.answer_hunts(logs, h, asked, known)
+
+
 # --- live feed and streams (J7, P10, N9, T1-T5) -------------------------------------------------------
 
 SUBSCRIPTIONS = {"soc": ["critical", "high"], "audit": None, "ops": ["medium", "low"]}
@@ -872,26 +908,37 @@ def q_live_feed(spark, d):
 
 
 def _event_stream(spark, d) -> DataFrame:
+    """The events table as a stream, whether it is one file or a folder of part files."""
     events = A.table(spark, d, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet") \
-        .option("maxFilesPerTrigger", 1).parquet(d.rstrip("/"))
-    return A.events_as_logs(stream)
+    folder = d.rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/events.parquet")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 100)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        folder = f"{folder}/events.parquet"
+    else:
+        stream = stream.option("pathGlobFilter", "events.parquet")
+    return A.events_as_logs(stream.parquet(folder))
+
+
+def _stream_root(spark, name: str) -> str:
+    """A fresh folder with an empty ``out``, so that a stream without rows gives an empty result."""
+    from sieveline.sources.scratch import scratch_path
+    root = scratch_path(spark, name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/out")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    return root
 
 
 def _run_stream(spark, df: DataFrame, name: str) -> DataFrame:
-    import uuid
-    from sieveline.session import checkpoint_root
-    root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    root = _stream_root(spark, name)
     feed.run_to_table(df, f"{root}/out", f"{root}/ckpt")
-    return spark.read.parquet(f"{root}/out")
+    return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
 def _run_updates(spark, df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    import uuid
-    from sieveline.session import checkpoint_root
-    root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    root = _stream_root(spark, name)
     feed.run_updates(df, f"{root}/out", f"{root}/ckpt")
-    return feed.latest_updates(spark, f"{root}/out", keys)
+    return feed.latest_updates(spark, f"{root}/out", keys, df.schema)
 
 
 @register("stream_feed", _FAN_SQL)
@@ -909,6 +956,44 @@ def q_stream_hourly_counts(spark, d):
     return out.select(ntz("hour").alias("hour"), "severity", "count")
 
 
+@register("stream_text_feed", W(LOGS_CTE, _subs_sql()) + f"""
+SELECT subscriber, "timestamp", source, hostname, logs.severity, log_type,
+       CASE WHEN length(message) > {FEED_PREVIEW} THEN substr(message, 1, {FEED_PREVIEW}) || '...' ELSE message END
+         AS preview
+FROM (SELECT *, 'syslog' AS log_type FROM logs) AS logs JOIN subs ON logs.severity = subs.severity""")
+def q_stream_text_feed(spark, d):
+    """T1 from raw text: log files are streamed, parsed and fanned out."""
+    root = _stream_root(spark, "text-feed")
+    A.render(_logs(spark, d), "syslog5424").select("value").write.text(f"{root}/in")
+    subs = feed.subscriptions_table(spark, SUBSCRIPTIONS)
+    feed.text_feed_stream(spark, f"{root}/in", subs, f"{root}/out", f"{root}/ckpt", year=A.YEAR,
+                          ingested_at=A.INGESTED_AT, max_files=4).awaitTermination()
+    out = spark.read.schema("subscriber string, timestamp timestamp, source string, hostname string, severity string, "
+                            "log_type string, preview string").parquet(f"{root}/out")
+    return out.select("subscriber", ntz("timestamp").alias("timestamp"), "source", "hostname", "severity", "log_type",
+                      "preview")
+
+
+@register("stream_spikes", W(LOGS_CTE) + """
+, b AS (SELECT source AS key, time_bucket(INTERVAL 10 MINUTE, "timestamp") AS bucket, count(*) AS count FROM logs
+        GROUP BY ALL),
+z AS (SELECT *, count(*) OVER up AS n_buckets, CAST(sum(count) OVER up AS BIGINT) AS total, avg(count) OVER up AS mean,
+             stddev_pop(count) OVER up AS std
+      FROM b WINDOW up AS (PARTITION BY key ORDER BY bucket ROWS UNBOUNDED PRECEDING))
+SELECT key, bucket, count, n_buckets, total, round(CASE WHEN std > 0 THEN (count - mean) / std END, 6) AS zscore,
+       n_buckets >= 3 AND coalesce((count - mean) / nullif(std, 0), 0) > 2.0 AS spike FROM z
+WHERE bucket + INTERVAL 10 MINUTE <= (SELECT max("timestamp") FROM logs) - INTERVAL 10 MINUTE""")
+def q_stream_spikes(spark, d):
+    """T5/D2 in the stream: every bucket is scored as the watermark closes it."""
+    from sieveline.streaming import spikes
+    root = _stream_root(spark, "spikes")
+    scored = spikes.spike_stream(_event_stream(spark, d))
+    spikes.run_spikes(scored, f"{root}/out", f"{root}/ckpt").awaitTermination()
+    out = spark.read.schema(scored.schema).parquet(f"{root}/out")
+    return out.select("key", ntz("bucket").alias("bucket"), "count", "n_buckets", "total", r6("zscore").alias("zscore"),
+                      F.coalesce(spikes.is_spike(), F.lit(False)).alias("spike"))
+
+
 # --- embedding (V1) and whole-input incident ------------------------------------------------------
 
 @register("embed_logs", None)
@@ -960,6 +1045,51 @@ def q_knn_label_centroids(spark, d):
     return out.select("query_id", "id", F.col("rank").cast("long"), r6("distance").alias("distance"))
 
 
+@register("knn_batch", f"""
+WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
+dd AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(e.vec_id AS VARCHAR) AS id,
+              {_cosine_sql("q.embedding", "e.embedding")} AS distance FROM q, embeddings e),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM dd)
+SELECT query_id, id, CAST(rank AS BIGINT) AS rank, round(distance, 6) AS distance FROM rk WHERE rank <= 10""")
+def q_knn_batch(spark, d):
+    """V2 for a whole set of questions, exact: the 10 nearest vectors of every hundredth one."""
+    e = _emb(spark, d)
+    out = vectors.knn_many(e, e.where(F.col("id").cast("long") % 100 == 0).withColumnRenamed("id", "query_id"), k=10)
+    return out.select("query_id", "id", F.col("rank").cast("long"), r6("distance").alias("distance"))
+
+
+@register("knn_index", None)
+def q_knn_index(spark, d):
+    """V2 through the index of cells, the questions of ``knn_batch`` (approximate: tests measure its recall)."""
+    from sieveline.operators import vector_index
+    e = _emb(spark, d)
+    index = vector_index.build_index(e)
+    out = vector_index.search(index, e.where(F.col("id").cast("long") % 100 == 0).withColumnRenamed("id", "query_id"), 10)
+    return out.select("query_id", "id", F.col("rank").cast("long"), r6("distance").alias("distance"))
+
+
+@register("stored_vectors", """
+WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS id, vec_id, label, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings)
+SELECT 1::BIGINT AS version, id, dim, 'original' AS document FROM v UNION ALL
+SELECT 3, id, dim, CASE WHEN label = 0 THEN 'relabelled' ELSE 'original' END FROM v WHERE vec_id % 10 <> 3""")
+def q_stored_vectors(spark, d):
+    """K2/K3 on a stored table of vectors: three commits, the first and the last version read."""
+    from sieveline.sources import snapshots
+    from sieveline.sources.scratch import scratch_path
+    table = snapshots.vector_table(spark, scratch_path(spark, "vectors"))
+    e = _emb(spark, d)
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("id").cast("long") * 3600)
+    rows = e.select("id", "embedding", "label", F.lit("original").alias("document"), F.lit("info").alias("severity"),
+                    F.lit("").alias("source"), F.lit("").alias("hostname"), at.alias("timestamp"),
+                    F.lit("json").alias("log_type"))
+    snapshots.store_vectors(table, rows)
+    new = rows.where("label = 0").withColumn("document", F.lit("relabelled"))
+    snapshots.store_vectors(table, new.withColumn("timestamp", F.expr("timestamp + INTERVAL 1 DAY")))
+    table.delete(e.where("cast(id as long) % 10 = 3").select("id"))
+    both = [table.read(n).withColumn("version", F.lit(n).cast("long")) for n in (1, 3)]
+    return both[0].union(both[1]).select("version", "id", F.size("embedding").cast("long").alias("dim"), "document")
+
+
 @register("hunt_semantic", None)
 def q_hunt_semantic(spark, d):
     """D7 + U2 with the offline hashing embedder for questions and logs

@@ -15,6 +15,7 @@ from sieveline.operators.joins import join_small
 from sieveline.sources import cef, csvlog, jsonlog, syslog
 from sieveline.sources.common import POSITION_COLUMNS, default_ingested_at, finish, nonblank_lines
 from sieveline.sources.files import read_directory, read_documents, read_lines
+from sieveline.sources.scratch import written
 from sieveline.sources.sniff import classify, document_check, file_profile, needs_document
 
 
@@ -35,15 +36,16 @@ def parse_auto(lines: DataFrame, formats: DataFrame, docs: DataFrame | None = No
     """
     f = formats.select("source_file", "log_type", "json_mode", "header", "n_nonblank", "first_pos",
                        *(["csv_multiline"] if "csv_multiline" in formats.columns else []))
-    # One row per file, broadcast after a size check (else a shuffle join).
-    tagged = join_small(lines, f, "source_file")
+    # One row per file, written once, broadcast after a size check (else a shuffle join).
+    f = written(f, "formats")
+    tagged = join_small(lines, f, "source_file", keep=False)
     if "csv_multiline" in f.columns and f.where("csv_multiline").limit(1).count():
         # CSV files with quoted newlines: rebuild their records first (only
         # these files take the extra window/group steps).
         multi = F.coalesce(F.col("csv_multiline"), F.lit(False))
         recs = csvlog.assemble_records(tagged.where(multi).select("value", "source_file", "block_start",
                                                                   "line_no_key"))
-        recs = recs.join(F.broadcast(f.where("csv_multiline").drop("csv_multiline")), "source_file")
+        recs = join_small(recs, f.where("csv_multiline").drop("csv_multiline"), "source_file", keep=False)
         tagged = tagged.where(~multi).drop("csv_multiline").unionByName(recs)
     elif "csv_multiline" in f.columns:
         tagged = tagged.drop("csv_multiline")
@@ -216,7 +218,7 @@ def ingest_files(spark: SparkSession, paths: str | list[str], directory: bool =
                ("metadata", "map<string,string>"), ("source_file", "string"), ("log_type", "string"),
                ("ts_quality", "string"), ("ingested_at", "timestamp"), ("event_date", "date")]]).schema)
         return Ingested(empty, _error_report(spark, p, msg), None, None)
-    profile = file_profile(lines)
+    profile = written(file_profile(lines), "file-profile")
     # File names only (metadata, one per multi-line JSON document file).
     pending = [r.source_file for r in profile.where(needs_document(profile)).select("source_file").collect()]
     docs = read_documents(spark, pending) if pending else None

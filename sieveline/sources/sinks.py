@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.schema import LOG_COLUMNS, LOG_SCHEMA
+from sieveline.sources.snapshots import log_table
 
 
 def latest_per_id(df: DataFrame, order_col: str = "ingested_at") -> DataFrame:
@@ -45,73 +46,26 @@ def deleted_count(logs: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFr
 
 
 def write_logs(logs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K1 sink: Parquet partitioned by ``event_date``; overwrite replaces only
-    the partitions present in ``logs`` (dynamic partition overwrite)."""
-    # No shuffle by date (a hot day would land in one task): each task writes
-    # its own files per date, sorted so it keeps one file open at a time.
-    logs.select(*LOG_COLUMNS).sortWithinPartitions("event_date").write.mode(mode) \
-        .option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
-
-
-def _has_rows(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
-
-def _rewrite(spark: SparkSession, path: str, rows: DataFrame, days: DataFrame) -> None:
-    """Replace the given days of a stored table by ``rows`` (which hold no other day); days left empty are removed."""
-    import uuid
-
-    from sieveline.session import checkpoint_root
-    # The rows read the table that is replaced: they are written elsewhere first.
-    staged = f"{checkpoint_root(spark)}/logs-staged-{uuid.uuid4().hex}"
-    rows.select(*LOG_COLUMNS).write.parquet(staged)
-    fresh = spark.read.schema(LOG_SCHEMA).parquet(staged)
-    left = fresh.select(F.col("event_date").alias("d")).distinct()
-    # One value per emptied calendar day, found before the table they are read from changes.
-    emptied = days.join(left, days["event_date"].eqNullSafe(left["d"]), "left_anti").distinct().collect()
-    write_logs(fresh, path)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    for r in emptied:
-        name = "__HIVE_DEFAULT_PARTITION__" if r.event_date is None else str(r.event_date)
-        day = fs_path(f"{path}/event_date={name}")
-        day.getFileSystem(spark._jsc.hadoopConfiguration()).delete(day, True)
-    old = fs_path(staged)
-    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-
-
-def _days_of(stored: DataFrame, ids: DataFrame) -> DataFrame:
-    return stored.join(ids.select("id"), "id", "left_semi").select("event_date").distinct()
+    """K1 sink: a versioned table of Parquet partitioned by ``event_date`` (see ``snapshots``); overwrite replaces
+    only the partitions present in ``logs``, append adds to them."""
+    log_table(logs.sparkSession, path).write(logs, replace=mode == "overwrite")
 
 
 def upsert_stored(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """K1 on a stored table: insert or replace by id. Only the days that the
-    new rows or their replaced versions lie on are rewritten; the same batch
-    twice changes nothing."""
-    fresh = latest_per_id(new.select(*LOG_COLUMNS))
-    if not _has_rows(spark, path):
-        write_logs(fresh, path)
-        return
-    stored = read_logs(spark, path)
-    days = _days_of(stored, fresh).union(fresh.select("event_date")).distinct()
-    touched = stored.join(days, stored["event_date"].eqNullSafe(days["event_date"]), "left_semi")
-    _rewrite(spark, path, upsert_logs(touched, fresh), days)
+    """K1 on a stored table: insert or replace by id. Only the days on which replaced rows lie are rewritten; the
+    same batch twice changes nothing."""
+    log_table(spark, path).upsert(new)
 
 
 def delete_stored(spark: SparkSession, ids: DataFrame | None, path: str, id_col: str = "id") -> int:
     """K3 on a stored table: delete by id (None: all rows); returns how many rows went (0: none found)."""
-    if not _has_rows(spark, path):
-        return 0
-    stored = read_logs(spark, path)
-    ids = stored.select("id") if ids is None else ids.select(F.col(id_col).cast("string").alias("id"))
-    gone = stored.join(ids, "id", "left_semi").count()
-    if gone:
-        days = _days_of(stored, ids)
-        touched = stored.join(days, stored["event_date"].eqNullSafe(days["event_date"]), "left_semi")
-        _rewrite(spark, path, delete_logs(touched, ids), days)
-    return gone
-
-
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """K5: stored logs with the fixed schema (metadata stays a map)."""
-    return spark.read.schema(LOG_SCHEMA).parquet(path)
+    table = log_table(spark, path)
+    return table.delete(ids, id_col) if table.exists() else 0
+
+
+def read_logs(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """K5: stored logs with the fixed schema (metadata stays a map); a plain Parquet folder of them works too."""
+    table = log_table(spark, path)
+    if version is None and not table.version().parts and not table.numbers():
+        return spark.read.schema(LOG_SCHEMA).parquet(path)
+    return table.read(version)

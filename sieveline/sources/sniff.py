@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sieveline.functions.text import is_blank, strip
 from sieveline.sources.csvlog import opens_quote
 from sieveline.sources.jsonlog import WINDOWS_KEYS
+from sieveline.sources.scratch import written
 
 # --- fixed values (detection shapes of the original tool) ----------------------
 CSV_HEADER_FIELD = r"(?U)^[\w_\- ]+$"
@@ -107,6 +108,6 @@ def classify(profile: DataFrame, doc_checks: DataFrame | None = None) -> DataFra
 def sniff_formats(lines: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """S4 for a lines DataFrame; ``docs`` holds whole texts of the files for
     which ``needs_document`` is true (other rows are ignored)."""
-    profile = file_profile(lines)
+    profile = written(file_profile(lines), "file-profile")
     checks = document_check(docs) if docs is not None else None
     return classify(profile, checks)

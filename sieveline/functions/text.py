@@ -115,14 +115,30 @@ def question_severity(text: Column) -> Column:
     return expr
 
 
-def format_explanation(fmt: str, *cols: Column) -> Column:
-    """printf-style text (``%.3f``, ``%.1f%%`` ...)."""
-    return F.format_string(fmt, *cols)
+def fixed_text(x: Column, digits: int) -> Column:
+    """Python's ``{:.<digits>f}`` (1 to 3 digits): the double's exact value, rounded half to even.
+
+    ``format_string`` rounds the shortest decimal form half up, which differs (1.65 is below its decimal form). The
+    fraction is taken in units of 2^-52; what is left below a unit only decides between halves.
+    """
+    unit = 1 << 52
+    size = F.abs(x)
+    whole = F.floor(size).cast("long")
+    m = (size - whole) * F.lit(float(unit))
+    below = (m - F.floor(m)) * F.lit(float(10 ** digits))
+    scaled = F.floor(m).cast("long") * F.lit(10 ** digits) + F.floor(below).cast("long")
+    q = F.shiftright(scaled, 52)
+    rest = scaled - F.shiftleft(q, 52)
+    up = (rest > unit // 2) | ((rest == unit // 2) & ((below != F.floor(below)) | (q % 2 == 1)))
+    q = q + up.cast("long")
+    whole = whole + (q >= 10 ** digits).cast("long")
+    text = F.concat(whole.cast("string"), F.lit("."), F.lpad((q % 10 ** digits).cast("string"), digits, "0"))
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), text)
 
 
 def percent1(x: Column) -> Column:
     """Python ``{:.1%}``."""
-    return F.format_string("%.1f%%", x * F.lit(100.0))
+    return F.concat(fixed_text(x * F.lit(100.0), 1), F.lit("%"))
 
 
 def strip_code_fence(text: Column) -> Column:

@@ -11,10 +11,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.functions.text import minute_bucket, percent1
+from sieveline.functions.text import fixed_text, minute_bucket, percent1
 from sieveline.functions.vectors import euclidean
 from sieveline.operators.search import recent
 
+# --- fixed values (explanation texts of the original tool) -----------------------
+SPIKE_TEXT = ("Unusual frequency spike from source '", "': ", " events in bucket (mean=", ", z-score=", ")")
+ESCALATION_TEXT = ("Severity escalation detected: high/critical rate jumped from ", " to ", " in recent window")
+DISTANCE_TEXT = ("Log embedding is unusually distant from cluster centroid (distance=", ")")
+# ----------------------------------------------------------------------------------
+
+
+def _sentence(text: tuple[str, ...], *values: Column) -> Column:
+    """The values between the parts of a text (the last part ends it)."""
+    heads = [F.lit(t) for t in text]
+    first = heads[:len(values)]
+    return F.concat(*[c for pair in zip(first, values, strict=True) for c in pair], *heads[len(values):])
+
+
 ANOMALY_COLUMNS = ["log_id", "score", "is_anomaly", "explanation", "method", "method_order"]
 # Result precedence on equal score: the first detector run wins.
 METHOD_ORDER = {"vector_distance": 0, "frequency_zscore": 1, "severity_escalation": 2}
@@ -48,30 +62,50 @@ def with_newest_id(logs: DataFrame, buckets: DataFrame, by: str = "source", minu
     return buckets.join(found, F.col("key").eqNullSafe(F.col("_k")) & F.col("bucket").eqNullSafe(F.col("_b"))).drop("_k", "_b")
 
 
-def bucket_zscores(logs: DataFrame, by: str = "source", minutes: int = 10) -> DataFrame:
+def bucket_zscores(logs: DataFrame, by: str = "source", minutes: int = 10, fill_empty: bool = False) -> DataFrame:
     """A9 + W1: each bucket's z-score against its key's non-empty buckets
     (population std). The window runs on the small aggregate: one row per
-    non-empty bucket of a key."""
+    non-empty bucket of a key.
+
+    With ``fill_empty`` (Q18) the buckets without logs between a key's first
+    and last one count as zeros. No calendar is made: zeros change neither the
+    sum nor the sum of squares, only the number of buckets, which follows
+    from the span."""
     w = Window.partitionBy("key")
     bc = bucket_counts(logs, by, minutes)
-    bc = bc.select("*", F.count(F.lit(1)).over(w).alias("n_buckets"), F.avg("count").over(w).alias("mean"),
-                   F.stddev_pop("count").over(w).alias("std"))
-    return bc.withColumn("zscore", F.when(F.col("std") != 0, (F.col("count") - F.col("mean")) / F.col("std")))
-
-
-def frequency_anomalies(logs: DataFrame, by: str = "source", minutes: int = 10, z_threshold: float = 2.0,
-                        min_logs: int = 5, min_buckets: int = 3) -> DataFrame:
-    """One row per bucket whose z-score exceeds the threshold (keys with
-    at least ``min_buckets`` buckets and non-zero std), reported on the
-    newest log of the bucket, score min(z/5, 1). Nothing when fewer than
+    if not fill_empty:
+        bc = bc.select("*", F.count(F.lit(1)).over(w).alias("n_buckets"), F.avg("count").over(w).alias("mean"),
+                       F.stddev_pop("count").over(w).alias("std"))
+        return bc.withColumn("zscore", F.when(F.col("std") != 0, (F.col("count") - F.col("mean")) / F.col("std")))
+    at = F.unix_micros("bucket")
+    n = ((F.max(at).over(w) - F.min(at).over(w)) / F.lit(minutes * 60_000_000)).cast("long") + 1
+    total = F.sum("count").over(w)
+    squares = F.sum(F.col("count").cast("double") * F.col("count")).over(w)
+    bc = bc.select("*", n.alias("n_buckets"), total.alias("_t"), squares.alias("_s"))
+    mean = F.col("_t") / F.col("n_buckets")
+    # n * squares - total^2 is a whole number: exactly 0 where all buckets are equal.
+    spread = F.col("n_buckets") * F.col("_s") - F.col("_t").cast("double") * F.col("_t")
+    bc = bc.withColumn("mean", mean).withColumn("std", F.sqrt(F.greatest(spread, F.lit(0.0))) / F.col("n_buckets"))
+    return bc.withColumn("zscore", F.when(spread > 0, (F.col("count") - F.col("mean")) / F.col("std"))).drop("_t", "_s")
+
+
+def spike_buckets(logs: DataFrame, by: str = "source", minutes: int = 10, z_threshold: float = 2.0,
+                  min_logs: int = 5, min_buckets: int = 3, fill_empty: bool = False) -> DataFrame:
+    """D2's buckets: z-score above the threshold, keys with at least
+    ``min_buckets`` buckets and non-zero std. Nothing when fewer than
     ``min_logs`` logs are given (a scalar subquery, not a join)."""
     enough = logs.agg(F.count(F.lit(1))).scalar() >= F.lit(min_logs)
-    z = bucket_zscores(logs, by, minutes)
-    hits = z.where(enough & (F.col("n_buckets") >= min_buckets) & F.col("zscore").isNotNull()
+    z = bucket_zscores(logs, by, minutes, fill_empty)
+    return z.where(enough & (F.col("n_buckets") >= min_buckets) & F.col("zscore").isNotNull()
                    & (F.col("zscore") > z_threshold))
-    hits = with_newest_id(logs, hits, by, minutes)
-    expl = F.format_string("Unusual frequency spike from source '%s': %d events in bucket (mean=%.1f, z-score=%.2f)",
-                           F.col("key"), F.col("count"), F.col("mean"), F.col("zscore"))
+
+
+def frequency_anomalies(logs: DataFrame, by: str = "source", minutes: int = 10, z_threshold: float = 2.0,
+                        min_logs: int = 5, min_buckets: int = 3, fill_empty: bool = False) -> DataFrame:
+    """One row per ``spike_buckets`` bucket, reported on its newest log, score min(z/5, 1)."""
+    hits = with_newest_id(logs, spike_buckets(logs, by, minutes, z_threshold, min_logs, min_buckets, fill_empty), by, minutes)
+    expl = _sentence(SPIKE_TEXT, F.coalesce(F.col("key"), F.lit("")), F.col("count").cast("string"),
+                     fixed_text(F.col("mean"), 1), fixed_text(F.col("zscore"), 2))
     return _result(hits, F.col("log_id"), F.least(F.col("zscore") / 5.0, F.lit(1.0)), expl, "frequency_zscore")
 
 
@@ -80,9 +114,8 @@ def frequency_anomalies(logs: DataFrame, by: str = "source", minutes: int = 10,
 ID_PREFIX_CHARS = 4
 
 
-def split_halves(logs: DataFrame, by: list[str] | None = None, bucket_minutes: int = 1) -> DataFrame:
-    """Order logs by (timestamp, id) per group and mark the first
-    n//2 as early, the rest (the odd row too) as late.
+def with_rank(logs: DataFrame, by: list[str] | None = None, bucket_minutes: int = 1) -> DataFrame:
+    """Add ``rank0``, each log's place (from 0) in its group by (timestamp, id), and ``n``, the group's size.
 
     The exact rank is assembled without sorting a group in one task:
 
@@ -94,7 +127,7 @@ def split_halves(logs: DataFrame, by: list[str] | None = None, bucket_minutes: i
     * ``row_number`` inside the cell.
 
     The windows run on narrow count tables; the only join of the log rows is
-    with the per-cell offset table. Adds ``late`` and ``n``.
+    with the per-cell offset table.
     """
     by = list(by or [])
     cell = [*by, "_mb", "timestamp", "_idp"]
@@ -114,11 +147,17 @@ def split_halves(logs: DataFrame, by: list[str] | None = None, bucket_minutes: i
         .join(minute_off, [*by, "_mb"])
     w_cell = Window.partitionBy(*cell).orderBy("id")
     ranked = g.join(cell_off, cell).withColumn("_rn", F.row_number().over(w_cell))
-    rank0 = F.col("_off_m") + F.col("_off_c") + F.col("_rn") - 1
-    return ranked.withColumn("late", rank0 >= F.floor(F.col("n") / 2)) \
+    return ranked.withColumn("rank0", F.col("_off_m") + F.col("_off_c") + F.col("_rn") - 1) \
                  .drop("_mb", "_idp", "_rn", "_off_m", "_off_c")
 
 
+def split_halves(logs: DataFrame, by: list[str] | None = None, bucket_minutes: int = 1) -> DataFrame:
+    """Order logs by (timestamp, id) per group and mark the first
+    n//2 as early, the rest (the odd row too) as late. Adds ``late`` and ``n``."""
+    ranked = with_rank(logs, by, bucket_minutes)
+    return ranked.withColumn("late", F.col("rank0") >= F.floor(F.col("n") / 2)).drop("rank0")
+
+
 def escalation_stats(halves: DataFrame, by: list[str] | None = None) -> DataFrame:
     """A10: per group early/late sizes, high counts and rates."""
     by = list(by or [])
@@ -155,9 +194,7 @@ def severity_escalation(logs: DataFrame, by: list[str] | None = None, min_logs:
         hits = late_high.where(s.isNotNull()).select("*", s["early_rate"].alias("early_rate"),
                                                      s["late_rate"].alias("late_rate"))
     score = F.least((F.col("late_rate") - F.col("early_rate")) * 2, F.lit(1.0))
-    expl = F.concat(F.lit("Severity escalation detected: high/critical rate jumped from "),
-                    percent1(F.col("early_rate")), F.lit(" to "), percent1(F.col("late_rate")),
-                    F.lit(" in recent window"))
+    expl = _sentence(ESCALATION_TEXT, percent1(F.col("early_rate")), percent1(F.col("late_rate")))
     return _result(hits, F.col("id"), score, expl, "severity_escalation")
 
 
@@ -181,16 +218,16 @@ def centroid_distances(embeddings: DataFrame, col: str = "embedding") -> DataFra
 
 
 def vector_outliers(embeddings: DataFrame, threshold: float = 1.5, col: str = "embedding") -> DataFrame:
-    """Vectors farther than ``threshold`` from the centroid (all vectors)."""
-    return centroid_distances(embeddings, col).where(F.col("distance") > threshold)
+    """Vectors farther than ``threshold`` from the centroid (all vectors), farthest first."""
+    far = centroid_distances(embeddings, col).where(F.col("distance") > threshold)
+    return far.orderBy(F.col("distance").desc(), F.col("id").asc())
 
 
 def vector_anomalies(logs: DataFrame, embeddings: DataFrame, threshold: float = 1.5) -> DataFrame:
     """Outlying vectors whose log is among ``logs`` (J2 semi join),
     score min(distance/3, 1)."""
     out = vector_outliers(embeddings, threshold).join(logs.select("id"), "id", "left_semi")
-    expl = F.format_string("Log embedding is unusually distant from cluster centroid (distance=%.3f)",
-                           F.col("distance"))
+    expl = _sentence(DISTANCE_TEXT, fixed_text(F.col("distance"), 3))
     return _result(out, F.col("id"), F.least(F.col("distance") / 3.0, F.lit(1.0)), expl, "vector_distance")
 
 

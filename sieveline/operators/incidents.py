@@ -14,6 +14,12 @@ from sieveline.functions.text import TIMELINE_PREVIEW, iso_timestamp, render_lin
 RECOMMENDATION = "Review the flagged log entries and investigate affected hosts."
 REPORT_HEADER = "# Security Report (auto-generated)"
 REPORT_NOTE = "*Note: LLM summarization unavailable — this is a basic auto-generated report.*"
+EMPTY_TITLE, EMPTY_RECOMMENDATION = "No logs provided", "N/A"
+EMPTY_REPORT = "No log data available for the specified time range."
+# Defaults of fields that a model's reply leaves out.
+REPLY_DEFAULTS = {"title": "Incident detected", "severity": "medium", "recommendation": "Investigate further."}
+# Log lines shown to a model.
+INCIDENT_LINES, REPORT_LINES = 50, 100
 # ---------------------------------------------------------------------------------
 
 MAX_HOSTS = 20
@@ -53,6 +59,15 @@ def incident_timeline(logs: DataFrame, by: list[str] | None = None, n: int | Non
                                F.substring("message", 1, TIMELINE_PREVIEW)).alias("event"))
 
 
+def _when_empty(logs: DataFrame, out: DataFrame, by: list[str] | None, **values) -> DataFrame:
+    """``out``, or one row of ``values`` (other columns: null) where the whole input is one incident and has no logs."""
+    if by:
+        return out
+    none = logs.agg(F.count(F.lit(1))).scalar() == 0
+    row = [F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in out.schema.fields]
+    return out.unionByName(logs.sparkSession.range(1).where(none).select(*row))
+
+
 def incident_summary(logs: DataFrame, by: list[str] | None = None, max_hosts: int | None = MAX_HOSTS,
                      max_events: int | None = TIMELINE_EVENTS) -> DataFrame:
     """Per incident title, max severity, affected hosts (first 20),
@@ -66,7 +81,7 @@ def incident_summary(logs: DataFrame, by: list[str] | None = None, max_hosts: in
                                  lambda s: F.concat(s["time"], F.lit(" "), s["event"])), "\n").alias("timeline"))
     out = base.join(hosts, keys, "left").join(tl, keys, "left")
     hc = F.coalesce(F.col("host_count"), F.lit(0))
-    return out.select(
+    out = out.select(
         *keys,
         F.format_string("Security incident involving %d host(s) — %d events", hc, F.col("log_count")).alias("title"),
         rank_to_severity(F.col("_rank")).alias("severity"),
@@ -76,6 +91,8 @@ def incident_summary(logs: DataFrame, by: list[str] | None = None, max_hosts: in
         F.col("timeline"),
         F.lit(RECOMMENDATION).alias("recommendation"),
     )
+    return _when_empty(logs, out, by, incident="all", title=EMPTY_TITLE, severity="info", affected_hosts="", host_count=0,
+                       log_count=0, timeline="", recommendation=EMPTY_RECOMMENDATION)
 
 
 def severity_breakdown(logs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -98,8 +115,126 @@ def security_report(logs: DataFrame, by: list[str] | None = None) -> DataFrame:
                     F.lit("\n\n**Severity breakdown:**\n"), F.col("stats"),
                     F.lit("\n\n**Affected hosts:** "), F.coalesce(F.col("affected_hosts"), F.lit("")),
                     F.lit("\n\n" + REPORT_NOTE))
-    return out.select(*keys, F.col("total").alias("log_count"), F.col("stats").alias("severity_breakdown"),
-                      F.coalesce(F.col("affected_hosts"), F.lit("")).alias("affected_hosts"), text.alias("report"))
+    out = out.select(*keys, F.col("total").alias("log_count"), F.col("stats").alias("severity_breakdown"),
+                     F.coalesce(F.col("affected_hosts"), F.lit("")).alias("affected_hosts"), text.alias("report"))
+    return _when_empty(logs, out, by, incident="all", log_count=0, severity_breakdown="", affected_hosts="",
+                       report=EMPTY_REPORT)
+
+
+def _first_lines(logs: DataFrame, by: list[str] | None, n: int) -> DataFrame:
+    """(keys, lines): the newest ``n`` logs of an incident as lines, newest first."""
+    df, keys = _keyed(logs, by)
+    w = Window.partitionBy(*keys).orderBy(F.col("timestamp").desc(), "id")
+    line = render_line(F.col("timestamp"), F.col("severity"), F.col("hostname"), F.col("source"), F.col("message"))
+    top = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select(*keys, "_r", line.alias("line"))
+    return top.groupBy(*keys).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("_r", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+
+
+def incident_prompts(logs: DataFrame, by: list[str] | None = None, n: int = INCIDENT_LINES) -> DataFrame:
+    """The text an incident is described to a model with: the number of logs and the newest ``n`` lines."""
+    df, keys = _keyed(logs, by)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("log_count"))
+    out = sizes.join(_first_lines(logs, by, n), keys)
+    return out.select(*keys, "log_count", F.concat(
+        F.lit("Analyze these "), F.col("log_count").cast("string"), F.lit(" security log entries:\n\n"), F.col("lines"),
+        F.lit("\n\nProvide a JSON incident summary.")).alias("prompt"))
+
+
+def report_prompts(logs: DataFrame, by: list[str] | None = None, time_range: str | None = None,
+                   n: int = REPORT_LINES) -> DataFrame:
+    """The text a report is asked for with: ``time_range``, statistics, hosts and the newest ``n`` lines."""
+    _, keys = _keyed(logs, by)
+    out = security_report(logs, by).where("log_count > 0").join(_first_lines(logs, by, n), keys)
+    head = "Security log report" + (f" for {time_range}" if time_range else "") + ".\n\nStatistics:\n  Total logs: "
+    return out.select(*keys, "log_count", F.concat(
+        F.lit(head), F.col("log_count").cast("string"), F.lit("\n"), F.col("severity_breakdown"),
+        F.lit("\n  Affected hosts: "), F.col("affected_hosts"), F.lit("\n\nSample logs:\n"), F.col("lines"),
+        F.lit("\n\nGenerate a professional security report.")).alias("prompt"))
+
+
+def summaries_from_replies(logs: DataFrame, replies: DataFrame, by: list[str] | None = None,
+                           reply_col: str = "reply") -> DataFrame:
+    """Incident summaries as a model's replies give them (JSON, maybe fenced; what a reply leaves out has a
+    default). Incidents without a reply, or with one that is no JSON object or has no valid severity, keep their
+    deterministic summary; ``from_reply`` says which."""
+    from sieveline.functions.text import strip_code_fence
+    from sieveline.schema import SEVERITIES
+
+    base = incident_summary(logs, by)
+    _, keys = _keyed(logs, by)
+    text = strip_code_fence(F.col(reply_col))
+    parsed = F.when(text.startswith("{") & text.endswith("}"), F.from_json(
+        text, "title string, severity string, affected_hosts array<string>, "
+              "timeline array<struct<time:string,event:string>>, recommendation string"))
+    mine = replies.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], parsed.alias("p"),
+                          F.from_json(text, "map<string,string>").isNotNull().alias("is_object"))
+    severity = F.lower(F.coalesce("p.severity", F.lit(REPLY_DEFAULTS["severity"])))
+    good = F.coalesce(F.col("is_object") & F.col("p").isNotNull() & severity.isin(*SEVERITIES), F.lit(False))
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & base[k].eqNullSafe(F.col(f"_k{i}"))
+    steps = F.array_join(F.transform("p.timeline", lambda t: F.concat_ws(" ", t["time"], t["event"])), "\n")
+
+    def pick(name, value):
+        return F.when(good, value).otherwise(F.col(name)).alias(name)
+    return base.join(mine, match, "left").select(
+        *keys, pick("title", F.coalesce("p.title", F.lit(REPLY_DEFAULTS["title"]))), pick("severity", severity),
+        pick("affected_hosts", F.coalesce(F.array_join("p.affected_hosts", ", "), F.lit(""))),
+        "host_count", "log_count", pick("timeline", F.coalesce(steps, F.lit(""))),
+        pick("recommendation", F.coalesce("p.recommendation", F.lit(REPLY_DEFAULTS["recommendation"]))),
+        good.alias("from_reply"))
+
+
+#: Log lines of one call of a summarizer, and partial summaries of one call of a merger.
+CHUNK_ROWS, FAN_IN = 200, 20
+
+
+def summarize_incidents(logs: DataFrame, summarizer, merger, by: list[str] | None = None, chunk_rows: int = CHUNK_ROWS,
+                        fan_in: int = FAN_IN) -> DataFrame:
+    """D5/D6 by a user's functions, for incidents of any size: (keys, summary).
+
+    An incident's logs in order of (timestamp, id) are cut into chunks of
+    ``chunk_rows``; ``summarizer(lines) -> str`` gives a partial summary of
+    each, and ``merger(summaries) -> str`` joins ``fan_in`` neighbouring ones
+    at a time until one is left. So no call and no task sees more than
+    ``chunk_rows`` lines or ``fan_in`` summaries of an incident, however large
+    it is. The logs' places come from counts (``anomalies.with_rank``), not
+    from a sort of the incident. A summary of one chunk is not merged. Both
+    functions run in the tasks and should give the same text for the same
+    input, since a lost executor's calls are made again.
+    """
+    import pandas as pd
+
+    from sieveline.operators.anomalies import with_rank
+    from sieveline.sources.scratch import written
+
+    df, keys = _keyed(logs, by)
+    line = render_line(F.col("timestamp"), F.col("severity"), F.col("hostname"), F.col("source"), F.col("message"))
+    # Null keys are incidents of their own: the ranks are joined on a text of the keys that keeps them apart.
+    whole = F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]))
+    ranked = with_rank(df.select(whole.alias("_key"), "id", "timestamp", line.alias("line")), ["_key"])
+    ranked = written(ranked.select("_key", F.floor(F.col("rank0") / chunk_rows).cast("long").alias("part"), "rank0", "line"),
+                     "incident-lines")
+    shape = "_key string, part long, summary string"
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        lines = pdf.sort_values("rank0")["line"].tolist()
+        return pd.DataFrame({"_key": pdf["_key"].iloc[:1], "part": pdf["part"].iloc[:1], "summary": [summarizer(lines)]})
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = pdf.sort_values("part")["summary"].tolist()
+        return pd.DataFrame({"_key": pdf["_key"].iloc[:1], "part": pdf["part"].iloc[:1] // fan_in,
+                             "summary": [merger(found) if len(found) > 1 else found[0]]})
+
+    parts = (ranked.agg(F.max("part")).first()[0] or 0) + 1
+    level = ranked.groupBy("_key", "part").applyInPandas(first, shape)
+    while parts > 1:
+        level = written(level, "incident-summaries")
+        level = level.groupBy("_key", F.floor(F.col("part") / fan_in)).applyInPandas(merged, shape)
+        parts = -(-parts // fan_in)
+    names = df.select(*keys, whole.alias("_key")).dropDuplicates(["_key"])
+    return names.join(level, "_key").select(*keys, "summary")
 
 
 def render_lines(logs: DataFrame) -> DataFrame:

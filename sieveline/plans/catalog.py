@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.severity import guess_severity, threat_score
@@ -131,7 +131,20 @@ FROM logs""")
 def q_dashboard_stats(spark, d):
     """The anomaly count is that of frequency spikes."""
     logs = _logs(spark, d)
-    return stats.dashboard_stats(logs, anomalies.frequency_anomalies(logs))
+    return stats.dashboard_stats(logs, anomalies.spike_buckets(logs))
+
+
+@register("dashboard_timeline", W(LOGS_CTE) + """
+, t AS (SELECT date_trunc('hour', "timestamp") AS hour, severity, count(*) AS count FROM logs GROUP BY ALL
+        ORDER BY hour DESC, severity LIMIT 500)
+SELECT (SELECT count(*) FROM logs) AS total_logs, row_number() OVER (ORDER BY hour DESC, severity) - 1 AS place, hour,
+       severity, count FROM t""")
+def q_dashboard_timeline(spark, d):
+    """A7's timeline rows, as the statistics hold them."""
+    board = stats.dashboard(_logs(spark, d))
+    out = board.select("total_logs", F.posexplode("timeline").alias("place", "r")).select(
+        "total_logs", F.col("place").cast("long"), "r.*")
+    return out.withColumn("hour", ntz("hour"))
 
 
 @register("timeline_hourly", W(LOGS_CTE) + """
@@ -212,7 +225,7 @@ SELECT count(*) AS total_logs, count(*) FILTER (WHERE severity = 'critical') AS
        (SELECT count(DISTINCT log_id) FROM zz WHERE {_FREQ_WHERE}) AS anomalies_detected FROM logs""")
 def q_stat_cards(spark, d):
     logs = _logs(spark, d)
-    return stats.stat_cards(logs, anomalies.frequency_anomalies(logs))
+    return stats.stat_cards(logs, anomalies.spike_buckets(logs))
 
 
 # --- joins, storage (J1, J6, K1-K4) -------------------------------------------------------------
@@ -295,6 +308,33 @@ def q_threat_score(spark, d):
     return logs.select("id", "severity", r6(threat_score(F.col("severity"), F.col("message"))).alias("score"))
 
 
+@register("threat_score_rules", W(LOGS_CTE) + f"SELECT id, severity, {_threat_sql()} AS score FROM logs")
+def q_threat_score_rules(spark, d):
+    """F8 with the fixed rules as a table."""
+    from sieveline.operators import rules
+    out = rules.score_by_rules(_logs(spark, d), rules.default_rules(spark))
+    return out.select("id", "severity", r6("score").alias("score"))
+
+
+@register("threat_score_many_rules", W(LOGS_CTE) + """
+, rules AS (SELECT DISTINCT 'user u' || CAST(user_id AS VARCHAR) AS keyword, (user_id % 7) / 100.0 AS boost FROM events
+            UNION ALL SELECT DISTINCT 'page ' || CAST(k AS VARCHAR), 0.05 FROM logs)
+SELECT l.id, l.severity, round(least(CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.5
+                                                   WHEN 'low' THEN 0.2 ELSE 0.0 END * 0.5
+                                     + coalesce((SELECT sum(boost) FROM rules WHERE contains(lower(l.message), keyword)), 0),
+                                     1.0), 6)::DOUBLE AS score
+FROM logs l""")
+def q_threat_score_many_rules(spark, d):
+    """F8 with a rule for every user and every page of the data."""
+    from sieveline.operators import rules
+    logs = _logs(spark, d)
+    users = logs.select(F.concat(F.lit("user u"), A.s("user_id")).alias("keyword"),
+                        ((F.col("user_id") % 7) / 100.0).alias("boost")).distinct()
+    pages = logs.select(F.concat(F.lit("page "), F.col("k")).alias("keyword"), F.lit(0.05).alias("boost")).distinct()
+    given = users.unionByName(pages).withColumn("position", F.lit(0))
+    return rules.score_by_rules(logs, given).select("id", "severity", r6("score").alias("score"))
+
+
 @register("embed_text", W(LOGS_CTE) + """
 SELECT id, concat_ws(' ', '[' || upper(severity) || ']', CASE WHEN source <> '' THEN 'source=' || source END,
                      CASE WHEN hostname <> '' THEN 'host=' || hostname END,
@@ -520,6 +560,27 @@ def q_rejects(spark, d):
     return ingest.rejects(lines, formats, logs).select("source_file", "line_no_key", "value")
 
 
+@register("json_array_split", W(LOGS_CTE) + """
+SELECT 'u' || CAST(user_id AS VARCHAR) AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place,
+       "timestamp", hostname AS source, severity, message, k FROM logs""")
+def q_json_array_split(spark, d):
+    """N5 on documents that are one array each, read by many tasks and split at their elements."""
+    from sieveline.sources import jsonlog, jsonsplit
+    from sieveline.sources.scratch import scratch_path
+    logs = _logs(spark, d)
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    text = F.concat(F.when(F.row_number().over(w) == 1, F.lit("[")).otherwise(F.lit(",")), A.jsonl_text(logs),
+                    F.when(F.lead("event_id").over(w).isNull(), F.lit("]")).otherwise(F.lit("")))
+    path = scratch_path(spark, "arrays")
+    (logs.select("user_id", "event_id", text.alias("value")).repartition("user_id").sortWithinPartitions("user_id", "event_id")
+     .select("user_id", "value").write.partitionBy("user_id").text(path))
+    rows = jsonsplit.read_arrays(spark, path)
+    out = jsonlog.normalize_json(rows, ingested_at=A.INGESTED_AT)
+    file = F.concat(F.lit("u"), F.regexp_extract("source_file", "user_id=([0-9]+)", 1))
+    return out.select(file.alias("file"), F.col("line_no_key").alias("place"), ntz("timestamp").alias("timestamp"), "source",
+                      "severity", "message", F.col("metadata")["k"].alias("k"))
+
+
 @register("parsed_ids", None)
 def q_parsed_ids(spark, d):
     """Deterministic ids over the mixed fixture (no SQL twin: md5 of
@@ -541,6 +602,21 @@ def q_bucket_zscores(spark, d):
                     r6("std").alias("std"), r6("zscore").alias("zscore"))
 
 
+@register("bucket_zscores_filled", W(LOGS_CTE) + """
+, b AS (SELECT source AS key, time_bucket(INTERVAL 10 MINUTE, "timestamp") AS bucket, count(*) AS count FROM logs GROUP BY ALL),
+calendar AS (SELECT key, unnest(generate_series(min(bucket), max(bucket), INTERVAL 10 MINUTE)) AS bucket FROM b GROUP BY key),
+f AS (SELECT c.key, c.bucket, coalesce(b.count, 0) AS count FROM calendar c LEFT JOIN b ON b.key = c.key AND b.bucket = c.bucket),
+z AS (SELECT *, count(*) OVER w AS n_buckets, avg(count) OVER w AS mean, stddev_pop(count) OVER w AS std
+      FROM f WINDOW w AS (PARTITION BY key))
+SELECT key, bucket, count, n_buckets, round(mean, 6) AS mean, round(std, 6) AS std,
+       round(CASE WHEN std > 0 THEN (count - mean) / std END, 6) AS zscore FROM z WHERE count > 0""")
+def q_bucket_zscores_filled(spark, d):
+    """Q18: buckets without logs count as zeros."""
+    z = anomalies.bucket_zscores(_logs(spark, d), fill_empty=True)
+    return z.select("key", ntz("bucket").alias("bucket"), "count", "n_buckets", r6("mean").alias("mean"),
+                    r6("std").alias("std"), r6("zscore").alias("zscore"))
+
+
 @register("frequency_anomalies", W(LOGS_CTE, _BUCKETS_CTE) + _FREQ_SQL)
 def q_frequency_anomalies(spark, d):
     fa = anomalies.frequency_anomalies(_logs(spark, d))
@@ -610,6 +686,25 @@ def q_vector_outliers(spark, d):
     return out.select("id", r6("distance").alias("distance"))
 
 
+@register("anomaly_explanations", _escalation_sql("user_id").split("SELECT h.user_id", 1)[0].rstrip()
+          + f""",
+{_BUCKETS_CTE},
+{_CENTROID_CTE}
+SELECT log_id, 'frequency_zscore' AS method, printf('Unusual frequency spike from source ''%s'': %d events in bucket (mean=%.1f, z-score=%.2f)',
+       key, count, mean, zscore) AS explanation FROM zz WHERE {_FREQ_WHERE}
+UNION ALL SELECT id, 'vector_distance', printf('Log embedding is unusually distant from cluster centroid (distance=%.3f)', distance)
+FROM dist WHERE distance > {OUTLIER_THRESHOLD} AND id IN (SELECT id FROM logs)
+UNION ALL SELECT h.id, 'severity_escalation', printf('Severity escalation detected: high/critical rate jumped from %.1f%% to %.1f%% in recent window',
+       early_rate * 100, late_rate * 100)
+FROM h JOIN t USING (user_id) WHERE h.late AND h.severity IN ('critical', 'high')""")
+def q_anomaly_explanations(spark, d):
+    """the whole explanation of every detector's results."""
+    logs = _logs(spark, d)
+    found = [anomalies.frequency_anomalies(logs), anomalies.vector_anomalies(logs, _emb(spark, d), OUTLIER_THRESHOLD),
+             anomalies.severity_escalation(logs, by=["user_id"])]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("log_id", "method", "explanation")
+
+
 @register("detect_anomalies", W(LOGS_CTE.replace("FROM events)", "FROM events WHERE ts BETWEEN "
                                                  "TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00')"),
                                 _BUCKETS_CTE, _CENTROID_CTE) + f"""
@@ -718,6 +813,23 @@ def q_security_report(spark, d):
     return incidents.security_report(_logs(spark, d), by=["hostname"])
 
 
+@register("incident_digest", W(LOGS_CTE) + f"""
+SELECT hostname, printf('%d lines, %d characters, %d denied', count(*), CAST(sum(length(line)) AS BIGINT),
+                        count(*) FILTER (WHERE contains(line, 'denied'))) AS summary
+FROM (SELECT hostname, '[' || {_ISO_SQL} || '] [' || upper(severity) || '] host=' || hostname || ' | ' || message AS line
+      FROM logs) GROUP BY hostname""")
+def q_incident_digest(spark, d):
+    """D5 by a user's functions, in bounded chunks that are merged in rounds."""
+    def digest(lines):
+        return f"{len(lines)} lines, {sum(map(len, lines))} characters, {sum('denied' in x for x in lines)} denied"
+
+    def together(parts):
+        numbers = [[int(w.split()[0]) for w in p.split(", ")] for p in parts]
+        n, chars, denied = map(sum, zip(*numbers, strict=True))
+        return f"{n} lines, {chars} characters, {denied} denied"
+    return incidents.summarize_incidents(_logs(spark, d), digest, together, by=["hostname"], chunk_rows=100, fan_in=5)
+
+
 # --- saved questions (D7, J8, F13-F16, A14) -------------------------------------------------------
 
 # Saved questions run next to the user turns of ``conversations``.
@@ -1006,6 +1118,20 @@ def q_embed_logs(spark, d):
                       "document")
 
 
+@register("embed_logs_idf", None)
+def q_embed_logs_idf(spark, d):
+    """V1 with IDF: weights fitted on the logs before the last day and stored, then used for all (a brute-force test
+    stands for the SQL that hashing has not)."""
+    from sieveline.functions.vectors import norm
+    from sieveline.sources.scratch import scratch_path
+    logs = _logs(spark, d)
+    path = scratch_path(spark, "idf")
+    old = logs.where(F.col("timestamp") < F.lit(A.AS_OF - timedelta(days=1)).cast("timestamp"))
+    vectors.fit_idf(vectors.log_embed_text(old).select(F.col("embed_text").alias("text")), path)
+    emb = vectors.embed_logs(logs, vectors.idf_embedder(path))
+    return emb.select("id", F.size("embedding").cast("long").alias("dim"), r6(norm(F.col("embedding"))).alias("norm"))
+
+
 @register("incident_summary_all", W(LOGS_CTE) + """
 , hh AS (SELECT DISTINCT unnest([hostname, source]) AS host FROM logs),
 hosts AS (SELECT count(*) AS host_count,

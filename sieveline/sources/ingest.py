@@ -24,7 +24,8 @@ PARSERS = [("syslog", syslog), ("cef", cef), ("csv", csvlog), ("json", jsonlog),
 
 def parse_auto(lines: DataFrame, formats: DataFrame, docs: DataFrame | None = None,
                year: int | None = None, column_mapping: dict | None = None,
-               strict_reference_severity: bool = False, ingested_at: datetime | None = None) -> DataFrame:
+               strict_reference_severity: bool = False, ingested_at: datetime | None = None,
+               elements: DataFrame | None = None) -> DataFrame:
     """Parse every file with the parser of its detected format, in one
     projection over one scan of the lines.
 
@@ -32,7 +33,8 @@ def parse_auto(lines: DataFrame, formats: DataFrame, docs: DataFrame | None = No
     are tagged with it by a join on ``source_file`` -- the per-file table is
     small and AQE turns the join into a broadcast at run time. Unknown types
     use the syslog parser. One-line JSON documents are exploded in place;
-    multi-line documents come whole from ``docs`` (source_file, text).
+    multi-line documents come whole from ``docs`` (source_file, text), or as
+    the ``elements`` that ``jsonsplit`` finds in arrays.
     """
     f = formats.select("source_file", "log_type", "json_mode", "header", "n_nonblank", "first_pos",
                        *(["csv_multiline"] if "csv_multiline" in formats.columns else []))
@@ -52,11 +54,12 @@ def parse_auto(lines: DataFrame, formats: DataFrame, docs: DataFrame | None = No
     is_doc = F.col("json_mode") == "document"
     tagged = tagged.where(~is_doc | (F.col("n_nonblank") == 1))
     rows = _explode_documents(tagged, is_doc)
+    whole = f.where(is_doc & (F.col("n_nonblank") > 1)).select("source_file", "log_type", "header")
+    parts = [] if elements is None else [elements]
     if docs is not None:
-        dd = docs.join(f.where(is_doc & (F.col("n_nonblank") > 1)), "source_file")
-        objs = jsonlog.json_documents(dd.select("source_file", "text"))
-        rows = rows.unionByName(objs.join(f.select("source_file", "log_type", "header"), "source_file")
-                                .withColumn("is_header", F.lit(False)))
+        parts.append(jsonlog.json_documents(docs.join(whole, "source_file", "left_semi")))
+    for objs in parts:
+        rows = rows.unionByName(join_small(objs, whole, "source_file", keep=False).withColumn("is_header", F.lit(False)))
     kw = dict(year=year, column_mapping=column_mapping, strict_reference_severity=strict_reference_severity,
               ingested_at=ingested_at or default_ingested_at())
     stages, rec, log_type = _dispatch_columns(rows.sparkSession, **kw)
@@ -186,6 +189,21 @@ def rejects(lines: DataFrame, formats: DataFrame, logs: DataFrame) -> DataFrame:
              .select("source_file", "block_start", "line_no_key", "log_type", "value")
 
 
+def json_parts(spark: SparkSession, profile: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """(docs, elements, checks) of the files in a profile that may be JSON documents of several lines: arrays are read
+    in parts by many tasks (``jsonsplit``), single objects whole. Only file names come to the driver, as for listings."""
+    from sieveline.sources import jsonsplit
+    pending = profile.where(needs_document(profile)).select("source_file", F.col("first").startswith("[").alias("a")).collect()
+    arrays, objects = ([r.source_file for r in pending if r.a == kind] for kind in (True, False))
+    docs = read_documents(spark, objects) if objects else None
+    checks = document_check(docs) if docs is not None else None
+    elements = None
+    if arrays:
+        elements, found = jsonsplit.array_elements(jsonsplit.read_pieces(spark, arrays))
+        checks = found if checks is None else checks.unionByName(found)
+    return docs, elements, checks
+
+
 class Ingested:
     """Result of ``ingest_files``: logs, per-file report and rejects."""
 
@@ -219,14 +237,12 @@ def ingest_files(spark: SparkSession, paths: str | list[str], directory: bool =
                ("ts_quality", "string"), ("ingested_at", "timestamp"), ("event_date", "date")]]).schema)
         return Ingested(empty, _error_report(spark, p, msg), None, None)
     profile = written(file_profile(lines), "file-profile")
-    # File names only (metadata, one per multi-line JSON document file).
-    pending = [r.source_file for r in profile.where(needs_document(profile)).select("source_file").collect()]
-    docs = read_documents(spark, pending) if pending else None
-    checks = document_check(docs) if docs is not None else None
+    docs, elements, checks = json_parts(spark, profile)
     formats = classify(profile, checks)
     if log_type:
         formats = formats.withColumn("log_type", F.lit(log_type))
     logs = assign_ids(parse_auto(lines, formats, docs, year=year, column_mapping=column_mapping,
-                                 strict_reference_severity=strict_reference_severity, ingested_at=ingested_at))
+                                 strict_reference_severity=strict_reference_severity, ingested_at=ingested_at,
+                                 elements=elements))
     report = ingest_report(lines, formats, logs)
     return Ingested(logs.select(*LOG_COLUMNS), report, rejects(lines, formats, logs), formats)

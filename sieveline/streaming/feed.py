@@ -73,18 +73,17 @@ def log_lines_stream(spark: SparkSession, directory: str, max_files: int = 1000)
 
 def _parsed_batch(batch: DataFrame, year: int | None, ingested_at: datetime | None):
     """A micro-batch of lines parsed once: (lines, formats, logs). Files arrive whole, so formats are known."""
-    from sieveline.sources.files import read_documents
-    from sieveline.sources.ingest import assign_ids, parse_auto
+    from sieveline.sources.ingest import assign_ids, json_parts, parse_auto
     from sieveline.sources.scratch import written
-    from sieveline.sources.sniff import classify, document_check, file_profile, needs_document
+    from sieveline.sources.sniff import classify, file_profile
 
     # Written: profile and parse must see the same line numbers.
     lines = written(batch.withColumn("line_no_key", F.monotonically_increasing_id()), "stream-lines")
     profile = written(file_profile(lines), "stream-profile")
-    pending = [r.source_file for r in profile.where(needs_document(profile)).select("source_file").collect()]
-    docs = read_documents(batch.sparkSession, pending) if pending else None
-    formats = classify(profile, document_check(docs) if docs is not None else None)
-    logs = written(assign_ids(parse_auto(lines, formats, docs, year=year, ingested_at=ingested_at)), "stream-logs")
+    docs, elements, checks = json_parts(batch.sparkSession, profile)
+    formats = classify(profile, checks)
+    logs = written(assign_ids(parse_auto(lines, formats, docs, year=year, ingested_at=ingested_at, elements=elements)),
+                   "stream-logs")
     return lines, formats, logs
 
 

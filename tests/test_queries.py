@@ -13,7 +13,9 @@ FAST = ["dashboard_stats", "timeline_wide", "search_message", "search_time_range
         "severity_escalation_by_user", "vector_outliers", "knn_cosine", "incident_summary", "security_report",
         "hunt_filters", "hunt_summary", "fan_out", "vector_count", "feed_last_500", "knn_severity",
         "upsert_embeddings", "stored_logs", "knn_label_centroids", "incident_summary_all", "stream_dedupe",
-        "stream_bucket_zscores", "stream_spikes", "knn_batch", "stored_vectors", "hunt_answers", "stream_text_feed"]
+        "stream_bucket_zscores", "stream_spikes", "knn_batch", "stored_vectors", "hunt_answers", "stream_text_feed",
+        "threat_score_rules", "threat_score_many_rules", "bucket_zscores_filled", "anomaly_explanations", "incident_digest",
+        "dashboard_timeline"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 

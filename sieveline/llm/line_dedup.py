@@ -4,23 +4,29 @@ Lines are cut further after sentence ends and at the bars of table cells, so
 that a passage inside a longer line is found too. Below, a line is one of
 these pieces; without such places it is a line of the text.
 
-Lines without words are skipped when neighbours are compared, and so are bars. A window starts
-at each line and goes on until it has ``min_words`` words; the line with the
-smallest hash in a whole window is selected as a fingerprint. Equal runs of
-lines have equal windows, so two places that share a run of at least
-``min_words`` words are guaranteed to share a selected line. (A line of that
-length is a window of its own.)
-
-Selected lines that occur more than once are joined by hash. Each of their
-places is extended line by line both ways, up to ``min_words`` words beyond
-the line, which reaches every line of a shared run: the extended text is
-matched if the same lines stand at an earlier place. Places are ordered by
-document id (null last), text hash and line. Instead of comparing pairs of
-places, each place is compared with the first place of each extension, so a
-passage that a third of the documents share costs one row per place and line.
-
-Matched lines that follow one another are a run; runs of at least
-``min_words`` words are deleted, and the first place of each stays. What is left keeps its
+What goes: a line is deleted if it lies in a run of at least ``min_words``
+words whose lines stand, in the same order and without a gap, at an earlier
+place. Places are ordered by document id (null last), text hash and line. A
+line that only stands between other lines somewhere else stays, however often.
+
+How: lines without words are skipped when neighbours are compared, and so are
+bars. A window starts at each line and goes on until it has ``min_words``
+words; the line with the smallest hash in a window is selected as a
+fingerprint. Two places that share a run share its windows and so a selected
+line. Selected lines whose hash occurs more than once are joined; around each
+of them the match is extended both ways into the windows that hold it: from
+each start before it forwards, and from each end behind it backwards, to
+``min_words`` words. Every line of a repeated run lies in such a window that
+is inside the run, and equal windows are equal texts, so a window whose key
+stands at an earlier place is deleted and nothing else is. Places are compared
+with the first place of their key, so a passage that a third of the documents
+share costs one row per place and window.
+
+Lines and fingerprints are arrays of one row per document; only what is
+selected, and the windows around what is repeated, become rows.
+
+Touching and overlapping windows are one run. In a text that repeats a run at
+once, so that its places overlap, the first period is left. What is left keeps its
 own separators; a line of the text of which no piece is left goes with its end.
 
 Defined results: null text stays null; text without words is unchanged;
@@ -57,59 +63,83 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                .withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
 
 
-def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-               min_words: int = MIN_WORDS, inside: bool = True) -> DataFrame:
-    """Lines that have words: __id, __hash, idx (line), ord, h, n (words), s (words before), total, low (window minimum)."""
-    bar = "btrim(p.x) = '|'" if inside else "false"
-    found = F.expr(
-        f"filter(transform({_pieces(inside)}, (p, i) -> struct(i AS idx, xxhash64(btrim(p.x)) AS h, "
-        f"cast(CASE WHEN {bar} THEN 0 ELSE regexp_count(p.x, r'{WORD_PATTERN}') END AS long) AS n)), x -> x.n > 0)")
-    arrays = (_keyed(docs, doc_id, text).withColumn("__text", F.col(text)).withColumn("__lines", found)
-              .select(*DOC, "__lines").dropDuplicates(DOC))
-    lines = arrays.select(*DOC, F.posexplode("__lines").alias("ord", "__line")).select(*DOC, "ord", "__line.*")
-    so_far = W.partitionBy(*DOC).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(*DOC).orderBy("s").rangeBetween(0, min_words - 1)
-    return (lines.withColumn("s", F.sum("n").over(so_far) - F.col("n"))
-            .withColumn("total", F.sum("n").over(W.partitionBy(*DOC)))
-            .withColumn("low", F.min(F.struct("h", "ord")).over(ahead)))
+def _count(inside: bool) -> str:
+    """Words of piece p: by its spaces where it has single ones only, else by the pattern."""
+    b = "btrim(p.x)"
+    plain = f"NOT contains({b}, '  ') AND translate(p.x, '\t\n\x0b\x0c\r', '') = p.x"
+    return (f"CASE WHEN {b} = '' {f'OR {b} = {chr(39)}|{chr(39)}' if inside else ''} THEN 0 "
+            f"WHEN {plain} THEN length({b}) - length(replace({b}, ' ', '')) + 1 "
+            f"ELSE regexp_count(p.x, r'{WORD_PATTERN}') END")
+
+
+def _selected(words: int) -> str:
+    """Is line i the smallest of a window? The window starts at most as far before i as fewer than ``words`` words
+    of larger hashes reach, and ends at most before the next smaller hash."""
+    def side(lines: str, larger: str, most: str) -> str:
+        return (f"aggregate({lines}, struct(0 AS t, true AS o), (a, x) -> CASE WHEN a.o AND x.h {larger} __l[i].h {most} "
+                "THEN struct(a.t + x.n AS t, true AS o) ELSE struct(a.t AS t, false AS o) END, a -> a.t)")
+    before = side(f"reverse(slice(__l, greatest(i - {words - 2}, 1), least(i, {words - 1})))", ">", f"AND a.t + x.n < {words}")
+    after = side(f"slice(__l, i + 2, {words - 1})", ">=", "")
+    left = f"CASE WHEN i > 0 AND get(__l, i - 1).h > __l[i].h THEN {before} ELSE 0 END"
+    right = f"CASE WHEN get(__l, i + 1).h >= __l[i].h THEN {after} ELSE 0 END"
+    return f"__l[i].n + {right} + {left} >= {words}"
+
+
+def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", inside: bool = True) -> DataFrame:
+    """One row per document: __id, __hash and __l, its lines that have words (idx, h, n); a written table."""
+    found = F.expr(f"filter(transform({_pieces(inside)}, (p, i) -> struct(i AS idx, xxhash64(btrim(p.x)) AS h, "
+                   f"cast({_count(inside)} AS int) AS n)), x -> x.n > 0)")
+    return written(_keyed(docs, doc_id, text).withColumn("__text", F.col(text)).select(*DOC, found.alias("__l")), "lines")
 
 
 def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Selected lines: __id, __hash, ord, h."""
-    return lines.where(F.expr(f"total - s >= {min_words}")).select(*DOC, "low.ord", "low.h").distinct()
+    """Selected lines: __id, __hash, i (place in __l), h; a written table."""
+    chosen = F.expr(f"transform(filter(sequence(0, size(__l) - 1), i -> {_selected(min_words)}), i -> struct(i, __l[i].h AS h))")
+    return written(lines.where("size(__l) > 0").select(*DOC, F.explode(chosen).alias("x")).select(*DOC, "x.*"), "line-marks")
+
+
+def _window(start: str, step: int, words: int) -> str:
+    """The number of lines, and their words, of the window from a line forwards (step 1) or backwards (-1)."""
+    lines = (f"slice(__l, {start} + 1, {words})" if step > 0
+             else f"reverse(slice(__l, greatest({start} - {words - 2}, 1), least({start} + 1, {words})))")
+    return (f"aggregate({lines}, struct(0 AS k, 0 AS t), (a, x) -> CASE WHEN a.t < {words} "
+            "THEN struct(a.k + 1 AS k, a.t + x.n AS t) ELSE a END)")
+
+
+def _windows(words: int) -> str:
+    """Windows that hold a repeated fingerprint (__a: their places, sorted): first and last line (s, e) and key.
+
+    A forward window belongs to the first fingerprint in it, a backward one to the last; a backward window that is
+    a forward one too is left out.
+    """
+    last = "size(__l) - 1"
+    forward = (f"transform(sequence(greatest(__a[j] - {words - 1}, coalesce(get(__a, j - 1) + 1, 0)), __a[j]), "
+               f"s -> struct(s, {_window('s', 1, words)} AS w))")
+    backward = (f"transform(sequence(__a[j], least(__a[j] + {words - 1}, coalesce(get(__a, j + 1) - 1, {last}))), "
+                f"e -> struct(e, {_window('e', -1, words)} AS w))")
+    ends = f"filter({forward}, x -> x.w.t >= {words} AND x.s + x.w.k > __a[j])"
+    starts = f"filter({backward}, x -> x.w.t - __l[x.e].n >= {words} AND x.e - x.w.k < __a[j])"
+    both = (f"concat(transform({ends}, x -> struct(x.s AS s, x.s + x.w.k - 1 AS e)), "
+            f"transform({starts}, x -> struct(x.e - x.w.k + 1 AS s, x.e AS e)))")
+    return (f"transform(flatten(transform(sequence(0, size(__a) - 1), j -> {both})), x -> struct(x.s AS s, x.e AS e, "
+            "__l[x.s].idx AS from, __l[x.e].idx AS to, xxhash64(transform(slice(__l, x.s + 1, x.e - x.s + 1), y -> y.h)) AS key))")
 
 
 def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(__id, __hash, __runs) of documents with lines to delete; __runs has the first and last line of each run."""
+    """(__id, __hash, __runs) of documents with lines to delete; __runs has the first and last piece of each run."""
     chosen = fingerprints(lines, min_words)
-    often = chosen.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    hits = chosen.join(often, "h", "left_semi").select(*DOC, "ord", F.lit(True).alias("hit"))
-
-    near = W.partitionBy(*DOC).orderBy("ord")
-    line = F.struct("ord", "h", "n", "s")
-    context = (
-        lines.join(hits, [*DOC, "ord"], "left")
-        .withColumn("any", F.max("hit").over(W.partitionBy(*DOC))).where("any")
-        .withColumn("after", F.collect_list(line).over(near.rowsBetween(1, min_words)))
-        .withColumn("before", F.reverse(F.collect_list(line).over(near.rowsBetween(-min_words, -1))))
-        .where("hit")
-        .withColumn("after", F.expr(f"filter(after, x -> x.s - s - n < {min_words})"))
-        .withColumn("before", F.expr(f"filter(before, x -> s - x.s - x.n < {min_words})")))
-
-    def steps(side: str) -> str:
-        return (f"transform({side}, (x, e) -> struct(x.ord AS at, "
-                f"xxhash64('{side}', h, slice(transform({side}, y -> y.h), 1, e + 1)) AS key))")
-    places = context.select(*DOC, "ord", F.inline(F.expr(
-        f"concat(array(struct(ord AS at, xxhash64('line', h) AS key)), {steps('after')}, {steps('before')})")))
-    first = (places.groupBy("key").agg(F.min(F.struct(*DOC, "ord")).alias("first"), F.count("*").alias("c"))
+    often = chosen.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    near = (chosen.join(often, "h", "left_semi").groupBy(*DOC).agg(F.array_sort(F.collect_set("i")).alias("__a"))
+            .join(lines, DOC))
+    places = written(near.select(*DOC, F.inline(F.expr(_windows(min_words)))), "line-windows")
+    first = (places.groupBy("key").agg(F.min(F.struct(*DOC, "s")).alias("first"), F.count(F.lit(1)).alias("c"))
              .where("c > 1").select("key", "first"))
-    matched = (places.join(first, "key").where(F.struct(*DOC, "ord") > F.col("first"))
-               .select(*DOC, F.col("at").alias("ord")).distinct())
-    island = F.col("ord") - F.row_number().over(W.partitionBy(*DOC).orderBy("ord"))
-    return (matched.join(lines.select(*DOC, "ord", "idx", "n"), [*DOC, "ord"])
-            .withColumn("island", island)
-            .groupBy(*DOC, "island").agg(F.min("idx").alias("from"), F.max("idx").alias("to"), F.sum("n").alias("n"))
-            .where(F.col("n") >= min_words)
+    matched = places.join(first, "key").where(F.struct(*DOC, "s") > F.col("first")).select(*DOC, "s", "e", "from", "to")
+    order = W.partitionBy(*DOC).orderBy("s", "e")
+    reach = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("s") > reach + 1, F.lit(True)).cast("int")
+    return (matched.distinct().withColumn("begins", begins).withColumn("island", F.sum("begins").over(order))
+            .groupBy(*DOC, "island").agg(F.min("from").alias("from"), F.max("to").alias("to"))
             .groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("__runs")))
 
 
@@ -121,8 +151,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     cut into. ``inside=False`` compares and deletes whole lines only.
     """
     base = replace_columns(docs, OUT)
-    lines = written(line_table(base, doc_id, text, min_words, inside), "lines")
-    runs = repeated_runs(lines, min_words).select(
+    runs = repeated_runs(line_table(base, doc_id, text, inside), min_words).select(
         F.col("__id").alias("__i"), F.col("__hash").alias("__h"), "__runs")
     keyed = _keyed(base, doc_id, text).withColumn("__text", F.col(text))
     joined = keyed.join(runs, (F.col("__id") == F.col("__i")) & (F.col("__hash") == F.col("__h")), "left")

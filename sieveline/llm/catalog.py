@@ -205,13 +205,26 @@ metrics AS (
 signals AS ({signals}),
 bins AS (SELECT lang, source, signal, ((v >> s) << s) + (1::BIGINT << s) - 1 AS high
          FROM (SELECT *, greatest(length(bin(v)) - {quality.BIN_BITS + 1}, 0) AS s FROM signals)),
-counted AS (SELECT lang, source, signal, high, count(*) AS n FROM bins GROUP BY ALL),
-ranked AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, signal ORDER BY high) AS upto,
-                  sum(n) OVER (PARTITION BY lang, source, signal) AS total FROM counted),
-quartiles AS (SELECT lang, source, signal, min(high) FILTER (4 * upto >= total) AS q1,
-                     min(high) FILTER (4 * upto >= 3 * total) AS q3 FROM ranked GROUP BY ALL),
+counted AS (SELECT lang, source, signal, high, count(*)::HUGEINT AS n FROM bins GROUP BY ALL),
+corpus AS (SELECT signal, high, sum(n) AS c, sum(sum(n)) OVER (PARTITION BY signal) AS total FROM counted GROUP BY signal, high),
+langs AS (SELECT lang, signal, high, sum(n) AS l FROM counted GROUP BY ALL),
+lang_docs AS (SELECT lang, signal, sum(n) AS l_docs FROM counted GROUP BY ALL),
+group_docs AS (SELECT lang, source, signal, sum(n) AS g_docs FROM counted GROUP BY ALL),
+weights AS (
+  SELECT g.lang, g.source, g.signal, c.high, (d.l_docs + {quality.SHRINK}) * c.total AS d,
+         (g.g_docs + {quality.SHRINK}) * (d.l_docs + {quality.SHRINK}) * c.total AS whole,
+         coalesce(o.n, 0) * (d.l_docs + {quality.SHRINK}) * c.total
+         + {quality.SHRINK} * (coalesce(l.l, 0) * c.total + {quality.SHRINK} * c.c) AS w
+  FROM group_docs g JOIN corpus c ON g.signal = c.signal
+  JOIN lang_docs d ON d.lang IS NOT DISTINCT FROM g.lang AND d.signal = g.signal
+  LEFT JOIN langs l ON l.lang IS NOT DISTINCT FROM g.lang AND l.signal = g.signal AND l.high = c.high
+  LEFT JOIN counted o ON o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source
+                         AND o.signal = g.signal AND o.high = c.high),
+ranked AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, signal ORDER BY high) AS upto FROM weights),
+quartiles AS (SELECT lang, source, signal, min(high) FILTER (4 * upto >= whole) AS q1,
+                     min(high) FILTER (4 * upto >= 2 * whole) AS q2 FROM ranked GROUP BY ALL),
 limits AS (SELECT lang, source, signal,
-                  q3 + greatest({quality.SPREAD} * (q3 - q1), CASE signal {slack} END) AS fence FROM quartiles),
+                  q2 + greatest({quality.LOWER_SPREAD} * (q2 - q1), CASE signal {slack} END) AS fence FROM quartiles),
 odd AS (SELECT s.id, string_agg(s.signal, ',' ORDER BY list_position({list(quality.SIGNALS)}, s.signal)) AS names
         FROM signals s JOIN limits f ON s.lang IS NOT DISTINCT FROM f.lang
           AND s.source IS NOT DISTINCT FROM f.source AND s.signal = f.signal

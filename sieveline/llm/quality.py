@@ -9,6 +9,13 @@ A sketch is a histogram with log-spaced integer bins: counts add up, so it
 merges in any order, gives the same fences on every run, and has a bounded
 number of rows however many documents the group has.
 
+A group's sketch is read together with ``SHRINK`` documents' worth of its
+language's, which in turn is read with as much of the whole corpus's: a large
+group decides by itself, a small one mostly by the others, and one document
+more never changes much. The fence stands on the median and the lower
+quartile, so what is bad above the median does not move it. (A group of more
+than ``SHRINK`` documents of which over half is bad still passes.)
+
 Defined results: null or empty text has no words and fails the base rule; a
 null language or source is a group of its own; repeated rows each count; an
 empty table gives no rows; input columns that clash with an output name are
@@ -37,49 +44,42 @@ SIGNALS = {
     "dup_lines": "1000 * n_dup_lines div n_lines",
     "word_length": "1000 * word_chars div n_words",
 }
-#: An upper fence is never nearer to the upper quartile than this (thousandths).
+#: A fence is never nearer to the median than this (thousandths).
 SLACK = {"symbols": 250, "shouts": 500, "dup_lines": 600, "word_length": 4000}
-#: Fence: upper quartile + SPREAD * (upper quartile - lower quartile), or the slack if that is more.
-SPREAD = 6
-#: Pooled fence: median + LOWER_SPREAD * (median - lower quartile), or the slack if that is more. (About as wide as the other.)
+#: Fence: median + LOWER_SPREAD * (median - lower quartile), or the slack if that is more.
 LOWER_SPREAD = 13
-#: A group of fewer documents has no pooled fence of its own.
-MIN_GROUP = 20
+#: Documents of the language's sketch (and of the corpus's, for a language) that are read with a group's.
+SHRINK = 100
 #: A sketch bin is 1/16 of its value wide at most.
 BIN_BITS = 4
 
 
-def measure(docs: DataFrame, text: str = "text", repeats: bool = True) -> DataFrame:
+def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``METRICS`` (long) to every document; one pass over the text, no shuffle.
 
     Repeated words: 3-word windows are hashed to 64 bits. A hash-set pass finds
     the texts that repeat none; for the others (hash, position) pairs are sorted,
     equal neighbours flagged, and covered words counted from the gaps between
-    flagged positions. ``repeats=False`` leaves n_repeat_words null.
+    flagged positions.
     """
     base = replace_columns(docs, METRICS)
     staged = (
         base.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
         .withColumn("__words", F.expr(f"array_remove(split(__text, r'[{SPACE_CLASS}]+'), '')"))
-        .withColumn("__lines", F.expr(f"filter(split(__text, '\\n'), x -> x rlike r'{WORD_PATTERN}')"))
-        .withColumn("__n", F.size("__words").cast("long")))
-    if repeats:
-        staged = (
-            staged
-            .withColumn("__grams", F.expr(
-                "CASE WHEN __n < 3 THEN array() ELSE transform(sequence(0, cast(__n - 3 AS int)), "
-                "i -> xxhash64(get(__words, i), get(__words, i + 1), get(__words, i + 2))) END"))
-            .withColumn("__pairs", F.expr(
-                "CASE WHEN size(array_distinct(__grams)) < size(__grams) "
-                "THEN array_sort(transform(__grams, (h, i) -> struct(h, i))) END"))
-            .withColumn("__places", F.expr(
-                "array_sort(transform(filter(__pairs, (p, i) -> p.h = get(__pairs, i - 1).h "
-                "OR p.h = get(__pairs, i + 1).h), p -> p.i))"))
-            .withColumn("__repeats", F.expr(
-                "coalesce(aggregate(__places, struct(0L AS n, -3 AS last), "
-                "(a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last), a -> a.n), 0L)")))
-    else:
-        staged = staged.withColumn("__repeats", F.lit(None).cast("long"))
+        .withColumn("__lines", F.expr(f"filter(split(__text, '\n'), x -> x rlike r'{WORD_PATTERN}')"))
+        .withColumn("__n", F.size("__words").cast("long"))
+        .withColumn("__grams", F.expr(
+            "CASE WHEN __n < 3 THEN array() ELSE transform(sequence(0, cast(__n - 3 AS int)), "
+            "i -> xxhash64(get(__words, i), get(__words, i + 1), get(__words, i + 2))) END"))
+        .withColumn("__pairs", F.expr(
+            "CASE WHEN size(array_distinct(__grams)) < size(__grams) "
+            "THEN array_sort(transform(__grams, (h, i) -> struct(h, i))) END"))
+        .withColumn("__places", F.expr(
+            "array_sort(transform(filter(__pairs, (p, i) -> p.h = get(__pairs, i - 1).h "
+            "OR p.h = get(__pairs, i + 1).h), p -> p.i))"))
+        .withColumn("__repeats", F.expr(
+            "coalesce(aggregate(__places, struct(0L AS n, -3 AS last), "
+            "(a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last), a -> a.n), 0L)")))
     metrics = {
         "n_words": F.col("__n"),
         "word_chars": F.length(F.translate("__text", SPACE_CHARS, "")),
@@ -107,52 +107,48 @@ def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") ->
         .groupBy("lang", "source", "signal", "low", "high").agg(F.count("*").alias("n")))
 
 
-def _by_quantiles(sketch: DataFrame, group: list[str], value: str) -> DataFrame:
-    """(*group, fence, docs) of each group's sketch; ``value`` makes the fence of q1, q2, q3 and the slack."""
-    upto = W.partitionBy(*group).orderBy("low").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (sketch.withColumn("upto", F.sum("n").over(upto))
-              .withColumn("all", F.sum("n").over(W.partitionBy(*group))))
-    quartiles = ranked.groupBy(*group).agg(
-        *[F.min(F.when(F.expr(f"4 * upto >= {k} * all"), F.col("high"))).alias(f"q{k}") for k in (1, 2, 3)],
-        F.max("all").alias("docs"))
-    slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])
-    return (quartiles.withColumn("slack", slack[F.col("signal")])
-            .select(*group, F.expr(value).alias("fence"), "docs"))
-
-
-def _as_table(found: DataFrame) -> DataFrame:
-    table = found.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("signal") == k, F.col("fence"))).alias(f"max_{k}") for k in SIGNALS])
-    return written(table, "quality-fences")
-
-
 def fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Upper fence of each signal per (lang, source), read from the sketches; a written table."""
-    return _as_table(_by_quantiles(sketches(measured, lang, source), ["lang", "source", "signal"],
-                                   f"q3 + greatest({SPREAD} * (q3 - q1), slack)"))
-
+    """Upper fence of each signal per (lang, source), read from the shrunk sketches; a written table.
 
-def pooled_fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """As ``fences``, but such that bad rows do not move them: a written table.
-
-    The fence is the median + greatest(LOWER_SPREAD * (median - lower quartile), slack), so all that is above the
-    median may be bad. A group of fewer than MIN_GROUP documents has the fence of its language, a language of fewer
-    that of the whole corpus; their sketches are the groups' added up.
+    Shares are compared in whole numbers: a bin's weight in a group is its count times D, plus SHRINK times its
+    weight in the language, where D = (language's documents + SHRINK) * (all documents).
     """
-    bins = written(sketches(measured, lang, source), "quality-sketches")
-    value = f"q2 + greatest({LOWER_SPREAD} * (q2 - q1), slack)"
-
-    def level(keys: list[str]) -> DataFrame:
-        merged = bins.groupBy(*keys, "signal", "low", "high").agg(F.sum("n").alias("n"))
-        return _by_quantiles(merged, [*keys, "signal"], value)
-
-    def sure(name: str) -> Column:
-        return F.when(F.col(f"{name}.docs") >= MIN_GROUP, F.col(f"{name}.fence"))
-    g, of_lang, of_all = level(["lang", "source"]).alias("g"), level(["lang"]).alias("l"), level([]).alias("c")
-    found = (g.join(of_lang, F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("g.signal") == F.col("l.signal")))
-             .join(of_all, F.col("g.signal") == F.col("c.signal"))
-             .select("g.lang", "g.source", "g.signal", F.coalesce(sure("g"), sure("l"), F.col("c.fence")).alias("fence")))
-    return _as_table(found)
+    bins = written(sketches(measured, lang, source).withColumn("n", F.col("n").cast("decimal(38,0)")), "quality-sketches")
+
+    def merged(*keys: str) -> DataFrame:
+        """Bins of all groups with equal keys, with the number of documents."""
+        total = F.sum(F.sum("n")).over(W.partitionBy(*keys, "signal"))
+        return bins.groupBy(*keys, "signal", "high").agg(F.sum("n").alias("n"), total.alias("docs"))
+
+    def whole(x) -> Column:
+        return F.expr(x).cast("decimal(38,0)")
+    of_all = merged().select("signal", "high", F.col("n").alias("c"), F.col("docs").alias("all"))
+    of_lang, of_group = merged("lang"), merged("lang", "source")
+    # Every group has a row for every bin of its signals: a bounded number for a group.
+    groups = of_group.select("lang", "source", "signal", F.col("docs").alias("g_docs")).distinct()
+    langs = of_lang.select(F.col("lang").alias("l_lang"), F.col("signal").alias("l_signal"), F.col("high").alias("l_high"),
+                           F.col("n").alias("l"))
+    lang_docs = of_lang.select(F.col("lang").alias("d_lang"), F.col("signal").alias("d_signal"), F.col("docs").alias("l_docs")).distinct()
+    own = of_group.select(F.col("lang").alias("o_lang"), F.col("source").alias("o_source"), F.col("signal").alias("o_signal"),
+                          F.col("high").alias("o_high"), F.col("n").alias("g"))
+    table = (
+        groups.join(of_all, "signal")
+        .join(lang_docs, F.col("lang").eqNullSafe(F.col("d_lang")) & (F.col("signal") == F.col("d_signal")))
+        .join(langs, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("signal") == F.col("l_signal"))
+              & (F.col("high") == F.col("l_high")), "left")
+        .join(own, F.col("lang").eqNullSafe(F.col("o_lang")) & F.col("source").eqNullSafe(F.col("o_source"))
+              & (F.col("signal") == F.col("o_signal")) & (F.col("high") == F.col("o_high")), "left")
+        .withColumn("d", whole(f"(l_docs + {SHRINK}) * all"))
+        .withColumn("w", whole(f"coalesce(g, 0) * d + {SHRINK} * (coalesce(l, 0) * all + {SHRINK} * c)"))
+        .withColumn("total", whole(f"(g_docs + {SHRINK}) * d")))
+    upto = W.partitionBy("lang", "source", "signal").orderBy("high").rowsBetween(W.unboundedPreceding, 0)
+    quartiles = (table.withColumn("upto", F.sum("w").over(upto).cast("decimal(38,0)"))
+                 .groupBy("lang", "source", "signal").agg(
+                     *[F.min(F.when(F.expr(f"4 * upto >= {k} * total"), F.col("high"))).alias(f"q{k}") for k in (1, 2)]))
+    slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])
+    fence = F.col("q2") + F.greatest(LOWER_SPREAD * (F.col("q2") - F.col("q1")), slack[F.col("signal")])
+    return written(quartiles.groupBy("lang", "source").agg(
+        *[F.max(F.when(F.col("signal") == k, fence)).alias(f"max_{k}") for k in SIGNALS]), "quality-fences")
 
 
 def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -177,10 +173,6 @@ def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: st
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """All documents with their metrics, failed rules and verdict.
-
-    The text is measured twice, once for the sketches and once for the verdict,
-    rather than shuffled or stored between the two. Fences are the pooled ones.
-    """
-    limits = pooled_fences(measure(docs, text, repeats=False), lang, source)
-    return judge(measure(docs, text), limits, lang, source)
+    """All documents with their metrics, failed rules and verdict; the text is measured once and written with it."""
+    measured = written(measure(docs, text), "quality-measured")
+    return judge(measured, fences(measured, lang, source), lang, source)

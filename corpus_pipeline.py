@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of whole lines go; so do documents of which no word is left. n_chars follows the text."""
-    left = line_dedup.dedup_lines(docs, inside=False).where((F.col("n_removed") == 0) | F.col("text").rlike(common.WORD_PATTERN))
+    """Later repeats of passages go, inside lines too; so do documents of which no word is left. n_chars follows the text."""
+    left = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(common.WORD_PATTERN))
     return _with_length(left, docs)
 
 

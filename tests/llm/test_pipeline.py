@@ -30,16 +30,19 @@ def test_stages_keep_the_columns_of_documents(stages):
 
 
 def test_quality_and_dedup_stages(stages):
+    from .test_line_dedup import pieces_of
     from .test_near_dups import brute
     docs, good, lines, unique = ([(r.doc_id, r.text) for r in df.collect()] for _, df in stages[:4])
     assert set(good) < set(docs)
     text = dict(good)
+    def pieces(t):
+        return [x.strip(" ") for x, _ in pieces_of(t, True) if x.split()]
     for d, t in lines:
-        left = iter(text[d].split("\n"))
-        assert all(x in left for x in t.split("\n")) and t.split()  # a subsequence of its lines
+        left = iter(pieces(text[d]))
+        assert all(x in left for x in pieces(t)) and t.split()  # a subsequence of its pieces
     gone = set(text) - {d for d, _ in lines}
-    first = {x for d, t in good if d not in gone for x in t.split("\n")}
-    assert all(set(x for x in text[d].split("\n") if x.split()) <= first for d in gone)
+    first = {x for d, t in good if d not in gone for x in pieces(t)}
+    assert all(set(pieces(text[d])) <= first for d in gone)
     assert sorted(d for d, _ in unique) == sorted({c for _, c in brute(lines).values()})
 
 

@@ -11,10 +11,13 @@ by an exact bound and by two bits of each signature value, then on the full
 sets. The bound: shingles that only one of all candidates has cannot be
 common, so a pair shares at most the smaller number of other shingles. It
 rejects texts that differ in new words without looking at their sets.
+A pair is compared only in the bucket of the first band that it shares, so near
+copies that share most of their buckets are not made once for each.
 Confirmed pairs are joined by union-find. A compared node leaves the bucket, and a
 bucket is done once all its members are in one component or have left. So
-every pair that shares a bucket is compared or already connected: there is no
-cap on buckets, and a bucket of copies takes one round.
+every pair that shares a bucket is compared, in the first one that it shares,
+or already connected: there is no cap on buckets, and a bucket of copies takes
+one round.
 
 With 32 bands of 4 rows a pair at similarity 0.75 is a candidate with
 probability above 0.99999; the two-bit test loses it with less than 1e-5.
@@ -111,6 +114,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(F.expr(f"100 * both >= {percent} * (size(__x) + size(__y) - both)")).select("a", "b"))
 
 
+#: Columns of a bucket's members: the band that the key belongs to, and the keys of all bands of the node.
+BUCKET = ["key", "band", "node", "n", "common", "sketch", "bands"]
+
+
 def with_common(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Members with common, how many of a node's shingles another candidate has too; nodes that are too few of them
     to be similar to anything are left out. Shingles are counted before any node meets another."""
@@ -118,7 +125,7 @@ def with_common(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
              .groupBy("x").agg(F.count("*").alias("c"), F.min("__node").alias("__node")).where("c = 1")
              .groupBy(F.col("__node").alias("node")).agg(F.count("*").alias("alone")))
     return (members.join(alone, "node", "left").withColumn("common", F.expr("n - coalesce(alone, 0L)"))
-            .where(f"100 * common >= {percent} * n").select("key", "node", "n", "common", "sketch"))
+            .where(f"100 * common >= {percent} * n").select(*BUCKET))
 
 
 def _differences(words: int) -> str:
@@ -128,10 +135,15 @@ def _differences(words: int) -> str:
                       for a in (apart.format(i=i) for i in range(words)))
 
 
+def _shared_before(bands: int) -> str:
+    """SQL: a member and a pivot share a band before this bucket's."""
+    return " OR ".join(["false", *(f"band > {i} AND get(bands, {i}) = get(pivot_bands, {i})" for i in range(bands - 1))])
+
+
 def links(docs: DataFrame, classes: DataFrame, members: DataFrame, doc_id: str, text: str,
-          percent: int = PERCENT, values: int = VALUES) -> DataFrame | None:
-    """(node, root) of linked nodes above their root; ``members`` is a written (key, node, n, sketch) table of
-    bucket members, ``values`` the length of a signature."""
+          percent: int = PERCENT, values: int = VALUES, bands: int = BANDS) -> DataFrame | None:
+    """(node, root) of linked nodes above their root; ``members`` is a written (key, band, node, n, sketch, bands) table
+    of bucket members, ``values`` the length of a signature."""
     from sieveline.llm.superminhash import most_differences
     if members.isEmpty():
         return None
@@ -144,6 +156,7 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, doc_id: str,
 
     alike = f"{_differences(values // 32)} <= {most_differences(values, percent / 100)}"
     bound = f"100 * least(common, pivot_common) >= {percent} * (n + pivot_n - least(common, pivot_common))"
+    first_here = f"NOT ({_shared_before(bands)})"
     labels = before = tested = None
     slices, bucket = 1, written(with_common(members, sets, percent), "near-common")
     while True:
@@ -152,7 +165,7 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, doc_id: str,
         else:
             known = labels.toDF("__l", "__root")
             here = (bucket.join(known, F.col("node") == F.col("__l"), "left")
-                    .select("key", "node", "n", "common", "sketch", F.coalesce("__root", "node").alias("label")))
+                    .select(*BUCKET, F.coalesce("__root", "node").alias("label")))
         mixed = (here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                  .where("lo <> hi").select("key"))
         here = written(here.join(mixed, "key", "left_semi"), "near-open")
@@ -162,10 +175,10 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, doc_id: str,
             return labels
         sliced = here.withColumn("slice", F.expr(f"pmod(xxhash64(node, {slices}), {slices})"))
         first = sliced.groupBy("key", "slice").agg(
-            F.min(F.struct("node", "label", "n", "common", "sketch")).alias("p")).select("key", "p.*")
-        pivots = first.toDF("key", "pivot", "pivot_label", "pivot_n", "pivot_common", "pivot_sketch")
+            F.min(F.struct("node", "label", "n", "common", "sketch", "bands")).alias("p")).select("key", "p.*")
+        pivots = first.toDF("key", "pivot", "pivot_label", "pivot_n", "pivot_common", "pivot_sketch", "pivot_bands")
         pairs = (here.join(pivots, "key")
-                 .where(f"node <> pivot AND label <> pivot_label AND {bound} AND {alike}")
+                 .where(f"node <> pivot AND label <> pivot_label AND {bound} AND {alike} AND {first_here}")
                  .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -175,7 +188,7 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, doc_id: str,
         if not found.isEmpty():
             labels = stars(found if labels is None else found.union(labels))
         bucket = (here.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
-                  .select("key", "node", "n", "common", "sketch"))
+                  .select(*BUCKET))
         before = here
         slices *= GROWTH
 
@@ -190,14 +203,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.max("__n").alias("__n"), F.first("__bands").alias("__bands"), F.first("__sketch").alias("__sketch"))
     classes = written(node.select("__node", F.col("r.__id").alias("__rep"), F.col("r.__hash").alias("__rep_hash"),
                                   "__n", "__bands", "__sketch"), "near-classes")
-    keys = classes.select(F.col("__node").alias("node"), F.explode("__bands").alias("key"))
+    keys = classes.select(F.col("__node").alias("node"), F.posexplode("__bands").alias("band", "key"))
     shared = (keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
               .where("lo <> hi").select("key"))
     members = written(
         keys.join(shared, "key", "left_semi")
-        .join(classes.select(F.col("__node").alias("node"), F.col("__n").alias("n"), F.col("__sketch").alias("sketch")),
+        .join(classes.select(F.col("__node").alias("node"), F.col("__n").alias("n"), F.col("__sketch").alias("sketch"),
+                             F.col("__bands").alias("bands")),
               "node"), "near-members")
-    labels = links(docs, classes, members, doc_id, text, percent)
+    labels = links(docs, classes, members, doc_id, text, percent, bands=bands)
     if labels is None:
         ids = classes.select("__node", F.col("__rep").alias("component_id"))
     else:

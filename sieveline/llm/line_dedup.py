@@ -11,21 +11,24 @@ line that only stands between other lines somewhere else stays, however often.
 
 How: lines without words are skipped when neighbours are compared, and so are
 bars. A window starts at each line and goes on until it has ``min_words``
-words; the line with the smallest hash in a window is selected as a
-fingerprint. Two places that share a run share its windows and so a selected
-line. Selected lines whose hash occurs more than once are joined; around each
-of them the match is extended both ways into the windows that hold it: from
-each start before it forwards, and from each end behind it backwards, to
-``min_words`` words. Every line of a repeated run lies in such a window that
-is inside the run, and equal windows are equal texts, so a window whose key
-stands at an earlier place is deleted and nothing else is. Places are compared
-with the first place of their key, so a passage that a third of the documents
-share costs one row per place and window.
-
-Lines and fingerprints are arrays of one row per document; only what is
-selected, and the windows around what is repeated, become rows.
-
-Touching and overlapping windows are one run. In a text that repeats a run at
+words or three lines; the line with the smallest hash in a window is selected
+as a fingerprint. Two places that share a run share its windows and so a
+selected line, and with it the line before or behind (or it has ``min_words``
+words by itself). Selected lines with a neighbour that occur more than once
+are joined by the hash of the two; around each of them the match is extended
+both ways into the stretches that hold it: from each start before it forwards,
+and from each end behind it backwards, to ``min_words`` words. Every line of a
+repeated run lies in such a stretch inside the run, and equal stretches are
+equal texts, so a stretch whose key stands at an earlier place is deleted and
+nothing else is. Places are compared with the first place of their key, so a
+passage that a third of the documents share costs one row per place and
+stretch.
+
+The lines of a document are arrays of one row; only what is selected, and the
+stretches around what is repeated, become rows. Texts whose only white space
+are spaces and newlines are cut by plain replacements, others by the pattern.
+
+Touching and overlapping stretches are one run. In a text that repeats a run at
 once, so that its places overlap, the first period is left. What is left keeps its
 own separators; a line of the text of which no piece is left goes with its end.
 
@@ -52,10 +55,42 @@ OUT = ["n_lines", "n_removed", "removed_runs"]
 DOC = ["__id", "__hash"]
 
 
+#: Marks a cut in a text that does not hold it.
+MARK, NEWLINE = "\u0001", "\n"
+#: The text has white space other than spaces and newlines, or the mark.
+ODD = " OR ".join(f"contains(__text, '{c}')" for c in (MARK, "\t", "\u000b", "\f", "\r"))
+
+
+def _marked() -> str:
+    """__text with a mark at every cut, for texts that are not odd."""
+    def put(text: str, what: str, by: str) -> str:
+        return f"replace({text}, '{what}', '{by}')"
+    out = "concat('\n', __text)"
+    for c in ".!?|":
+        out = put(out, f"{c} ", f"{c} {MARK}")
+    for c in "。！？":
+        out = put(out, c, c + MARK)
+    out = put(put(out, " |", f"{MARK} |"), f" {MARK}|", f"{MARK} {MARK}|")
+    # Two cuts at one place are one, and none stands at the start of a line.
+    return f"substr({put(put(out, MARK + MARK, MARK), NEWLINE + MARK, NEWLINE)}, 2)"
+
+
 def _pieces(inside: bool) -> str:
     """The pieces x of __text, each with the number l of its line; whole lines unless ``inside``."""
-    of_line = f"split(y, r'{CUT}')" if inside else "array(y)"
-    return f"flatten(transform(split(__text, '\\n'), (y, l) -> transform({of_line}, x -> struct(x, l))))"
+    def lined(text: str, parts: str) -> str:
+        return f"flatten(transform(split({text}, '\n'), (y, l) -> transform({parts}, x -> struct(x, l))))"
+    if not inside:
+        return lined("__text", "array(y)")
+    odd, plain = f"split(y, r'{CUT}')", f"split(y, '{MARK}')"
+    return f"CASE WHEN {ODD} THEN {lined('__text', odd)} ELSE {lined(_marked(), plain)} END"
+
+
+def _texts(inside: bool) -> str:
+    """The pieces of __text without their lines."""
+    if not inside:
+        return "split(__text, '\n')"
+    odd = f"flatten(transform(split(__text, '\n'), y -> split(y, r'{CUT}')))"
+    return f"CASE WHEN {ODD} THEN {odd} ELSE split(replace({_marked()}, '\n', '{MARK}'), '{MARK}') END"
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -64,72 +99,88 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _count(inside: bool) -> str:
-    """Words of piece p: by its spaces where it has single ones only, else by the pattern."""
-    b = "btrim(p.x)"
-    plain = f"NOT contains({b}, '  ') AND translate(p.x, '\t\n\x0b\x0c\r', '') = p.x"
-    return (f"CASE WHEN {b} = '' {f'OR {b} = {chr(39)}|{chr(39)}' if inside else ''} THEN 0 "
-            f"WHEN {plain} THEN length({b}) - length(replace({b}, ' ', '')) + 1 "
-            f"ELSE regexp_count(p.x, r'{WORD_PATTERN}') END")
-
-
-def _selected(words: int) -> str:
-    """Is line i the smallest of a window? The window starts at most as far before i as fewer than ``words`` words
-    of larger hashes reach, and ends at most before the next smaller hash."""
-    def side(lines: str, larger: str, most: str) -> str:
-        return (f"aggregate({lines}, struct(0 AS t, true AS o), (a, x) -> CASE WHEN a.o AND x.h {larger} __l[i].h {most} "
-                "THEN struct(a.t + x.n AS t, true AS o) ELSE struct(a.t AS t, false AS o) END, a -> a.t)")
-    before = side(f"reverse(slice(__l, greatest(i - {words - 2}, 1), least(i, {words - 1})))", ">", f"AND a.t + x.n < {words}")
-    after = side(f"slice(__l, i + 2, {words - 1})", ">=", "")
-    left = f"CASE WHEN i > 0 AND get(__l, i - 1).h > __l[i].h THEN {before} ELSE 0 END"
-    right = f"CASE WHEN get(__l, i + 1).h >= __l[i].h THEN {after} ELSE 0 END"
-    return f"__l[i].n + {right} + {left} >= {words}"
+    """Words of piece x: by its spaces where it has single ones only, else by the pattern."""
+    bar = " OR btrim(x) = '|'" if inside else ""
+    return (f"CASE WHEN btrim(x) = ''{bar} THEN 0 WHEN __odd OR contains(btrim(x), '  ') THEN regexp_count(x, r'{WORD_PATTERN}') "
+            "ELSE octet_length(btrim(x)) - octet_length(replace(btrim(x), ' ', '')) + 1 END")
 
 
 def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", inside: bool = True) -> DataFrame:
-    """One row per document: __id, __hash and __l, its lines that have words (idx, h, n); a written table."""
-    found = F.expr(f"filter(transform({_pieces(inside)}, (p, i) -> struct(i AS idx, xxhash64(btrim(p.x)) AS h, "
+    """One row per document: __id, __hash and of its lines that have words __i (number of the piece), __h (hash) and
+    __n (words); a written table."""
+    found = F.expr(f"filter(transform({_texts(inside)}, (x, i) -> struct(i, xxhash64(btrim(x)) AS h, "
                    f"cast({_count(inside)} AS int) AS n)), x -> x.n > 0)")
-    return written(_keyed(docs, doc_id, text).withColumn("__text", F.col(text)).select(*DOC, found.alias("__l")), "lines")
+    lines = (_keyed(docs, doc_id, text).withColumn("__text", F.col(text)).withColumn("__odd", F.expr(ODD))
+             .select(*DOC, found.alias("__l")))
+    return written(lines.select(*DOC, F.col("__l.i").alias("__i"), F.col("__l.h").alias("__h"), F.col("__l.n").alias("__n")),
+                   "lines")
+
+
+def _selected(words: int) -> str:
+    """Is line i the first smallest of a window?"""
+    def h(k: int) -> str:
+        return f"get(__h, i + {k})" if k else "__h[i]"
+
+    def lines(k: int) -> str:  # of the window from line i + k on; 0 if the text ends before
+        a, b = (f"get(__n, i + {x})" for x in (k, k + 1))
+        return (f"CASE WHEN {a} >= {words} THEN 1 WHEN {a} + {b} >= {words} THEN 2 WHEN i + {k + 2} < size(__n) THEN 3 ELSE 0 END")
+    from_here = f"element_at(array(false, true, {h(0)} <= {h(1)}, {h(0)} <= {h(1)} AND {h(0)} <= {h(2)}), ({lines(0)}) + 1)"
+    one_before = f"i >= 1 AND {h(0)} < {h(-1)} AND element_at(array(false, false, true, {h(0)} <= {h(1)}), ({lines(-1)}) + 1)"
+    two_before = f"i >= 2 AND {h(0)} < {h(-1)} AND {h(0)} < {h(-2)} AND ({lines(-2)}) = 3"
+    return f"coalesce({from_here}, false) OR coalesce({one_before}, false) OR coalesce({two_before}, false)"
 
 
 def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Selected lines: __id, __hash, i (place in __l), h; a written table."""
-    chosen = F.expr(f"transform(filter(sequence(0, size(__l) - 1), i -> {_selected(min_words)}), i -> struct(i, __l[i].h AS h))")
-    return written(lines.where("size(__l) > 0").select(*DOC, F.explode(chosen).alias("x")).select(*DOC, "x.*"), "line-marks")
+    """Selected lines: __id, __hash, i (place in the arrays), key (hash with a neighbour, or alone); a written table."""
+    chosen = (f"transform(filter(sequence(0, size(__h) - 1), i -> {_selected(min_words)}), i -> filter(array("
+              f"CASE WHEN i > 0 THEN struct(i, xxhash64(__h[i - 1], __h[i]) AS key) END, "
+              f"CASE WHEN i < size(__h) - 1 THEN struct(i, xxhash64(__h[i], __h[i + 1]) AS key) END, "
+              f"CASE WHEN __n[i] >= {min_words} THEN struct(i, xxhash64(__h[i]) AS key) END), x -> x IS NOT NULL))")
+    return written(lines.where("size(__h) > 0").select(*DOC, F.inline(F.flatten(F.expr(chosen)))), "line-marks")
+
+
+#: Lines that are added up first; most stretches are no longer.
+FEW = 6
 
 
 def _window(start: str, step: int, words: int) -> str:
-    """The number of lines, and their words, of the window from a line forwards (step 1) or backwards (-1)."""
-    lines = (f"slice(__l, {start} + 1, {words})" if step > 0
-             else f"reverse(slice(__l, greatest({start} - {words - 2}, 1), least({start} + 1, {words})))")
-    return (f"aggregate({lines}, struct(0 AS k, 0 AS t), (a, x) -> CASE WHEN a.t < {words} "
-            "THEN struct(a.k + 1 AS k, a.t + x.n AS t) ELSE a END)")
+    """struct(k, t): the number of lines, and their words, of the stretch from a line forwards (step 1) or backwards (-1)."""
+    def lines(skip: int, most: str) -> str:
+        if step > 0:
+            return f"slice(__n, {start} + {skip + 1}, {most})"
+        upto = f"{start} - {skip} + 1"  # lines that are left before and with this one
+        return f"reverse(slice(__n, greatest({upto} - ({most}) + 1, 1), greatest(least({upto}, {most}), 0)))"
+
+    def added(values: str, state: str) -> str:
+        return (f"aggregate({values}, {state}, (a, x) -> CASE WHEN a.t < {words} THEN struct(a.k + 1 AS k, a.t + x AS t) ELSE a END)")
+    rest = added(lines(FEW, f"CASE WHEN st.t < {words} THEN {max(words - FEW, 0)} ELSE 0 END"), "st")
+    return f"transform(array({added(lines(0, str(FEW)), 'struct(0 AS k, 0 AS t)')}), st -> {rest})[0]"
 
 
 def _windows(words: int) -> str:
-    """Windows that hold a repeated fingerprint (__a: their places, sorted): first and last line (s, e) and key.
+    """Stretches that hold a repeated fingerprint (__a: their places, sorted): first and last line (s, e) and key.
 
-    A forward window belongs to the first fingerprint in it, a backward one to the last; a backward window that is
-    a forward one too is left out.
+    A forward one belongs to the first fingerprint in it, a backward one to the last; a backward one that is a
+    forward one too is left out.
     """
-    last = "size(__l) - 1"
+    last = "size(__h) - 1"
     forward = (f"transform(sequence(greatest(__a[j] - {words - 1}, coalesce(get(__a, j - 1) + 1, 0)), __a[j]), "
                f"s -> struct(s, {_window('s', 1, words)} AS w))")
     backward = (f"transform(sequence(__a[j], least(__a[j] + {words - 1}, coalesce(get(__a, j + 1) - 1, {last}))), "
                 f"e -> struct(e, {_window('e', -1, words)} AS w))")
     ends = f"filter({forward}, x -> x.w.t >= {words} AND x.s + x.w.k > __a[j])"
-    starts = f"filter({backward}, x -> x.w.t - __l[x.e].n >= {words} AND x.e - x.w.k < __a[j])"
+    starts = f"filter({backward}, x -> x.w.t - __n[x.e] >= {words} AND x.e - x.w.k < __a[j])"
     both = (f"concat(transform({ends}, x -> struct(x.s AS s, x.s + x.w.k - 1 AS e)), "
             f"transform({starts}, x -> struct(x.e - x.w.k + 1 AS s, x.e AS e)))")
     return (f"transform(flatten(transform(sequence(0, size(__a) - 1), j -> {both})), x -> struct(x.s AS s, x.e AS e, "
-            "__l[x.s].idx AS from, __l[x.e].idx AS to, xxhash64(transform(slice(__l, x.s + 1, x.e - x.s + 1), y -> y.h)) AS key))")
+            "__i[x.s] AS from, __i[x.e] AS to, xxhash64(slice(__h, x.s + 1, x.e - x.s + 1)) AS key))")
 
 
 def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(__id, __hash, __runs) of documents with lines to delete; __runs has the first and last piece of each run."""
     chosen = fingerprints(lines, min_words)
-    often = chosen.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    near = (chosen.join(often, "h", "left_semi").groupBy(*DOC).agg(F.array_sort(F.collect_set("i")).alias("__a"))
+    often = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    near = (chosen.join(often, "key", "left_semi").groupBy(*DOC).agg(F.array_sort(F.collect_set("i")).alias("__a"))
             .join(lines, DOC))
     places = written(near.select(*DOC, F.inline(F.expr(_windows(min_words)))), "line-windows")
     first = (places.groupBy("key").agg(F.min(F.struct(*DOC, "s")).alias("first"), F.count(F.lit(1)).alias("c"))

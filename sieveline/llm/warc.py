@@ -17,9 +17,12 @@ it, in a member's content as in the file, and goes on from there; the bytes
 between are logged as a gap.
 
 Defined results: null html is an empty payload; a null url leaves out the
-target; a null page id is written as such and sorts last; pages equal in id
-and html are one response and its revisits; an empty table gives no files and
-no rows.
+target; a null page id is written as such and sorts last; of pages equal in id
+and html one is the response and the others are its revisits (also where all
+their ids are null: they refer to a null id); an empty table gives no files
+and no rows. Which of two pages that are equal in id and url is the response
+depends on the order of the rows, which must be the same on every reading, as
+it is for files.
 """
 
 from __future__ import annotations
@@ -211,18 +214,24 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
         yield gap[0], len(data) - gap[0], None, gap[1]
 
 
-def with_roles(pages: DataFrame, page_id: str = "page_id", html: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Add __sha (hex), __bytes and __first: the smallest page id with this payload.
+def with_roles(pages: DataFrame, page_id: str = "page_id", html: str = "html", min_bytes: int = 0,
+               url: str = "url") -> DataFrame:
+    """Add __sha (hex), __bytes, __revisit and, for revisits, __first: the page id of the response.
 
-    Digests are counted before pages are joined with them, so a payload that a
-    third of the pages share is one row of the smaller side.
+    The response of a payload is its first page by id (null last), url and row. Digests are counted before pages are
+    joined with them, so a payload that a third of the pages share is one row of the smaller side.
     """
     df = (pages.withColumn("__html", F.coalesce(F.col(html), F.lit("")))
-          .withColumn("__bytes", F.octet_length("__html").cast("long")).withColumn("__sha", F.sha1(F.encode("__html", "UTF-8"))))
+          .withColumn("__bytes", F.octet_length("__html").cast("long")).withColumn("__sha", F.sha1(F.encode("__html", "UTF-8")))
+          .withColumn("__place", F.struct(F.col(page_id).isNull().alias("last"), F.col(page_id).alias("id"),
+                                          F.col(url).alias("url"), F.monotonically_increasing_id().alias("row"))))
     first = (df.where(F.col("__bytes") >= min_bytes).groupBy(F.col("__sha").alias("__s"))
-             .agg(F.min(page_id).alias("__first"), F.count("*").alias("__n")).where("__n > 1"))
+             .agg(F.min("__place").alias("__p"), F.count("*").alias("__n")).where("__n > 1"))
     # Only payloads that occur more than once are joined; all other pages are responses.
-    return df.drop("__html").join(first, F.col("__sha") == F.col("__s"), "left").drop("__s", "__n")
+    joined = df.drop("__html").join(first, F.col("__sha") == F.col("__s"), "left")
+    revisit = F.col("__s").isNotNull() & (F.col("__place") != F.col("__p"))
+    return (joined.withColumn("__revisit", revisit).withColumn("__first", F.when(revisit, F.col("__p.id")))
+            .drop("__s", "__p", "__n", "__place"))
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html",
@@ -230,16 +239,16 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     """Write the pages to archives under ``path`` (a shared folder); returns the written manifest (file, records, bytes)."""
     spark = pages.sparkSession
     bound_batches(spark)
-    rows = with_roles(pages, page_id, html, min_bytes).select(
+    rows = with_roles(pages, page_id, html, min_bytes, url).select(
         F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), F.col("__first").cast("long").alias("first"),
         F.col("__sha").alias("sha"), F.col("__bytes").alias("n"),
         # The payload of a revisit is not sent to the writers.
-        F.when(F.col("__first").isNull() | (F.col("__first") == F.col(page_id)), F.coalesce(F.col(html), F.lit("")))
-        .alias("html"))
+        F.when(~F.col("__revisit"), F.coalesce(F.col(html), F.lit(""))).alias("html"))
 
     def write(batches):
         from pyarrow import fs
-        store, root = fs.FileSystem.from_uri(path)
+        # Hadoop's name of an object store's scheme, and Arrow's.
+        store, root = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if path.startswith("s3a:") else path)
         store.create_dir(root, recursive=True)
         out, count, size = [], 0, 0
 
@@ -309,8 +318,9 @@ def archive(pages: DataFrame, path: str | None = None, **options) -> tuple[DataF
     """Write the pages and read them back; returns (records and gaps, the archives' folder)."""
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
-    if "://" not in path and not path.startswith("file:"):
-        path = f"file://{path}"
+    # With scheme and host, so that the writers in Python and Spark's readers mean the same place.
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
     manifest = write_archives(pages, path, **options)
     if manifest.isEmpty():
         return spark.createDataFrame([], RECORD_FIELDS), path

@@ -88,6 +88,16 @@ def test_write_and_read(spark):
     assert path.startswith("file:")
 
 
+def test_pages_equal_in_id_and_html_have_one_response(spark):
+    rows = [(7, "u", "same")] * 3 + [(9, "u", "same"), (None, "n", "null ids"), (None, None, "null ids"), (None, "n", "null ids"),
+            (None, "x", None), (None, "x", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive(pages)[0].collect())
+    assert got == sorted([("7", 4, "response", None), ("7", 4, "revisit", 7), ("7", 4, "revisit", 7), ("9", 4, "revisit", 7),
+                          ("None", 8, "response", None), ("None", 8, "revisit", None), ("None", 8, "revisit", None),
+                          ("None", 0, "response", None), ("None", 0, "revisit", None)])
+
+
 def test_empty_table_and_min_bytes(spark):
     pages = spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx")], "page_id long, url string, html string")
     assert warc.archive(pages.limit(0))[0].count() == 0

@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from sieveline.llm import mixing as M
 
 COLUMNS = "doc_id long, source string, text string"
@@ -106,3 +108,34 @@ def test_emitted_texts(spark):
     words = {d: sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in t) for d, t in got.items()}
     assert words == {1: 3, 2: 4, 3: 7, 4: 4, 5: 1}
     assert got[2] == [text] and got[4] == ["a b", "a b"] and got[1] == [" \tone  two\nthree "]
+
+
+def test_mixture_rows_are_in_the_order_of_the_schedule(spark):
+    """Every part of the mixture has nearly its sources' shares; texts and counts are those of the takings."""
+    rows = make(900, 8, ["a", "a", "a", "b", "c"]) + [(5000, "b", "twice the same row")] * 2
+    df = spark.createDataFrame(rows, COLUMNS).withColumn("size", F.lit("own"))
+    got = M.mixture(df, block_words=64).collect()
+    assert [c for c in got[0].asDict()] == df.columns
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.doc_id] += len(r.text.split())
+    mixed = M.mix(df, block_words=64).collect()
+    want = defaultdict(int)
+    for r in mixed:
+        want[r.doc_id] += r.taken
+    assert {d: n for d, n in taken.items() if n} == {d: n for d, n in want.items() if n}
+    words = [(r.source, len(r.text.split())) for r in got]
+    total = sum(n for _, n in words)
+    share = Counter()
+    for s, n in words:
+        share[s] += n
+    done, so_far = 0, Counter()
+    longest = max(n for _, n in words)
+    for s, n in words:
+        so_far[s] += n
+        done += n
+        for x in share:
+            assert abs(so_far[x] - done * share[x] / total) <= 12 * (64 + longest), (x, done)
+    slots = [tuple(x) for r in mixed if r.slots for x in r.slots]
+    assert len(set(slots)) == len(slots) == sum(-(-r.taken // r.size) for r in mixed if r.taken)
+    assert M.mixture(df.limit(0)).count() == 0

@@ -30,9 +30,9 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: a document taken more than once has several rows; one cut at a target has its first words."""
-    sizes = common.written(mixing.sized(docs), "mix-sizes")
-    return _with_length(mixing.emit(mixing.mix(docs, sizes=sizes)), docs)
+    """The mixture in the order of its schedule: a document taken more than once has several rows; one cut at a target
+    has its first words."""
+    return _with_length(mixing.mixture(docs), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

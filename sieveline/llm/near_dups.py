@@ -175,10 +175,13 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, doc_id: str,
             return labels
         sliced = here.withColumn("slice", F.expr(f"pmod(xxhash64(node, {slices}), {slices})"))
         first = sliced.groupBy("key", "slice").agg(
-            F.min(F.struct("node", "label", "n", "common", "sketch", "bands")).alias("p")).select("key", "p.*")
-        pivots = first.toDF("key", "pivot", "pivot_label", "pivot_n", "pivot_common", "pivot_sketch", "pivot_bands")
-        pairs = (here.join(pivots, "key")
-                 .where(f"node <> pivot AND label <> pivot_label AND {bound} AND {alike} AND {first_here}")
+            F.min(F.struct("node", "label", "n", "common", "sketch", "bands")).alias("p")).select("key", "slice", "p.*")
+        pivots = first.drop("slice").toDF("key", "pivot", "pivot_label", "pivot_n", "pivot_common", "pivot_sketch", "pivot_bands")
+        # Of two pivots the larger is compared as a member.
+        own = first.select("key", "slice", F.col("node").alias("own"))
+        pairs = (sliced.join(own, ["key", "slice"]).join(pivots, "key")
+                 .where(f"(node > pivot OR node <> own) AND node <> pivot AND label <> pivot_label AND {bound} AND {alike} "
+                        f"AND {first_here}")
                  .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

@@ -57,8 +57,16 @@ DOC = ["__id", "__hash"]
 
 #: Marks a cut in a text that does not hold it.
 MARK, NEWLINE = "\u0001", "\n"
-#: The text has white space other than spaces and newlines, or the mark.
-ODD = " OR ".join(f"contains(__text, '{c}')" for c in (MARK, "\t", "\u000b", "\f", "\r"))
+#: White space other than spaces and newlines.
+OTHER = ("\t", "\u000b", "\f", "\r")
+
+
+def _holds(text: str, *what: str) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{c}')" for c in what) + ")"
+
+
+#: The text has other white space, or the mark.
+ODD = _holds("__text", MARK, *OTHER)
 
 
 def _marked() -> str:
@@ -101,7 +109,8 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def _count(inside: bool) -> str:
     """Words of piece x: by its spaces where it has single ones only, else by the pattern."""
     bar = " OR btrim(x) = '|'" if inside else ""
-    return (f"CASE WHEN btrim(x) = ''{bar} THEN 0 WHEN __odd OR contains(btrim(x), '  ') THEN regexp_count(x, r'{WORD_PATTERN}') "
+    odd = _holds("x", "  ", *OTHER)
+    return (f"CASE WHEN btrim(x) = ''{bar} THEN 0 WHEN {odd} THEN regexp_count(x, r'{WORD_PATTERN}') "
             "ELSE octet_length(btrim(x)) - octet_length(replace(btrim(x), ' ', '')) + 1 END")
 
 
@@ -110,8 +119,7 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", insi
     __n (words); a written table."""
     found = F.expr(f"filter(transform({_texts(inside)}, (x, i) -> struct(i, xxhash64(btrim(x)) AS h, "
                    f"cast({_count(inside)} AS int) AS n)), x -> x.n > 0)")
-    lines = (_keyed(docs, doc_id, text).withColumn("__text", F.col(text)).withColumn("__odd", F.expr(ODD))
-             .select(*DOC, found.alias("__l")))
+    lines = _keyed(docs, doc_id, text).withColumn("__text", F.col(text)).select(*DOC, found.alias("__l"))
     return written(lines.select(*DOC, F.col("__l.i").alias("__i"), F.col("__l.h").alias("__h"), F.col("__l.n").alias("__n")),
                    "lines")
 

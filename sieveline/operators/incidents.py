@@ -18,6 +18,10 @@ EMPTY_TITLE, EMPTY_RECOMMENDATION = "No logs provided", "N/A"
 EMPTY_REPORT = "No log data available for the specified time range."
 # Defaults of fields that a model's reply leaves out.
 REPLY_DEFAULTS = {"title": "Incident detected", "severity": "medium", "recommendation": "Investigate further."}
+# What a model is asked, around the values.
+INCIDENT_PROMPT = ("Analyze these ", " security log entries:\n\n", "\n\nProvide a JSON incident summary.")
+REPORT_PROMPT = ("Security log report", " for ", ".\n\nStatistics:\n  Total logs: ", "\n  Affected hosts: ",
+                 "\n\nSample logs:\n", "\n\nGenerate a professional security report.")
 # Log lines shown to a model.
 INCIDENT_LINES, REPORT_LINES = 50, 100
 # ---------------------------------------------------------------------------------
@@ -136,9 +140,9 @@ def incident_prompts(logs: DataFrame, by: list[str] | None = None, n: int = INCI
     df, keys = _keyed(logs, by)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("log_count"))
     out = sizes.join(_first_lines(logs, by, n), keys)
+    head, after, end = map(F.lit, INCIDENT_PROMPT)
     return out.select(*keys, "log_count", F.concat(
-        F.lit("Analyze these "), F.col("log_count").cast("string"), F.lit(" security log entries:\n\n"), F.col("lines"),
-        F.lit("\n\nProvide a JSON incident summary.")).alias("prompt"))
+        head, F.col("log_count").cast("string"), after, F.col("lines"), end).alias("prompt"))
 
 
 def report_prompts(logs: DataFrame, by: list[str] | None = None, time_range: str | None = None,
@@ -146,11 +150,11 @@ def report_prompts(logs: DataFrame, by: list[str] | None = None, time_range: str
     """The text a report is asked for with: ``time_range``, statistics, hosts and the newest ``n`` lines."""
     _, keys = _keyed(logs, by)
     out = security_report(logs, by).where("log_count > 0").join(_first_lines(logs, by, n), keys)
-    head = "Security log report" + (f" for {time_range}" if time_range else "") + ".\n\nStatistics:\n  Total logs: "
+    title, of, total, at, sample, end = REPORT_PROMPT
+    head = title + (of + time_range if time_range else "") + total
     return out.select(*keys, "log_count", F.concat(
-        F.lit(head), F.col("log_count").cast("string"), F.lit("\n"), F.col("severity_breakdown"),
-        F.lit("\n  Affected hosts: "), F.col("affected_hosts"), F.lit("\n\nSample logs:\n"), F.col("lines"),
-        F.lit("\n\nGenerate a professional security report.")).alias("prompt"))
+        F.lit(head), F.col("log_count").cast("string"), F.lit("\n"), F.col("severity_breakdown"), F.lit(at),
+        F.col("affected_hosts"), F.lit(sample), F.col("lines"), F.lit(end)).alias("prompt"))
 
 
 def summaries_from_replies(logs: DataFrame, replies: DataFrame, by: list[str] | None = None,

@@ -64,6 +64,26 @@ def test_parse_timestamp_forms(spark):
         assert got[text] == (ts, q), text
 
 
+def test_a_timestamp_matches_each_pattern_once(spark):
+    from sieveline.functions.timeparse import with_parsed_timestamp
+    cases = {"1/2/2024 12:05 am": datetime(2024, 1, 2, 0, 5), "13-2-2024 1:05:07.25 PM": datetime(2024, 2, 13, 13, 5, 7, 250000),
+             "Mon, 15 January 2024 10:00:00 +0130": datetime(2024, 1, 15, 8, 30), "Sept. 3, 2024": datetime(2024, 9, 3),
+             "Foo 3 2024": None, "1/2/2024 13:05 pm": None, " 2024/1/15\t10:00:00 ": datetime(2024, 1, 15, 10),
+             "20240115T101112-0100": datetime(2024, 1, 15, 11, 11, 12), None: None}
+    df = with_parsed_timestamp(spark.createDataFrame([(c,) for c in cases], "v string"), "v", "t").select("v", "t.ts", "t.quality")
+    assert {r.v: r.ts for r in df.collect()} == cases
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract" not in plan and plan.count("^(?:[A-Za-z]{3,9},? )?([A-Za-z]{3,9})") == 2  # shape, groups
+
+
+def test_events_in_timestamp_forms_are_spread(spark, tmpdir_path):
+    from sieveline.plans import catalog
+    spark.createDataFrame([(i, datetime(2024, 1, 20, 1, 2, 3)) for i in range(40)], "event_id long, ts timestamp_ntz") \
+        .coalesce(1).write.parquet(f"{tmpdir_path}/events.parquet")
+    out = catalog.Q["timestamp_forms"](spark, tmpdir_path)
+    assert out.rdd.getNumPartitions() > 1 and out.where("quality = 'parsed'").count() == 400
+
+
 def test_cef_extension_quirks(spark):
     m = one(spark, kv_map(F.col("v"), CEF_EXTENSION), "url=http://x?a=b msg= next=v src=10.0.0.1")
     assert m["url"] == "http://x?a"

@@ -303,3 +303,16 @@ def test_csv_quote_state_across_lines(spark, tmpdir_path):
     want = {r["src"]: r["message"] for r in csv.DictReader(io.StringIO(text))}
     got = {r.source: r.message for r in _csv_ingest(spark, tmpdir_path, "state.csv", text).logs.collect()}
     assert got == want
+
+
+def test_questions_meet_logs_without_sorting_every_token(spark):
+    """Before, every log was shuffled and sorted once per token, and a token of all logs made one task."""
+    from sieveline.operators.hunts import hunt_filters, match_all
+    logs = spark.range(200).selectExpr(
+        "cast(id as string) AS id", "timestamp_seconds(1704067200 + id) AS timestamp", "'svc' AS source", "'host' AS hostname",
+        "'info' AS severity", "concat('Session opened for user u', id) AS message")
+    asked = spark.createDataFrame([("q1", "session opened"), ("q2", "user u7 opened"), ("q3", "low")], "question_id string, text string")
+    found = match_all(logs, hunt_filters(asked, "2024-01-31 00:00:00"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert found.where("question_id = 'q1'").count() == 200

@@ -38,13 +38,14 @@ from sieveline.schema import LOG_SCHEMA
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 #: Stands for the partitions of a plain Parquet folder that became a table: they lie beside ``data``.
 PLAIN = ""
-#: Rows of stored vectors (K2); ``event_date`` is the day of ``timestamp``.
+#: Rows of stored vectors (K2); ``event_date`` is the day of ``timestamp``, ``event_month`` the first day of its month.
+#: Search never asks for a day, so a month makes one partition: a long time with few vectors a day is not one file a day.
 VECTOR_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType())),
     T.StructField("document", T.StringType()), T.StructField("severity", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("hostname", T.StringType()),
     T.StructField("timestamp", T.TimestampType()), T.StructField("log_type", T.StringType()),
-    T.StructField("event_date", T.DateType())])
+    T.StructField("event_date", T.DateType()), T.StructField("event_month", T.DateType())])
 MOST_TRIES = 10
 
 
@@ -140,7 +141,16 @@ class SnapshotTable:
 
     def _rows(self, version: Version, only: set[str] | None = None) -> DataFrame:
         chosen = [(v, i) for v, increments in version.parts.items() if only is None or v in only for i in increments]
-        folders = [f"{self.path}/data/increment={i}/{self.partition}={v}" for v, i in chosen if i != PLAIN]
+        by_increment: dict[str, list[str]] = {}
+        for v, i in chosen:
+            if i != PLAIN:
+                by_increment.setdefault(i, []).append(v)
+        folders = []
+        for i, values in by_increment.items():
+            folder = f"{self.path}/data/increment={i}"
+            # An increment that belongs whole is one path: Spark lists its days in parallel.
+            whole = len(values) > 1 and set(values) == set(self._values_in(folder))
+            folders += [folder] if whole else [f"{folder}/{self.partition}={v}" for v in values]
         plain = [f"{self.path}/{self.partition}={v}" for v, i in chosen if i == PLAIN]
         read = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("increment", T.StringType())]))
         out = None
@@ -156,8 +166,10 @@ class SnapshotTable:
         """Write rows as a new increment; its name and the partition values in it."""
         name = uuid.uuid4().hex
         folder = f"{self.path}/data/increment={name}"
-        # No shuffle by partition (a hot day would land in one task); tasks keep one file open at a time.
-        (rows.select(*self.schema.names).sortWithinPartitions(self.partition)
+        # Ranges of (partition, key): a hot day is split over several tasks, other days lie in one or two each, so there
+        # are about as many files as days and tasks, not days times tasks, and no task sorts a whole input split.
+        # Tasks keep one file open at a time.
+        (rows.select(*self.schema.names).repartitionByRange(self.partition, self.key).sortWithinPartitions(self.partition)
          .write.partitionBy(self.partition).parquet(folder))
         return name, self._values_in(folder)
 
@@ -283,13 +295,14 @@ def log_table(spark: SparkSession, path: str) -> SnapshotTable:
 
 def vector_table(spark: SparkSession, path: str) -> SnapshotTable:
     """K2: stored vectors; ``reset`` empties the collection."""
-    return SnapshotTable(spark, path, VECTOR_SCHEMA, order="timestamp")
+    return SnapshotTable(spark, path, VECTOR_SCHEMA, "event_month", order="timestamp")
 
 
 def store_vectors(table: SnapshotTable, vectors: DataFrame, stream: str | None = None, batch: int | None = None) -> Version:
     """Upsert (id, embedding, document, severity, source, hostname, timestamp, log_type) rows."""
     return table.upsert(vectors.withColumn("embedding", F.col("embedding").cast("array<float>"))
-                        .withColumn("event_date", F.to_date("timestamp")), stream, batch)
+                        .withColumn("event_date", F.to_date("timestamp"))
+                        .withColumn("event_month", F.trunc("timestamp", "month")), stream, batch)
 
 
 def embed_pending(logs: SnapshotTable, vectors: SnapshotTable, embedder=None, limit: int | None = None) -> int:

@@ -161,3 +161,24 @@ def test_ingest_embeds_every_log_and_leaves_out_replayed_batches(spark, tmpdir_p
     feed.ingest_stream(spark, incoming, f"{root}/logs", os.path.join(tmpdir_path, "ck"), year=2025,
                        ingested_at=datetime(2025, 6, 1), vectors_path=f"{root}/vectors", embedder=embedder).awaitTermination()
     assert (logs.version().number, vectors.version().number) == before and len(embedded) == calls
+
+
+def test_a_write_makes_about_one_file_per_day_however_many_tasks(spark):
+    """Before, every task wrote a file for each day it saw."""
+    path = scratch_path(spark, "t")
+    rows = log_rows(spark, 240, step=timedelta(hours=1)).repartition(8)
+    S.log_table(spark, path).write(rows)
+    back = S.log_table(spark, path).read()
+    assert back.count() == 240 and len(back.inputFiles()) < 10 + spark.sparkContext.defaultParallelism * 2
+
+
+def test_stored_vectors_of_many_days_lie_in_few_partitions(spark):
+    table = S.vector_table(spark, scratch_path(spark, "t"))
+    rows = spark.range(300).selectExpr(
+        "cast(id as string) AS id", "array(1.0f) AS embedding", "'a' AS document", "'info' AS severity", "'' AS source",
+        "'' AS hostname", "timestamp_seconds(1704067200 + id * 86400) AS timestamp", "'json' AS log_type")
+    S.store_vectors(table, rows)
+    S.store_vectors(table, rows.where("id < 3").withColumn("document", F.lit("b")))
+    back = table.read()
+    assert len(table.version().parts) == 10 and back.count() == 300
+    assert back.where("document = 'b'").count() == 3 and back.where("event_date <> to_date(timestamp)").count() == 0

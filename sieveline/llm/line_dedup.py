@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes (native DataFrame operators only).
+"""Line dedup by hashed windows of lines (native DataFrame operators only).
 
 Lines are cut further after sentence ends and at the bars of table cells, so
 that a passage inside a longer line is found too. Below, a line is one of
@@ -11,19 +11,14 @@ line that only stands between other lines somewhere else stays, however often.
 
 How: lines without words are skipped when neighbours are compared, and so are
 bars. A window starts at each line and goes on until it has ``min_words``
-words; the line with the smallest hash in a window is selected as a
-fingerprint. Two places that share a run share its windows and so a selected
-line. Selected lines whose hash occurs more than once are joined; around each
-of them the match is extended both ways into the windows that hold it: from
-each start before it forwards, and from each end behind it backwards, to
-``min_words`` words. Every line of a repeated run lies in such a window that
-is inside the run, and equal windows are equal texts, so a window whose key
-stands at an earlier place is deleted and nothing else is. Places are compared
-with the first place of their key, so a passage that a third of the documents
-share costs one row per place and window.
-
-Lines and fingerprints are arrays of one row per document; only what is
-selected, and the windows around what is repeated, become rows.
+words, and one ends at each line and begins as many words before; one that is
+both counts once. Every line of a repeated run lies in such a window that is
+inside the run, and equal windows are equal texts, so a window whose key
+stands at an earlier place is deleted and nothing else is. An array of the
+line that each word belongs to gives both ends of a window without counting.
+One shuffle by key ranks the places of a window, so a passage that a third of
+the documents share costs one row per place and window; one by document brings
+the repeats back to the texts. Only texts with repeats are cut again.
 
 Touching and overlapping windows are one run. In a text that repeats a run at
 once, so that its places overlap, the first period is left. What is left keeps its
@@ -41,106 +36,103 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import SPACE_CLASS, WORD_PATTERN, replace_columns, written
+from sieveline.llm.common import SPACE_CLASS, WORD_PATTERN, replace_columns
 
 #: A repeated run is deleted from this many words on.
 MIN_WORDS = 25
 #: Where lines are cut (nothing is lost: separators stay with a piece).
 CUT = rf"(?<=[.!?|][{SPACE_CLASS}])|(?<=[。！？])|(?=[{SPACE_CLASS}]\|)"
+#: The same cuts in a whole text: MARK goes behind what ends a sentence, then before what leads to a bar, unless a line
+#: begins or was cut there.
+MARK = "\x01"
+IN_LINE = r"\x20\x09\x0B-\x0D"
+AFTER = rf"([.!?|][{IN_LINE}]|[。！？])"
+BEFORE = rf"([{IN_LINE}](?<=[^\n\x01][{IN_LINE}])\x01?\|)"
 
 OUT = ["n_lines", "n_removed", "removed_runs"]
 DOC = ["__id", "__hash"]
 
 
-def _pieces(inside: bool) -> str:
-    """The pieces x of __text, each with the number l of its line; whole lines unless ``inside``."""
-    of_line = f"split(y, r'{CUT}')" if inside else "array(y)"
-    return f"flatten(transform(split(__text, '\\n'), (y, l) -> transform({of_line}, x -> struct(x, l))))"
-
-
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))) \
-               .withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` for a value that is worked out once, also where ``body`` loops over it."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _count(inside: bool) -> str:
-    """Words of piece p: by its spaces where it has single ones only, else by the pattern."""
-    b = "btrim(p.x)"
-    plain = f"NOT contains({b}, '  ') AND translate(p.x, '\t\n\x0b\x0c\r', '') = p.x"
-    return (f"CASE WHEN {b} = '' {f'OR {b} = {chr(39)}|{chr(39)}' if inside else ''} THEN 0 "
-            f"WHEN {plain} THEN length({b}) - length(replace({b}, ' ', '')) + 1 "
-            f"ELSE regexp_count(p.x, r'{WORD_PATTERN}') END")
-
+def _pieces(inside: bool, ends: bool) -> str:
+    """The pieces of __text; with ``ends``, the first of each line but the text's first begins with the line's newline."""
+    cut = "__text"
+    if inside:
+        cut = f"regexp_replace({cut}, r'{AFTER}', '$1{MARK}')"
+        cut = _let("t", cut, f"CASE WHEN contains(t, '|') THEN regexp_replace(t, r'{BEFORE}', '{MARK}$1') ELSE t END")
+    fast = f"split(replace({cut}, '\\n', '{MARK}\\n'), '{MARK}')" if ends else f"split({cut}, r'[\\n{MARK}]')"
+    of_line = f"split(y, r'{CUT}')" if inside else "array(y)"
+    if ends:
+        of_line = f"transform({of_line}, (x, k) -> CASE WHEN l > 0 AND k = 0 THEN concat('\\n', x) ELSE x END)"
+    return (f"CASE WHEN contains(__text, '{MARK}') THEN flatten(transform(split(__text, '\\n'), (y, l) -> {of_line})) "
+            f"ELSE {fast} END")
 
-def _selected(words: int) -> str:
-    """Is line i the smallest of a window? The window starts at most as far before i as fewer than ``words`` words
-    of larger hashes reach, and ends at most before the next smaller hash."""
-    def side(lines: str, larger: str, most: str) -> str:
-        return (f"aggregate({lines}, struct(0 AS t, true AS o), (a, x) -> CASE WHEN a.o AND x.h {larger} __l[i].h {most} "
-                "THEN struct(a.t + x.n AS t, true AS o) ELSE struct(a.t AS t, false AS o) END, a -> a.t)")
-    before = side(f"reverse(slice(__l, greatest(i - {words - 2}, 1), least(i, {words - 1})))", ">", f"AND a.t + x.n < {words}")
-    after = side(f"slice(__l, i + 2, {words - 1})", ">=", "")
-    left = f"CASE WHEN i > 0 AND get(__l, i - 1).h > __l[i].h THEN {before} ELSE 0 END"
-    right = f"CASE WHEN get(__l, i + 1).h >= __l[i].h THEN {after} ELSE 0 END"
-    return f"__l[i].n + {right} + {left} >= {words}"
 
+def _lines(inside: bool) -> str:
+    """Pieces with words: number idx, hash h of the piece without the blanks around it, words n.
 
-def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", inside: bool = True) -> DataFrame:
-    """One row per document: __id, __hash and __l, its lines that have words (idx, h, n); a written table."""
-    found = F.expr(f"filter(transform({_pieces(inside)}, (p, i) -> struct(i AS idx, xxhash64(btrim(p.x)) AS h, "
-                   f"cast({_count(inside)} AS int) AS n)), x -> x.n > 0)")
-    return written(_keyed(docs, doc_id, text).withColumn("__text", F.col(text)).select(*DOC, found.alias("__l")), "lines")
+    Words are counted by their spaces where the text has no other white space and the piece only single ones.
+    """
+    def found(count: str) -> str:
+        empty = f"b = '' OR b = {chr(39)}|{chr(39)}" if inside else "b = ''"
+        return (f"filter(transform(transform({_pieces(inside, False)}, x -> btrim(x)), (b, i) -> struct(i AS idx, "
+                f"xxhash64(b) AS h, CASE WHEN {empty} THEN 0 ELSE {count} END AS n)), x -> x.n > 0)")
+    pattern = f"regexp_count(b, r'{WORD_PATTERN}')"
+    single = f"CASE WHEN contains(b, '  ') THEN {pattern} ELSE octet_length(b) - octet_length(replace(b, ' ', '')) + 1 END"
+    other = " OR ".join(f"contains(__text, '{c}')" for c in ("\\t", "\\u000B", "\\u000C", "\\r"))
+    return f"CASE WHEN {other} THEN {found(pattern)} ELSE {found(single)} END"
 
 
-def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Selected lines: __id, __hash, i (place in __l), h; a written table."""
-    chosen = F.expr(f"transform(filter(sequence(0, size(__l) - 1), i -> {_selected(min_words)}), i -> struct(i, __l[i].h AS h))")
-    return written(lines.where("size(__l) > 0").select(*DOC, F.explode(chosen).alias("x")).select(*DOC, "x.*"), "line-marks")
+def _windows(words: int) -> str:
+    """Windows over lines __l: key, at (first piece * 2^32 + last piece) and next (the piece with words after the last).
 
+    p has the line of each word. A window starts with the first word of a line, or ends with the last of one.
+    """
+    first = "w = 0 OR p[w - 1] <> p[w]"
+    last = f"w + {words} = size(p) OR p[w + {words}] <> p[w + {words - 1}]"
+    spans = (f"array_distinct(transform(filter(sequence(0, size(p) - {words}), w -> {first} OR {last}), "
+             f"w -> shiftleft(cast(p[w] AS long), 32) + p[w + {words - 1}]))")
+    s, e = "cast(shiftright(q, 32) AS int)", "cast(q & 4294967295 AS int)"
+    rows = (f"transform({spans}, q -> struct(xxhash64(slice(h, {s} + 1, {e} - {s} + 1)) AS key, "
+            f"shiftleft(cast(x[{s}] AS long), 32) + x[{e}] AS at, coalesce(get(x, {e} + 1), x[{e}] + 1) AS next))")
+    place = "flatten(transform(__l, (y, j) -> array_repeat(j, y.n)))"
+    return _let("p", place, f"CASE WHEN size(p) >= {words} THEN {_let('h', '__l.h', _let('x', '__l.idx', rows))} END")
 
-def _window(start: str, step: int, words: int) -> str:
-    """The number of lines, and their words, of the window from a line forwards (step 1) or backwards (-1)."""
-    lines = (f"slice(__l, {start} + 1, {words})" if step > 0
-             else f"reverse(slice(__l, greatest({start} - {words - 2}, 1), least({start} + 1, {words})))")
-    return (f"aggregate({lines}, struct(0 AS k, 0 AS t), (a, x) -> CASE WHEN a.t < {words} "
-            "THEN struct(a.k + 1 AS k, a.t + x.n AS t) ELSE a END)")
 
+def windows(docs: DataFrame, min_words: int = MIN_WORDS, inside: bool = True) -> DataFrame:
+    """Windows of the texts: __id, __hash, key, at, next."""
+    lines = docs.where("__text IS NOT NULL").select(*DOC, F.expr(_lines(inside)).alias("__l"))
+    return lines.select(*DOC, F.inline(F.expr(_windows(min_words))))
 
-def _windows(words: int) -> str:
-    """Windows that hold a repeated fingerprint (__a: their places, sorted): first and last line (s, e) and key.
 
-    A forward window belongs to the first fingerprint in it, a backward one to the last; a backward window that is
-    a forward one too is left out.
-    """
-    last = "size(__l) - 1"
-    forward = (f"transform(sequence(greatest(__a[j] - {words - 1}, coalesce(get(__a, j - 1) + 1, 0)), __a[j]), "
-               f"s -> struct(s, {_window('s', 1, words)} AS w))")
-    backward = (f"transform(sequence(__a[j], least(__a[j] + {words - 1}, coalesce(get(__a, j + 1) - 1, {last}))), "
-                f"e -> struct(e, {_window('e', -1, words)} AS w))")
-    ends = f"filter({forward}, x -> x.w.t >= {words} AND x.s + x.w.k > __a[j])"
-    starts = f"filter({backward}, x -> x.w.t - __l[x.e].n >= {words} AND x.e - x.w.k < __a[j])"
-    both = (f"concat(transform({ends}, x -> struct(x.s AS s, x.s + x.w.k - 1 AS e)), "
-            f"transform({starts}, x -> struct(x.e - x.w.k + 1 AS s, x.e AS e)))")
-    return (f"transform(flatten(transform(sequence(0, size(__a) - 1), j -> {both})), x -> struct(x.s AS s, x.e AS e, "
-            "__l[x.s].idx AS from, __l[x.e].idx AS to, xxhash64(transform(slice(__l, x.s + 1, x.e - x.s + 1), y -> y.h)) AS key))")
-
-
-def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, inside: bool = True) -> DataFrame:
     """(__id, __hash, __runs) of documents with lines to delete; __runs has the first and last piece of each run."""
-    chosen = fingerprints(lines, min_words)
-    often = chosen.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    near = (chosen.join(often, "h", "left_semi").groupBy(*DOC).agg(F.array_sort(F.collect_set("i")).alias("__a"))
-            .join(lines, DOC))
-    places = written(near.select(*DOC, F.inline(F.expr(_windows(min_words)))), "line-windows")
-    first = (places.groupBy("key").agg(F.min(F.struct(*DOC, "s")).alias("first"), F.count(F.lit(1)).alias("c"))
-             .where("c > 1").select("key", "first"))
-    matched = places.join(first, "key").where(F.struct(*DOC, "s") > F.col("first")).select(*DOC, "s", "e", "from", "to")
-    order = W.partitionBy(*DOC).orderBy("s", "e")
-    reach = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
-    begins = F.coalesce(F.col("s") > reach + 1, F.lit(True)).cast("int")
-    return (matched.distinct().withColumn("begins", begins).withColumn("island", F.sum("begins").over(order))
-            .groupBy(*DOC, "island").agg(F.min("from").alias("from"), F.max("to").alias("to"))
-            .groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("__runs")))
+    order = W.partitionBy("key").orderBy(*DOC, "at")
+    found = (windows(docs, min_words, inside).withColumn("place", F.rank().over(order)).where("place > 1")
+             .select(*DOC, F.struct("at", "next").alias("run")).repartition(*DOC)
+             .groupBy(*DOC).agg(F.array_sort(F.collect_set("run")).alias("__r")))
+    begins = "filter(sequence(0, size(r) - 1), i -> i = 0 OR shiftright(r[i].at, 32) > r[i - 1].next)"
+    joined = ("transform(b, (i, j) -> struct(cast(shiftright(r[i].at, 32) AS int) AS from, "
+              "cast(r[coalesce(get(b, j + 1), size(r)) - 1].at & 4294967295 AS int) AS to))")
+    return found.select(*DOC, F.expr(_let("r", "__r", _let("b", begins, joined))).alias("__runs"))
+
+
+def _without_runs(inside: bool) -> str:
+    """__text without the pieces of __runs: the parts between them, with a newline where one was left out."""
+    part = _let("f", "CASE WHEN j = 0 THEN 0 ELSE r[j - 1].to + 1 END", _let(
+        "u", "CASE WHEN j = size(r) THEN size(p) ELSE r[j].from END", _let(
+            "t", "CASE WHEN u > f THEN array_join(slice(p, f + 1, u - f), '') ELSE '' END",
+            "CASE WHEN j = 0 OR u <= f THEN t "
+            "WHEN j = 1 AND r[0].from = 0 THEN CASE WHEN startswith(p[f], '\\n') THEN substring(t, 2) ELSE t END "
+            "WHEN startswith(p[f], '\\n') THEN t "
+            "WHEN exists(slice(p, r[j - 1].from + 1, f - r[j - 1].from), y -> startswith(y, '\\n')) THEN concat('\\n', t) "
+            "ELSE t END")))
+    return _let("p", _pieces(inside, True), _let(
+        "r", "__runs", f"array_join(transform(sequence(0, size(r)), j -> {part}), '')"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
@@ -151,18 +143,15 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     cut into. ``inside=False`` compares and deletes whole lines only.
     """
     base = replace_columns(docs, OUT)
-    runs = repeated_runs(line_table(base, doc_id, text, inside), min_words).select(
-        F.col("__id").alias("__i"), F.col("__hash").alias("__h"), "__runs")
-    keyed = _keyed(base, doc_id, text).withColumn("__text", F.col(text))
+    keyed = (base.withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)))
+             .withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("__text", F.col(text)))
+    runs = repeated_runs(keyed, min_words, inside).select(F.col("__id").alias("__i"), F.col("__hash").alias("__h"), "__runs")
     joined = keyed.join(runs, (F.col("__id") == F.col("__i")) & (F.col("__hash") == F.col("__h")), "left")
-    left = F.expr(f"CASE WHEN __runs IS NOT NULL THEN filter({_pieces(inside)}, "
-                  "(x, i) -> NOT exists(__runs, r -> i BETWEEN r.from AND r.to)) END")
-    kept = F.expr("CASE WHEN __runs IS NULL THEN __text ELSE array_join(transform(__left, (p, i) -> concat("
-                  "CASE WHEN i > 0 AND get(__left, i - 1).l <> p.l THEN '\\n' ELSE '' END, p.x)), '') END")
-    return (joined.withColumn("__left", left)
-            .withColumn("n_lines", F.expr("coalesce(size(split(__text, '\\n')), 0)").cast("long"))
+    return (joined
+            .withColumn("n_lines", F.expr(
+                "coalesce(octet_length(__text) - octet_length(replace(__text, '\\n', '')) + 1, 0)").cast("long"))
             .withColumn("n_removed", F.expr(
                 "coalesce(aggregate(__runs, 0L, (a, r) -> a + r.to - r.from + 1), 0L)"))
             .withColumn("removed_runs", F.coalesce("__runs", F.expr("array()")))
-            .withColumn("__kept", kept)
+            .withColumn("__kept", F.expr(f"CASE WHEN __runs IS NULL THEN __text ELSE {_without_runs(inside)} END"))
             .select(*[F.col("__kept").alias(text) if c == text else F.col(f"`{c}`") for c in base.columns], *OUT))

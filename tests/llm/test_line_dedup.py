@@ -144,3 +144,32 @@ def test_passages_inside_longer_lines(spark):
     assert got[1].text == docs[1] and got[4].text == docs[4]
     assert got[2].text == "and a half One two three four. Then  more.\tEnd"
     assert got[3].text == "a | b |  | c\nlast. line"
+
+
+@pytest.mark.parametrize("inside", [True, False])
+def test_pieces_of_whole_texts_are_those_of_lines(spark, inside):
+    """Cut in one go, or line by line where the text has the mark itself."""
+    rng = random.Random(5)
+    texts = ["", " |", "\n |", "x. |", "x.\n|", "x. \n", "a。 |b", "| |\n| |", "。\n。", "a |\x01b. c\n d"]
+    texts += ["".join(rng.choices(" \t\x0b\r\n.|。！x?" + "\x01" * (k % 2), k=rng.randint(1, 30))) for k in range(600)]
+    df = spark.createDataFrame([(t,) for t in texts], "__text string").coalesce(2)
+    rows = df.selectExpr("__text", f"{L._pieces(inside, False)} AS a", f"{L._pieces(inside, True)} AS b").collect()
+    for t, a, b in rows:
+        want = pieces_of(t, inside)
+        assert a == [x for x, _ in want], repr(t)
+        assert b == ["\n" * (k > 0 and want[k - 1][1] != n) + x for k, (x, n) in enumerate(want)], repr(t)
+
+
+def test_odd_white_space_and_marks_in_repeated_passages(spark):
+    rng = random.Random(8)
+    pool = ["one two three.", "a\tb  c", "| x |", "mark\x01ed words here", "\x0b", "vier。fünf", " ", "|", "e f\r", ""]
+    docs = {d: "".join(rng.choice(pool) + rng.choice(["\n", " ", "  "]) for _ in range(rng.randint(3, 25))) for d in range(60)}
+    got = check(spark, docs)
+    assert sum(r.n_removed for r in got.values()) > 50
+
+
+def test_windows_are_shuffled_once_and_nothing_is_written(spark):
+    """By key, then by document, with the texts; before, nine shuffles and three written tables."""
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = L.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "FileScan" not in plan

@@ -84,6 +84,22 @@ def test_edge_tables(spark):
         assert {r.doc_id for r in got} <= {1, None} and bool(got) == bool(data)
 
 
+def test_line_stage_cuts_a_text_once(spark):
+    """Time grows with the number of pieces; before, each piece that is kept cut the text anew."""
+    import time
+
+    import corpus_pipeline as C
+    n = 12000
+    texts = [" ".join(f"w{k} x{k}." for k in range(n)), " ".join(f"w{k} {'x' if k % 50 < 25 else 'y'}{k}." for k in range(n))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    start = time.time()
+    got = {r.doc_id: r for r in C.dedup_lines(spark, docs, SF).collect()}
+    assert time.time() - start < 60
+    assert got[0].text == texts[0] and got[1].text == " ".join(f"w{k} y{k}." for k in range(n) if k % 50 >= 25)
+    assert got[1].n_chars == len(got[1].text)
+
+
 @pytest.mark.parametrize("blocked", ["sieveline.llm", "corpus_pipeline"])
 def test_entry_without_the_folders(blocked):
     code = ("import sys\n"

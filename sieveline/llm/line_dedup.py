@@ -15,7 +15,8 @@ words, and one ends at each line and begins as many words before; one that is
 both counts once. Every line of a repeated run lies in such a window that is
 inside the run, and equal windows are equal texts, so a window whose key
 stands at an earlier place is deleted and nothing else is. An array of the
-line that each word belongs to gives both ends of a window without counting.
+line that each word belongs to, and one of each line's first word, give both
+ends of a window without counting; keys are made from rows, in generated code.
 One shuffle by key ranks the places of a window, so a passage that a third of
 the documents share costs one row per place and window; one by document brings
 the repeats back to the texts. Only texts with repeats are cut again.
@@ -43,10 +44,10 @@ MIN_WORDS = 25
 #: Where lines are cut (nothing is lost: separators stay with a piece).
 CUT = rf"(?<=[.!?|][{SPACE_CLASS}])|(?<=[。！？])|(?=[{SPACE_CLASS}]\|)"
 #: The same cuts in a whole text: MARK goes behind what ends a sentence, then before what leads to a bar, unless a line
-#: begins or was cut there.
+#: begins or was cut there. The wide ends are looked for by themselves: a class of them and ASCII matches far slower.
 MARK = "\x01"
 IN_LINE = r"\x20\x09\x0B-\x0D"
-AFTER = rf"([.!?|][{IN_LINE}]|[。！？])"
+AFTER, WIDE = rf"[.!?|][{IN_LINE}]", "。！？"
 BEFORE = rf"([{IN_LINE}](?<=[^\n\x01][{IN_LINE}])\x01?\|)"
 
 OUT = ["n_lines", "n_removed", "removed_runs"]
@@ -58,18 +59,30 @@ def _let(name: str, value: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+def _after(mark: str) -> str:
+    """__text with ``mark`` behind what ends a sentence."""
+    ends = f"regexp_replace(__text, r'{AFTER}', '$0{mark}')"
+    wide = ends
+    for c in WIDE:
+        wide = f"replace({wide}, '{c}', '{c}{mark}')"
+    return f"CASE WHEN {' OR '.join(f'contains(__text, {chr(39)}{c}{chr(39)})' for c in WIDE)} THEN {wide} ELSE {ends} END"
+
+
 def _pieces(inside: bool, ends: bool) -> str:
     """The pieces of __text; with ``ends``, the first of each line but the text's first begins with the line's newline."""
+    if not inside and not ends:
+        return "split(__text, '\\n')"
     cut = "__text"
     if inside:
-        cut = f"regexp_replace({cut}, r'{AFTER}', '$1{MARK}')"
-        cut = _let("t", cut, f"CASE WHEN contains(t, '|') THEN regexp_replace(t, r'{BEFORE}', '{MARK}$1') ELSE t END")
+        cut = _let("t", _after(MARK),
+                   f"CASE WHEN contains(t, '|') THEN regexp_replace(t, r'{BEFORE}', '{MARK}$1') ELSE t END")
     fast = f"split(replace({cut}, '\\n', '{MARK}\\n'), '{MARK}')" if ends else f"split({cut}, r'[\\n{MARK}]')"
     of_line = f"split(y, r'{CUT}')" if inside else "array(y)"
     if ends:
         of_line = f"transform({of_line}, (x, k) -> CASE WHEN l > 0 AND k = 0 THEN concat('\\n', x) ELSE x END)"
-    return (f"CASE WHEN contains(__text, '{MARK}') THEN flatten(transform(split(__text, '\\n'), (y, l) -> {of_line})) "
-            f"ELSE {fast} END")
+    no_bar = "" if ends else f"WHEN NOT contains(__text, '|') THEN split({_after(chr(92) + 'n')}, '\\n') "
+    return (f"CASE {no_bar}WHEN contains(__text, '{MARK}') "
+            f"THEN flatten(transform(split(__text, '\\n'), (y, l) -> {of_line})) ELSE {fast} END")
 
 
 def _lines(inside: bool) -> str:
@@ -87,26 +100,34 @@ def _lines(inside: bool) -> str:
     return f"CASE WHEN {other} THEN {found(pattern)} ELSE {found(single)} END"
 
 
-def _windows(words: int) -> str:
-    """Windows over lines __l: key, at (first piece * 2^32 + last piece) and next (the piece with words after the last).
+def _spans(words: int) -> str:
+    """First and last line (s, e) of each window of lines that have __n words.
 
-    p has the line of each word. A window starts with the first word of a line, or ends with the last of one.
+    p has the line of each word, from 1 and negative for a line's first word; c has the first word of each line. A
+    window starts with the first word of a line, or ends with the last of one and is not one of the former.
     """
-    first = "w = 0 OR p[w - 1] <> p[w]"
-    last = f"w + {words} = size(p) OR p[w + {words}] <> p[w + {words - 1}]"
-    spans = (f"array_distinct(transform(filter(sequence(0, size(p) - {words}), w -> {first} OR {last}), "
-             f"w -> shiftleft(cast(p[w] AS long), 32) + p[w + {words - 1}]))")
-    s, e = "cast(shiftright(q, 32) AS int)", "cast(q & 4294967295 AS int)"
-    rows = (f"transform({spans}, q -> struct(xxhash64(slice(h, {s} + 1, {e} - {s} + 1)) AS key, "
-            f"shiftleft(cast(x[{s}] AS long), 32) + x[{e}] AS at, coalesce(get(x, {e} + 1), x[{e}] + 1) AS next))")
-    place = "flatten(transform(__l, (y, j) -> array_repeat(j, y.n)))"
-    return _let("p", place, f"CASE WHEN size(p) >= {words} THEN {_let('h', '__l.h', _let('x', '__l.idx', rows))} END")
+    def line(word: str) -> str:
+        return f"abs(p[{word}]) - 1"
+    end = line(f"c[{{}}] + {words - 1}").format
+    starts = f"transform(sequence(0, {line(f'size(p) - {words}')}), i -> struct(i AS s, {end('i')} AS e))"
+    stops = (f"transform(sequence({line(str(words - 1))}, size(c) - 1), "
+             f"j -> struct({line(f'coalesce(get(c, j + 1), size(p)) - {words}')} AS s, j AS e))")
+    spans = f"concat({starts}, filter({stops}, q -> {end('q.s')} <> q.e))"
+    firsts = _let("c", "filter(sequence(0, size(p) - 1), w -> p[w] < 0)", spans)
+    place = "flatten(transform(__n, (n, j) -> concat(array(-1 - j), array_repeat(j + 1, n - 1))))"
+    return _let("p", place, f"CASE WHEN size(p) >= {words} THEN {firsts} END")
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS, inside: bool = True) -> DataFrame:
-    """Windows of the texts: __id, __hash, key, at, next."""
+    """Windows of the texts: __id, __hash, key, at (first piece * 2^32 + last piece), next (the piece with words after)."""
     lines = docs.where("__text IS NOT NULL").select(*DOC, F.expr(_lines(inside)).alias("__l"))
-    return lines.select(*DOC, F.inline(F.expr(_windows(min_words))))
+    arrays = lines.select(*DOC, F.expr("__l.h").alias("__h"), F.expr("__l.idx").alias("__x"), F.expr("__l.n").alias("__n"))
+    # The spans have a step of their own: made in the generator, each row would copy the arrays. Without coalesce, the
+    # generator's input would also be worked out in a filter.
+    spans = arrays.select(*DOC, "__h", "__x", F.expr(_spans(min_words)).alias("__s"))
+    return spans.select(*DOC, "__h", "__x", F.inline(F.expr("coalesce(__s, array())"))).select(*DOC, F.expr("xxhash64(slice(__h, s + 1, e - s + 1))").alias("key"),
+                        F.expr("shiftleft(cast(__x[s] AS long), 32) + __x[e]").alias("at"),
+                        F.expr("coalesce(get(__x, e + 1), __x[e] + 1)").alias("next"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, inside: bool = True) -> DataFrame:

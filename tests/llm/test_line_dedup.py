@@ -173,3 +173,38 @@ def test_windows_are_shuffled_once_and_nothing_is_written(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = L.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 3 and "FileScan" not in plan
+
+
+@pytest.mark.parametrize("inside", [True, False])
+def test_pieces_with_and_without_bars_and_wide_ends(spark, inside):
+    """Each mix of the characters that decide how a text is cut, the mark among them."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(" \n.x" + "".join(c for b, c in enumerate("|？！。\x01\t") if k >> b & 1), k=rng.randint(1, 25)))
+             for k in range(640)]
+    df = spark.createDataFrame([(t,) for t in texts], "__text string").coalesce(2)
+    rows = df.selectExpr("__text", f"{L._pieces(inside, False)} AS a", f"{L._pieces(inside, True)} AS b").collect()
+    for t, a, b in rows:
+        assert a == [x for x, _ in pieces_of(t, inside)] and "".join(b) == t, repr(t)
+
+
+def windows_of(text, min_words):
+    """[(first, last piece)] of the shortest windows from each line on, and up to each line."""
+    rows = [(i, len(words(x))) for i, (x, _) in enumerate(pieces_of(text, True)) if words(x) and x.strip(" ") != "|"]
+    spans = {(a, b) for a in range(len(rows)) for b in range(a, len(rows)) if sum(n for _, n in rows[a:b + 1]) >= min_words}
+    return sorted((rows[a][0], rows[b][0]) for a, b in spans if (a, b - 1) not in spans or (a + 1, b) not in spans)
+
+
+def test_each_window_is_made_once_outside_of_loops_over_words(spark):
+    """The keys of all windows are made from rows; before, in a loop over arrays that is not compiled, then made distinct."""
+    rng = random.Random(7)
+    texts = ["".join(f"{rng.choice('abc')}" + rng.choice([" ", " ", ". ", "\n", "。", " | "]) for _ in range(rng.randint(0, 40)))
+             for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "__id long, __text string").selectExpr("*", "xxhash64(__text) AS __hash")
+    found = {}
+    for r in L.windows(df.coalesce(2), MIN).collect():
+        found.setdefault(r["__id"], []).append((r["at"] >> 32, r["at"] & 0xFFFFFFFF))
+    assert {k: sorted(v) for k, v in found.items()} == {k: w for k, t in enumerate(texts) if (w := windows_of(t, MIN))}
+    plan = L.windows(df)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Generate ", 1)
+    assert "xxhash64(slice(" in above and "xxhash64(slice(" not in below and "array_distinct" not in plan
+    assert re.search(r"\*\(\d+\) $", above) and "Filter" not in above and "flatten" not in below.split("\n")[0]

@@ -166,7 +166,9 @@ def _taken(sizes: DataFrame, source: str, weights: tuple[int, ...], share_percen
            block_words: int) -> DataFrame:
     goal = targets(sizes, source, weights, share_percent, cap)
     places = placed(replace_columns(sizes, PLACED[1:]), goal, source)
-    took = (segments(places, schedule(goal, block_words), block_words, cap)
+    # Written, like the takings: one plan for all would be held and told of by the driver again after each of its shuffles.
+    slots = written(schedule(goal, block_words), "mix-slots")
+    took = (segments(places, slots, block_words, cap)
             .groupBy(F.col("__sid").alias("__s"), F.col("__start").alias("__p"))
             .agg(F.sum(F.col("to_word") - F.col("from_word")).alias("__taken"),
                  # At most ``cap`` takings begin; in order.
@@ -193,7 +195,7 @@ def mixture(docs: DataFrame, text: str = "text", source: str = "source", doc_id:
     sizes = written(sized(base, text, doc_id).select(F.col(source).alias("source"), "size", "__h"), "mix-sizes")
     mixed = _taken(sizes, "source", weights, share_percent, cap, block_words)
     takes = mixed.where("taken > 0").select(of(F.col("__h"), F.col("source")).alias("__of"), F.col("size").alias("__size"), "slots", F.posexplode(F.expr(COPIES)).alias("__k", "__w"))
-    takes = takes.select("__of", "__size", "__w", F.expr("get(slots, __k)").alias("__at"))
+    takes = written(takes.select("__of", "__size", "__w", F.expr("get(slots, __k)").alias("__at")), "mix-takes")
     texts = base.withColumn("__of", of(_key(doc_id, text), F.col(source))).dropDuplicates(["__of"])
     rows = texts.join(takes, "__of").orderBy("__at", "__of")
     return rows.withColumn(text, F.when(F.col("__w") < F.col("__size"), _first_words(text)).otherwise(F.col(text))) \

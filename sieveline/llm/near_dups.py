@@ -232,8 +232,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents with one of each group left, the one with the smallest id; of equal rows one stays."""
-    kept = (near_duplicates(docs, doc_id, text, percent).where("kept")
-            .select(F.col("doc_id").alias("__i"), F.col("__hash").alias("__h")).distinct())
+    kept = written(near_duplicates(docs, doc_id, text, percent).where("kept")
+                   .select(F.col("doc_id").alias("__i"), F.col("__hash").alias("__h")).distinct(), "near-kept")
     base = with_hash(replace_columns(docs, ["__hash"]), text)
     return (base.join(kept, base[doc_id].cast("long").eqNullSafe(kept["__i"]) & (base["__hash"] == kept["__h"]),
                       "left_semi")

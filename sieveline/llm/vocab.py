@@ -1,4 +1,4 @@
-"""A byte-level BPE vocabulary file, loaded on the driver and sent to workers.
+"""A byte-level BPE vocabulary file, read on the driver, taken apart in a task and sent to workers.
 
 Only the format of ``byte_bpe_50k.json`` is read: BPE over bytes, split by the
 ByteLevel pattern, ids in merge order, special tokens matched before anything
@@ -9,6 +9,8 @@ file's size is fixed (about 50,000 entries), which bounds what is broadcast.
 from __future__ import annotations
 
 import json
+import os
+import pickle
 import re
 from functools import lru_cache
 
@@ -16,12 +18,12 @@ from functools import lru_cache
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _later_characters(path: str) -> list[int]:
+def _later_characters(content: str) -> list[int]:
     """Characters that ``regex`` knows as letters or digits and the library, of an older Unicode, does not."""
     import regex
     from tokenizers import Tokenizer
 
-    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    split = Tokenizer.from_str(content).pre_tokenizer.pre_tokenize_str
     letter, digit = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
     points = (chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
     return [ord(c) for c in points if letter.match(c) and len(split("a" + c)) > 1
@@ -51,12 +53,17 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _content(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 class Vocabulary:
     """Byte strings by id and the special tokens; ``coder`` builds the encoder in the process that uses it."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, path: str, content: str | None = None) -> None:
+        content = _content(path) if content is None else content
+        spec = json.loads(content)
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or pre != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True,
                                              "use_regex": True} or spec["normalizer"] or model["ignore_merges"]:
@@ -69,7 +76,7 @@ class Vocabulary:
         in_order = [words[a + b] for a, b in merges]
         if in_order != sorted(in_order) or sorted(self.ranks.values()) != list(range(len(self.ranks))):
             raise ValueError(f"{path}: ids do not follow the merges' order")
-        self.later = _later_characters(path)
+        self.later = _later_characters(content)
 
     def whole_tokens(self) -> frozenset[str]:
         """Vocabulary strings proved to be one pre-token that encodes as one token wherever it stands alone."""
@@ -153,9 +160,25 @@ def coder_of(shared) -> Coder:
     return _CODERS[shared.id]
 
 
+def _packed(path: str, content: str) -> bytes | ValueError:
+    try:
+        return pickle.dumps(Vocabulary(path, content))
+    except ValueError as refused:
+        return refused
+
+
 def share(spark, path: str | None):
-    """Broadcast the vocabulary at ``path`` (read on the driver only)."""
-    return _Shared(spark.sparkContext.broadcast(load(path or default_path())))
+    """Broadcast the vocabulary at ``path``, once in an application: the driver reads the file and passes on the pickled
+    vocabulary that a task made of it, so its entries are never objects in the driver's memory."""
+    path, context = path or default_path(), spark.sparkContext
+    key = (context.applicationId, path, os.stat(path).st_mtime_ns)
+    if key not in _SHARED:
+        _SHARED.clear()
+        packed = context.parallelize([_content(path)], 1).map(lambda x: _packed(path, x)).first()
+        if isinstance(packed, ValueError):
+            raise packed
+        _SHARED[key] = _Shared(context.broadcast(packed))
+    return _SHARED[key]
 
 
 class _Shared:
@@ -169,7 +192,10 @@ class _Shared:
 
     @property
     def value(self) -> Vocabulary:
-        return self.broadcast.value
+        return pickle.loads(self.broadcast.value)
+
+
+_SHARED: dict[tuple, _Shared] = {}
 
 
 def _shared_again(broadcast, i):

@@ -113,3 +113,44 @@ def test_entry_without_the_folders(blocked):
             f"assert any(n.startswith('op1_') for n in q) == ({blocked!r} == 'corpus_pipeline')\n")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_last_plans_of_the_document_and_mixing_stages_are_small(spark):
+    """The driver holds a plan as long as it runs; before, the texts' joins stood in one plan with all that decides what
+    is kept or taken."""
+    import corpus_pipeline as C
+    docs = spark.createDataFrame([(d, f"a{d} b{d} c{d} d{d} e{d} f{d}", "en", "s", 20) for d in range(9)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    for stage, step in ((C.dedup_documents, "HashAggregate"), (C.mix_sources, "Window")):
+        plan = stage(spark, docs, SF)._jdf.queryExecution().sparkPlan()
+        kinds = [plan.p(i).nodeName() for i in range(plan.treeString().count("\n"))]
+        joins = [k for k in kinds if "Join" in k]
+        assert len(joins) == 1 and step not in kinds, kinds
+
+
+def test_driver_does_not_hold_the_vocabulary(spark, monkeypatch):
+    """A task takes the file apart, once for all stages; before, the driver made the vocabulary's 50,000 entries and sent
+    them for each of encode and decode."""
+    from sieveline.llm import bpe, vocab
+
+    def on_the_driver(*_):
+        raise AssertionError("made on the driver")
+    vocab.load.cache_clear()
+    vocab._SHARED.clear()
+    monkeypatch.setattr(vocab.Vocabulary, "__init__", on_the_driver)
+    df = spark.createDataFrame([(1, "Hello wörld"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r.decoded_text for r in bpe.decode(bpe.encode(df)).collect()}
+    assert got == {1: "Hello wörld", 2: ""}
+    assert vocab.share(spark, None) is vocab.share(spark, None)
+
+
+def test_refused_vocabulary_is_an_error_of_the_caller(spark, tmp_path):
+    import json
+
+    from sieveline.llm import vocab
+    with open(vocab.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="byte-level"):
+        vocab.share(spark, str(tmp_path / "other.json"))
